@@ -64,15 +64,16 @@ def unplanes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def pack(slots: list[int], slot_of: np.ndarray, owner: np.ndarray, keys: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.RecordBatch:
+def pack(slots: list[int], slot_of: np.ndarray, owner: np.ndarray, keys: np.ndarray | None, ids: np.ndarray, extra: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.RecordBatch:
     """One row for each slot that gets any key.
 
     owner: index into ids (and extra) of each key, ascending; places: an ascending number for
-    each key within its owner, sent as differences. Runs of one owner send its id once.
+    each key within its owner, sent as differences; either can be left out. Runs of one owner
+    send its id once.
     """
     n = len(slots)
     order = np.argsort(slot_of.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
-    slot, own, key = slot_of[order], owner[order], keys[order]
+    slot, own, key = slot_of[order], owner[order], keys[order] if keys is not None else None
     bound = np.searchsorted(slot, np.arange(n + 1))
     head = np.ones(len(own), bool)
     head[1:] = (own[1:] != own[:-1]) | (slot[1:] != slot[:-1])
@@ -94,7 +95,7 @@ def pack(slots: list[int], slot_of: np.ndarray, owner: np.ndarray, keys: np.ndar
         out["ids"].append(run_id[ra:rb].tobytes())
         out["extra"].append(planes(run_extra[ra:rb]) if run_extra is not None else b"")
         out["lens"].append(planes(run_len[ra:rb]))
-        out["keys"].append(key[a:b].tobytes())
+        out["keys"].append(key[a:b].tobytes() if key is not None else b"")
         out["places"].append(planes(step[a:b]) if step is not None else b"")
     return pa.RecordBatch.from_pydict(out, schema=_SCHEMA)
 

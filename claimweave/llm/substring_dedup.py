@@ -30,7 +30,7 @@ _PRIMES = ((4294967291, 2654435761), (4294967279, 2246822519), (2147483647, 1597
 
 
 def repeated_windows(docs: DataFrame, row: Column, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(row, starts): for each reducer and row, the word positions (packed unsigned 32-bit) where a repeated window starts."""
+    """(row, gone): for each row with a repeated window its maximal intervals of such words, as packed unsigned 32-bit [start, end) pairs."""
     n = fanout(docs)
     slots = spread(docs.sparkSession, n)
 
@@ -60,23 +60,36 @@ def repeated_windows(docs: DataFrame, row: Column, text: str = "text", width: in
         ids, places = got.ids[run], got.places[found].astype(np.uint32) if len(found) else np.zeros(0, np.uint32)
         order = np.lexsort((places, ids))
         ids, places = ids[order], places[order]
-        heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-        ends = np.append(heads[1:], len(ids))
-        for k in range(0, len(heads), 5000):
-            a, b = heads[k : k + 5000], ends[k : k + 5000]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a].view(np.int64)), pa.array([places[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())], ["row", "starts"])
+        if len(ids):
+            head = np.append(True, ids[1:] != ids[:-1])
+            yield pack(slots, (mix64(ids) % np.uint64(n)).astype(np.int64), np.cumsum(head) - 1, None, ids[head], places=places)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = Unpacked(batches)
+        ids = got.ids[got.run]
+        order = np.lexsort((got.places, ids)) if len(ids) else np.zeros(0, np.int64)
+        ids, places = ids[order], got.places[order] if len(ids) else order
+        head = np.append(True, (ids[1:] != ids[:-1]) | (places[1:] > places[:-1] + width))[: len(ids)]
+        begin = np.flatnonzero(head)
+        end = np.append(begin[1:], len(ids)) - 1
+        limits = np.stack([places[begin], places[end] + width], 1).astype("<u4")
+        ids = ids[begin]
+        rows = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+        ends = np.append(rows[1:], len(ids))
+        for k in range(0, len(rows), 5000):
+            a, b = rows[k : k + 5000], ends[k : k + 5000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a].view(np.int64)), pa.array([limits[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())], ["row", "gone"])
 
     source = docs.select(row.alias("row"), F.col(text).cast("string").alias("text"))
-    return dealt(source, send, n).mapInArrow(match, "row long, starts binary")
+    return dealt(dealt(source, send, n), match, n).mapInArrow(merge, "row long, gone binary")
 
 
-def kept_mask(n_words: int, starts: list[bytes] | None, width: int) -> np.ndarray:
-    """False for each word in a repeated window; overlapping and touching windows form one interval."""
+def kept_mask(n_words: int, gone: bytes) -> np.ndarray:
+    """False for each word in an interval."""
     steps = np.zeros(n_words + 1, np.int64)
-    for raw in starts or ():
-        at = np.unique(np.frombuffer(raw, np.uint32))
-        steps[at] += 1
-        steps[at + width] -= 1
+    limits = np.frombuffer(gone, "<u4").reshape(-1, 2)
+    steps[limits[:, 0]] = 1
+    steps[limits[:, 1]] -= 1
     return np.cumsum(steps[:n_words]) == 0
 
 
@@ -92,19 +105,19 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     new = ("n_words", "n_removed", "kept_text", "kept_sha256")
     rest = [c for c in docs.columns if c not in new]
     row = F.xxhash64(F.col(id).cast("string"), F.col(text).cast("string"))
-    gone = repeated_windows(docs, row, text, width).groupBy("row").agg(F.collect_list("starts").alias("_starts"))
-    both = docs.select(*rest, row.alias("_row")).join(gone.withColumnRenamed("row", "_row"), "_row", "left")
+    gone = repeated_windows(docs, row, text, width)
+    both = docs.select(*rest, row.alias("_row")).join(gone.select(F.col("row").alias("_row"), F.col("gone").alias("_gone")), "_row", "left")
     schema = both.select(*rest).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("kept_sha256", "string")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for value, starts in zip(batch.column(rest.index(text)), batch.column(len(rest)).to_pylist(), strict=True):
+            for value, gone in zip(batch.column(rest.index(text)), batch.column(len(rest)).to_pylist(), strict=True):
                 value = value.as_py()
                 words = b"" if value is None else str(value).encode().split()
                 words, n = (words, len(words)) if words else ([], 0)
-                if starts:
-                    words = list(compress(words, kept_mask(n, starts, width)))
+                if gone:
+                    words = list(compress(words, kept_mask(n, gone)))
                 joined = b" ".join(words)
                 out[0].append(n)
                 out[1].append(n - len(words))
@@ -112,4 +125,4 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
                 out[3].append(hashlib.sha256(joined).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(rest))] + [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], [*rest, *new])
 
-    return both.select(*rest, "_starts").mapInArrow(finish, schema)
+    return both.select(*rest, "_gone").mapInArrow(finish, schema)

@@ -13,9 +13,9 @@ have a Jaccard index of at least t differ in at most (1-t)/(1+t) * (|A|+|B|) shi
    so of two linked sets one is sound at a seed that both have used.
 3. Pigeonhole join on (band, seed, segment, value). A bit sketch of 512 parities rejects pairs
    whose Hamming distance is beyond the bound; the rest are verified on the shingle sets.
-   First each member is tested against the group's smallest set; then, between components so
-   found, all pairs of a group's members that lie in different ones. Pairs inside a component
-   are never needed.
+   First each member is tested against one hub of its group, then against eight, and last all
+   pairs of the groups that are larger and still have several parts. Only pairs between
+   different components are tested after the first round, as others change nothing.
 
 Exact copies share one set and are one node throughout.
 """
@@ -211,15 +211,18 @@ def shared_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent
     return dealt(found, match, n).mapInArrow(gather, "set long, size long, shared binary")
 
 
-def candidates(sets: DataFrame, everything: bool, n: int, percent: int = PERCENT) -> DataFrame:
-    """Distinct (a, b), a < b, of sets that share a sketch segment.
+def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = BITS, percent: int = PERCENT) -> DataFrame:
+    """Distinct (a, b), a < b, of sets in different parts that share a sketch segment.
 
-    sets: (set, size, shared, part), part being the component so far; n: reducers. Not everything: each
-    group's members with its smallest. Everything: all pairs of a group that lie in different
-    parts. Pairs whose sizes or parity sketches rule out a link are left out.
+    sets: (set, size, shared, part), part being the component so far; n: reducers. With hubs,
+    the first so many members of each group, in an order that is the same in all groups, pair
+    with all its members, which covers groups of up to hubs + 1; the members of larger groups
+    that have several parts are returned too, as (a, a). Without, all pairs of groups count.
+    Pairs whose sizes or parity sketches rule out a link are left out. The pairs of a reducer
+    go packed to reducers of pairs, since a pair shares many segments.
     """
     slots = spread(sets.sparkSession, n)
-    record = np.dtype([("size", "<u4"), ("part", "<u8"), ("parity", "u1", BITS // 8)])
+    record = np.dtype([("size", "<u4"), ("part", "<u8"), ("parity", "u1", bits // 8)])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,59 +233,62 @@ def candidates(sets: DataFrame, everything: bool, n: int, percent: int = PERCENT
                 keys = [signatures(s, int(z), percent) for s, z in zip(own, sizes[low:], strict=False)]
                 extra = np.zeros(len(own), record)
                 extra["size"], extra["part"] = sizes[low : low + 1000], parts[low : low + 1000].view(_U)
-                extra["parity"] = np.stack([parity(s) for s in own])
+                extra["parity"] = np.stack([parity(s, bits) for s in own])
                 flat = np.concatenate(keys)
                 yield pack(slots, (flat % _U(n)).astype(np.int64), np.repeat(np.arange(len(own)), [len(k) for k in keys]), flat, names[low : low + 1000].view(_U), extra=extra)
 
-    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        a, b = x["size"].astype(np.int64), y["size"].astype(np.int64)
-        apart = np.bitwise_count(x["parity"] ^ y["parity"]).sum(-1, dtype=np.int64)
-        return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * apart <= (100 - percent) * (a + b))
-
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Unpacked(batches, record)
-        names = got.ids[got.run]
-        order = np.lexsort((names, got.keys))
-        key, name, info = got.keys[order], names[order], got.run[order]
-        if not len(key):
+        if not len(got.keys):
             return
+        names = got.ids[got.run]
+        order = np.lexsort((mix64(names), got.keys))
+        key, name, run = got.keys[order], names[order], got.run[order]
         new = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
-        key, name, info = key[new], name[new], info[new]
+        key, name, run = key[new], name[new], run[new]
+        size, part = got.extra["size"].astype(np.int64)[run], got.extra["part"][run]
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         counts = np.diff(np.append(heads, len(key)))
-        pairs = []
-        if not everything:
-            hub = np.repeat(heads, counts)
-            mine = np.flatnonzero(hub != np.arange(len(key)))
-            for k in range(0, len(mine), 200_000):
-                m = mine[k : k + 200_000]
-                m = m[close(got.extra[info[hub[m]]], got.extra[info[m]])]
-                pairs.append(np.stack([name[hub[m]], name[m]], 1))
+        found = np.zeros((0, 2), _U)
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal found
+            for k in range(0, len(i), 100_000):
+                x, y = i[k : k + 100_000], j[k : k + 100_000]
+                ok = (part[x] != part[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+                x, y = x[ok], y[ok]
+                apart = np.bitwise_count(got.extra["parity"][run[x]] ^ got.extra["parity"][run[y]]).sum(-1, dtype=np.int64)
+                ok = (100 + percent) * apart <= (100 - percent) * (size[x] + size[y])
+                a, b = name[x[ok]], name[y[ok]]
+                found = np.unique(np.concatenate([found, np.stack([np.minimum(a, b), np.maximum(a, b)], 1)]), axis=0) if len(a) else found
+
+        group = np.repeat(np.arange(len(heads)), counts)
+        if hubs:
+            at = np.arange(len(key)) - heads[group]
+            for h in range(hubs):
+                j = np.flatnonzero(at > h)
+                add(heads[group[j]] + h, j)
+            several = np.logical_or.reduceat(part != part[heads][group], heads) & (counts > hubs + 1)
+            left = np.unique(name[several[group]])
+            found = np.concatenate([found, np.stack([left, left], 1)])
         else:
-            part = got.extra["part"][info]
             for h, c in zip(heads[counts > 1], counts[counts > 1], strict=True):
-                own = part[h : h + c]
-                if (own == own[0]).all():
-                    continue
-                x, names_here = got.extra[info[h : h + c]], name[h : h + c]
-                step = max(1, 2_000_000 // c)
+                step = max(1, 500_000 // c)
                 for k in range(0, c, step):
-                    i, j = np.nonzero(own[k : k + step, None] != own[None, :])
+                    i, j = np.nonzero(part[h + k : h + k + step, None] != part[h : h + c][None, :])
                     i += k
-                    i, j = i[i < j], j[i < j]
-                    for lo in range(0, len(i), 200_000):
-                        a, b = i[lo : lo + 200_000], j[lo : lo + 200_000]
-                        ok = close(x[a], x[b])
-                        pairs.append(np.stack([names_here[a[ok]], names_here[b[ok]]], 1))
-                if sum(map(len, pairs)) > 2_000_000:
-                    pairs = [np.unique(np.concatenate(pairs), axis=0)]
-                    if len(pairs[0]) > 1_000_000:
-                        yield _pairs(pairs.pop())
-        if pairs:
-            yield _pairs(np.unique(np.concatenate(pairs), axis=0))
-
-    source = sets.select("set", "size", "shared", "part")
-    return dealt(source, send, n).mapInArrow(match, "a long, b long").distinct()
+                    add(i[i < j] + h, j[i < j] + h)
+        for k in range(0, len(found), 100_000):
+            a, b = found[k : k + 100_000].T
+            head = np.append(True, a[1:] != a[:-1])
+            yield pack(slots, (mix64(a ^ mix64(b)) % _U(n)).astype(np.int64), np.cumsum(head) - 1, b, a[head])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = Unpacked(batches)
+        if len(got.keys):
+            yield _pairs(np.unique(np.stack([got.ids[got.run], got.keys], 1), axis=0))
+
+    return dealt(dealt(sets.select("set", "size", "shared", "part"), send, n), match, n).mapInArrow(merge, "a long, b long")
 
 
 def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
@@ -306,16 +312,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.select("a", "b", "a_size", "b_size", "a_shared", "b_shared").mapInArrow(test, "a long, b long")
 
 
-def linked_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def linked_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, hubs: int = 8) -> DataFrame:
     """(node, part): each set that has a link, and the smallest set of its component."""
     sets = written(shared_sets(docs, text, words, percent))
     n = fanout(sets, 4 << 20)
-    alone = sets.withColumn("part", F.col("set"))
-    first = written(verified(candidates(alone, False, n, percent), sets, percent))
-    parts = written(components(first))
-    labelled = sets.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("part", F.coalesce("part", "set"))
-    more = written(verified(candidates(labelled, True, n, percent), sets, percent))
-    return written(components(first.unionByName(more)))
+    links = written(verified(candidates(sets.withColumn("part", F.col("set")), 1, n, percent=percent).where("a <> b"), sets, percent))
+    found = written(candidates(_labelled(sets, components(links)), hubs, n, percent=percent))
+    links = written(links.unionByName(verified(found.where("a <> b"), sets, percent)))
+    left = found.where("a = b").select(F.col("a").alias("set"))
+    parts = written(components(links))
+    some = written(_labelled(sets.join(left, "set", "left_semi"), parts))
+    more = verified(candidates(some, None, n, 4 * BITS, percent), sets, percent)
+    return written(components(links.unionByName(more)))
+
+
+def _labelled(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    return sets.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("part", F.coalesce("part", "set"))
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -325,10 +337,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     stay two rows of one component. A null id is never the smallest, unless all are null.
     Other columns are not read. An empty table gives an empty result.
     """
-    every = membership(docs, F.col(id), text, words)
-    if every.isEmpty():
-        return every.select(F.col("doc_id"), "n_shingles", F.col("doc_id").alias("component_id"))
-    every = written(every)
+    every = written(membership(docs, F.col(id), text, words))
     parts = linked_sets(docs, text, words, percent)
     classes = every.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))
     classes = classes.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("part", F.coalesce("part", "set"))

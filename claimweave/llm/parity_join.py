@@ -218,11 +218,12 @@ def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = BITS, perc
     the first so many members of each group, in an order that is the same in all groups, pair
     with all its members, which covers groups of up to hubs + 1; the members of larger groups
     that have several parts are returned too, as (a, a). Without, all pairs of groups count.
-    Pairs whose sizes or parity sketches rule out a link are left out. The pairs of a reducer
+    Pairs whose sizes or parity sketches rule out a link are left out; shingles that no other
+    set has are differences besides those of the sketches. The pairs of a reducer
     go packed to reducers of pairs, since a pair shares many segments.
     """
     slots = spread(sets.sparkSession, n)
-    record = np.dtype([("size", "<u4"), ("part", "<u8"), ("parity", "u1", bits // 8)])
+    record = np.dtype([("size", "<u4"), ("missing", "<u4"), ("part", "<u8"), ("parity", "u1", bits // 8)])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,6 +234,7 @@ def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = BITS, perc
                 keys = [signatures(s, int(z), percent) for s, z in zip(own, sizes[low:], strict=False)]
                 extra = np.zeros(len(own), record)
                 extra["size"], extra["part"] = sizes[low : low + 1000], parts[low : low + 1000].view(_U)
+                extra["missing"] = extra["size"] - [len(s) for s in own]
                 extra["parity"] = np.stack([parity(s, bits) for s in own])
                 flat = np.concatenate(keys)
                 yield pack(slots, (flat % _U(n)).astype(np.int64), np.repeat(np.arange(len(own)), [len(k) for k in keys]), flat, names[low : low + 1000].view(_U), extra=extra)
@@ -241,47 +243,62 @@ def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = BITS, perc
         got = Unpacked(batches, record)
         if not len(got.keys):
             return
-        names = got.ids[got.run]
-        order = np.lexsort((mix64(names), got.keys))
-        key, name, run = got.keys[order], names[order], got.run[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
-        key, name, run = key[new], name[new], run[new]
-        size, part = got.extra["size"].astype(np.int64)[run], got.extra["part"][run]
+        known, first, local = np.unique(got.ids, return_index=True, return_inverse=True)
+        size, part = got.extra["size"][first].astype(np.int64), got.extra["part"][first]
+        missing = got.extra["missing"][first].astype(np.int64)
+        sketch = np.ascontiguousarray(got.extra["parity"][first]).view(_U)
+        who = local[got.run]
+        order = np.lexsort((mix64(known)[who], got.keys))
+        key, who = got.keys[order], who[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (who[1:] != who[:-1]))
+        key, who = key[new], who[new]
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         counts = np.diff(np.append(heads, len(key)))
-        found = np.zeros((0, 2), _U)
-
-        def add(i: np.ndarray, j: np.ndarray) -> None:
-            nonlocal found
-            for k in range(0, len(i), 100_000):
-                x, y = i[k : k + 100_000], j[k : k + 100_000]
-                ok = (part[x] != part[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+        group = np.repeat(np.arange(len(heads)), counts)
+        own = part[who]
+        waiting: list[np.ndarray] = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            """Pairs that wait, each once, as far as their sketches allow a link."""
+            code = np.unique(np.concatenate([*waiting, np.zeros(0, np.int64)]))
+            waiting.clear()
+            for k in range(0, len(code), 100_000):
+                x, y = np.divmod(code[k : k + 100_000], len(known))
+                apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(-1, dtype=np.int64) + missing[x] + missing[y]
+                ok = (x == y) | ((100 + percent) * apart <= (100 - percent) * (size[x] + size[y]))
                 x, y = x[ok], y[ok]
-                apart = np.bitwise_count(got.extra["parity"][run[x]] ^ got.extra["parity"][run[y]]).sum(-1, dtype=np.int64)
-                ok = (100 + percent) * apart <= (100 - percent) * (size[x] + size[y])
-                a, b = name[x[ok]], name[y[ok]]
-                found = np.unique(np.concatenate([found, np.stack([np.minimum(a, b), np.maximum(a, b)], 1)]), axis=0) if len(a) else found
+                if len(x):
+                    head = np.append(True, x[1:] != x[:-1])
+                    a, b = known[x], known[y]
+                    yield pack(slots, (mix64(a ^ mix64(b)) % _U(n)).astype(np.int64), np.cumsum(head) - 1, b, a[head])
+
+        def add(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            differ = own[i] != own[j]
+            x, y = who[i[differ]], who[j[differ]]
+            fit = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+            x, y = x[fit], y[fit]
+            waiting.append(np.minimum(x, y) * len(known) + np.maximum(x, y))
+            if sum(map(len, waiting)) > 3_000_000:
+                waiting[:] = [np.unique(np.concatenate(waiting))]
+                if len(waiting[0]) > 1_500_000:
+                    yield from settle()
 
-        group = np.repeat(np.arange(len(heads)), counts)
         if hubs:
             at = np.arange(len(key)) - heads[group]
             for h in range(hubs):
                 j = np.flatnonzero(at > h)
-                add(heads[group[j]] + h, j)
-            several = np.logical_or.reduceat(part != part[heads][group], heads) & (counts > hubs + 1)
-            left = np.unique(name[several[group]])
-            found = np.concatenate([found, np.stack([left, left], 1)])
+                yield from add(heads[group[j]] + h, j)
+            several = np.logical_or.reduceat(own != own[heads][group], heads) & (counts > hubs + 1)
+            left = np.unique(who[several[group]])
+            waiting.append(left * len(known) + left)
         else:
-            for h, c in zip(heads[counts > 1], counts[counts > 1], strict=True):
-                step = max(1, 500_000 // c)
-                for k in range(0, c, step):
-                    i, j = np.nonzero(part[h + k : h + k + step, None] != part[h : h + c][None, :])
-                    i += k
-                    add(i[i < j] + h, j[i < j] + h)
-        for k in range(0, len(found), 100_000):
-            a, b = found[k : k + 100_000].T
-            head = np.append(True, a[1:] != a[:-1])
-            yield pack(slots, (mix64(a ^ mix64(b)) % _U(n)).astype(np.int64), np.cumsum(head) - 1, b, a[head])
+            end = (heads + counts)[group]
+            i, step = np.arange(len(key)), 0
+            while len(i):  # each member with the one that comes so many places later, as long as the group goes on
+                step += 1
+                i = i[i + step < end[i]]
+                yield from add(i, i + step)
+        yield from settle()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Unpacked(batches)

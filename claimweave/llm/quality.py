@@ -25,12 +25,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
-def repeat_words(words: Column) -> Column:
-    """Words in 3-word windows that stand at two or more places, all counted."""
-    n = F.size(words)
+def repeat_words(hashes: Column) -> Column:
+    """Words in 3-word windows that stand at two or more places, all counted, from the words' 64-bit hashes."""
+    n = F.size(hashes)
 
     def covered(at: Column) -> Column:  # ascending starts: each covers up to the next one, 3 at most
         return F.aggregate(at, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(3), p - s["last"])).alias("n")))["n"]
@@ -40,44 +40,43 @@ def repeat_words(words: Column) -> Column:
         pairs = let(ordered, lambda s: F.filter(F.transform(s, lambda x, j: F.when((F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]), x["i"])), lambda p: p.isNotNull()))
         return F.sort_array(pairs)
 
-    keys = F.transform(F.slice(words, 1, n - 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    keys = F.transform(F.slice(hashes, 1, F.greatest(n - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
     return F.when(n < 3, F.lit(0)).otherwise(let(keys, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), F.lit(0)).otherwise(covered(starts(k)))))
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the words as _words."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the words' hashes as _hashes."""
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(NOT_SPACE))
     out = docs.withColumn("_words", words_of(value))
-    counts = let(F.col("_words"), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r")))
-    out = out.withColumn("_counts", counts).withColumns(
+    out = out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    return out.withColumns(
         {
-            "n_words": F.col("_counts.n").cast("long"),
-            "word_chars": F.length(F.regexp_replace(value, SPACE, "")).cast("long"),
-            "n_symbols": (F.length(value) - F.length(F.regexp_replace(value, SYMBOLS, ""))).cast("long"),
+            "n_words": F.size("_words").cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": F.regexp_count(value, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": F.col("_counts.r").cast("long"),
+            "n_repeat_words": let(F.col("_hashes"), repeat_words).cast("long"),
         }
-    )
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_counts")
+    ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def grams(words: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of all words and word pairs."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.pmod(F.xxhash64(w, F.get(words, i + 1)), F.lit(buckets)).cast("int"))
-    return F.concat(one, two)
+def pair(hashes: Column, h: Column, i: Column) -> Column:
+    """The hash of a word and the next one; null for the last."""
+    return h.bitwiseXOR(F.shiftleft(F.get(hashes, i + 1), 1))
 
 
 def trusted_form() -> Column:
-    """Strict rules of form on base counts: no failure, next to no symbols, repeats or repeated lines, words of usual length."""
+    """Strict rules of form: length, next to no symbols, no repeated lines, many different words, words of usual length."""
     n = F.col("n_words")
-    return ~F.col("base_failed") & (F.col("n_symbols") * 50 <= n) & (F.col("n_dup_lines") == 0) & (F.col("n_repeat_words") * 10 <= n) & F.col("word_chars").between(3 * n, 9 * n)
+    varied = F.size(F.array_distinct("_hashes")) * 5 >= n
+    return (n >= 50) & (F.col("n_symbols") * 50 <= n) & (F.col("n_dup_lines") == 0) & varied & F.col("word_chars").between(3 * n, 9 * n)
 
 
 def ratios(counted: DataFrame, trusted: Column, buckets: int = BUCKETS) -> DataFrame:
     """One row with the log ratio of each bucket, in order, as an array."""
-    rows = counted.select(trusted.alias("t"), F.explode(grams(F.col("_words"), buckets)).alias("bucket"))
+    every = let(F.col("_hashes"), lambda hashes: F.concat(hashes, F.transform(hashes, lambda h, i: pair(hashes, h, i))))
+    rows = counted.select(trusted.alias("t"), every.alias("all")).select("t", F.explode("all").alias("h")).where("h is not null").select("t", F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("t").alias("good"))
     whole = counted.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     listed = whole.agg(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good")))).alias("x"), F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"))
@@ -92,11 +91,13 @@ def quality(docs: DataFrame, text: str = "text", trusted: Column | None = None,
     A null text counts as empty: no words, base_failed, not kept. Equal rows get equal results.
     Columns of docs named like the new ones are replaced. An empty table gives an empty result.
     """
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "_words", "_counts")
+    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "_words", "_hashes", "_w")
     rest = [c for c in docs.columns if c not in new]
     counted = base_counts(docs.select(*rest), text)
     table = ratios(counted, trusted_form() if trusted is None else trusted, buckets).scalar()
-    total = lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(F.col("_w"), b))
-    scored = counted.withColumn("_w", table).withColumn("score", F.when(F.size("_words") > 0, let(grams(F.col("_words"), buckets), lambda g: total(g) / F.size(g))))
+    n = F.col("n_words")
+    weight = lambda h: F.get(F.col("_w"), F.pmod(h, F.lit(buckets)).cast("int"))
+    each = let(F.col("_hashes"), lambda hashes: F.transform(hashes, lambda h, i: weight(h) + F.coalesce(weight(pair(hashes, h, i)), F.lit(0.0))))
+    scored = counted.withColumn("_w", table).withColumn("score", F.when(n > 0, F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / (2 * n - 1)))
     kept = ~F.col("base_failed") & (F.coalesce("score", F.lit(float("-inf"))) >= threshold)
     return scored.withColumn("kept", kept).select(*rest, *new[:6], "kept", "score")

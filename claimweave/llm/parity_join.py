@@ -211,15 +211,14 @@ def shared_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent
     return dealt(found, match, n).mapInArrow(gather, "set long, size long, shared binary")
 
 
-def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = BITS, percent: int = PERCENT) -> DataFrame:
+def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = 0, percent: int = PERCENT) -> DataFrame:
     """Distinct (a, b), a < b, of sets in different parts that share a sketch segment.
 
     sets: (set, size, shared, part), part being the component so far; n: reducers. With hubs,
     the first so many members of each group, in an order that is the same in all groups, pair
     with all its members, which covers groups of up to hubs + 1; the members of larger groups
     that have several parts are returned too, as (a, a). Without, all pairs of groups count.
-    Pairs whose sizes or parity sketches rule out a link are left out; shingles that no other
-    set has are differences besides those of the sketches. The pairs of a reducer
+    Pairs whose sizes or, if bits are given, parity sketches rule out a link are left out. The pairs of a reducer
     go packed to reducers of pairs, since a pair shares many segments.
     """
     slots = spread(sets.sparkSession, n)
@@ -235,7 +234,8 @@ def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = BITS, perc
                 extra = np.zeros(len(own), record)
                 extra["size"], extra["part"] = sizes[low : low + 1000], parts[low : low + 1000].view(_U)
                 extra["missing"] = extra["size"] - [len(s) for s in own]
-                extra["parity"] = np.stack([parity(s, bits) for s in own])
+                if bits:
+                    extra["parity"] = np.stack([parity(s, bits) for s in own])
                 flat = np.concatenate(keys)
                 yield pack(slots, (flat % _U(n)).astype(np.int64), np.repeat(np.arange(len(own)), [len(k) for k in keys]), flat, names[low : low + 1000].view(_U), extra=extra)
 
@@ -246,7 +246,7 @@ def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = BITS, perc
         known, first, local = np.unique(got.ids, return_index=True, return_inverse=True)
         size, part = got.extra["size"][first].astype(np.int64), got.extra["part"][first]
         missing = got.extra["missing"][first].astype(np.int64)
-        sketch = np.ascontiguousarray(got.extra["parity"][first]).view(_U)
+        sketch = np.ascontiguousarray(got.extra["parity"][first]).view(_U) if bits else None
         who = local[got.run]
         order = np.lexsort((mix64(known)[who], got.keys))
         key, who = got.keys[order], who[order]
@@ -264,9 +264,9 @@ def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = BITS, perc
             waiting.clear()
             for k in range(0, len(code), 100_000):
                 x, y = np.divmod(code[k : k + 100_000], len(known))
-                apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(-1, dtype=np.int64) + missing[x] + missing[y]
-                ok = (x == y) | ((100 + percent) * apart <= (100 - percent) * (size[x] + size[y]))
-                x, y = x[ok], y[ok]
+                if bits:
+                    ok = (x == y) | _near(sketch[x], sketch[y], size[x], size[y], missing[x], missing[y], percent)
+                    x, y = x[ok], y[ok]
                 if len(x):
                     head = np.append(True, x[1:] != x[:-1])
                     a, b = known[x], known[y]
@@ -308,6 +308,41 @@ def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = BITS, perc
     return dealt(dealt(sets.select("set", "size", "shared", "part"), send, n), match, n).mapInArrow(merge, "a long, b long")
 
 
+def _near(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, missing_x: np.ndarray, missing_y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the Hamming distance of sketches, and the shingles that no other set has, leave a link possible."""
+    apart = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64) + missing_x + missing_y
+    return (100 + percent) * apart <= (100 - percent) * (size_x + size_y)
+
+
+def sketches(sets: DataFrame, bits: int = BITS) -> DataFrame:
+    """(set, size, missing, parity)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), _U) for x in batch.column(2)]
+            missing = batch.column(1).to_numpy() - np.array([len(s) for s in own], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(missing, pa.int64()), pa.array([parity(s, bits).tobytes() for s in own], pa.binary())], ["set", "size", "missing", "parity"])
+
+    return sets.select("set", "size", "shared").mapInArrow(make, "set long, size long, missing long, parity binary")
+
+
+def near(pairs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those (a, b) that their sketches allow to be linked."""
+    side = lambda x: known.select(F.col("set").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("size", "missing", "parity")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, na, nb, ma, mb = (batch.column(i).to_numpy() for i in range(6))
+            x, y = (np.stack([np.frombuffer(v.as_buffer(), _U) for v in batch.column(i)]) for i in (6, 7))
+            ok = _near(x, y, na, nb, ma, mb, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+
+    return both.select("a", "b", "a_size", "b_size", "a_missing", "b_missing", "a_parity", "b_parity").mapInArrow(test, "a long, b long")
+
+
 def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], ["a", "b"])
 
@@ -332,10 +367,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 def linked_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, hubs: int = 8) -> DataFrame:
     """(node, part): each set that has a link, and the smallest set of its component."""
     sets = written(shared_sets(docs, text, words, percent))
-    n = fanout(sets, 4 << 20)
-    links = written(verified(candidates(sets.withColumn("part", F.col("set")), 1, n, percent=percent).where("a <> b"), sets, percent))
+    known = written(sketches(sets))
+    n = groups(sets)
+    first = candidates(sets.withColumn("part", F.col("set")), 1, n, percent=percent).where("a <> b")
+    links = written(verified(near(first, known, percent), sets, percent))
     found = written(candidates(_labelled(sets, components(links)), hubs, n, percent=percent))
-    links = written(links.unionByName(verified(found.where("a <> b"), sets, percent)))
+    links = written(links.unionByName(verified(near(found.where("a <> b"), known, percent), sets, percent)))
     left = found.where("a = b").select(F.col("a").alias("set"))
     parts = written(components(links))
     some = written(_labelled(sets.join(left, "set", "left_semi"), parts))
@@ -343,6 +380,11 @@ def linked_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent
     return written(components(links.unionByName(more)))
 
 
+def groups(sets: DataFrame, bytes_each: int = 12 << 20) -> int:
+    """Reducers of sketch segments, by the size of the sets alone: each set sends its own particulars to each of them."""
+    return max(12, math.ceil(int(str(sets._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / bytes_each))
+
+
 def _labelled(sets: DataFrame, parts: DataFrame) -> DataFrame:
     return sets.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("part", F.coalesce("part", "set"))
 

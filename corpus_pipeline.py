@@ -1,10 +1,72 @@
-"""Corpus preparation: STAGES turn documents into training documents, one stage after another."""
+"""Corpus preparation: STAGES turn the documents table into a training mix, one stage after another.
+
+Each stage takes all that the one before it kept. All but the last return the columns of
+documents; the last adds what the mix takes of each document.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from claimweave.llm.decontamination import decontaminate
+from claimweave.llm.exchange import written
+from claimweave.llm.language_id import UNKNOWN, language_id
+from claimweave.llm.parity_join import jaccard_components
+from claimweave.llm.source_mix import source_mix
+from claimweave.llm.substring_dedup import substring_dedup
+
+#: The least calibrated probability with which a language is accepted.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no language with enough probability, go."""
+    named = language_id(docs)
+    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: that with the component's smallest id, or of rows of one id one.
+
+    Documents with a null id stay: they can't be told from their component.
+    """
+    parts = jaccard_components(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    kept = docs.join(parts, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated windows of 35 words go from the texts; n_chars follows. A document of which nothing is left goes."""
+    cut = substring_dedup(docs).where("kept_text is null or n_words = 0 or n_removed < n_words")
+    gone = F.col("n_removed") > 0
+    return cut.select(*(F.col("kept_text").alias("text") if c == "text" else F.when(gone, F.length("kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies to take of each document, so that the sources have their target shares; documents of no copy go."""
+    return source_mix(docs).where("copies > 0")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", remove_repeated_passages),
+    ("decontamination", remove_benchmark_leaks),
+    ("source_mix", mix_sources),
+]
+#: SQL can't express the trained classifier, the parity join or the BM25 search; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

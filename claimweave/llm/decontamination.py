@@ -2,8 +2,8 @@
 
 Test items (long ones in segments) make an inverted index whose weights are each segment's
 BM25 weights over its own full score, so one threshold fits all. Every training text is cut
-into overlapping passages, each a query. The block maxima of its rare terms, plus the maxima
-of its common ones, bound what any segment of a block can score; only passages with a block
+into overlapping passages, each a query. The block maxima of its rare terms, plus
+the most that common terms add to a segment of the block, bound what a segment can score; only passages with a block
 over the threshold run WAND, which skips by the same maxima and returns all segments at or
 above the threshold. A hit is verified on word triples of the item's question and its answer.
 
@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from .wordarrays import chunks, mix64, spans, text_buffer
 
 PASSAGE, SEGMENT, THRESHOLD, OVERLAP, INDEX_BYTES = 128, 48, 0.5, 0.5, 16 << 20
-K1, B, BLOCK, COMMON = 1.2, 0.75, 8, 0.05
+K1, B, BLOCK, COMMON = 1.2, 0.75, 2, 0.05
 _U = np.uint64
 #: ASCII bytes that are no letter or digit end a word; so "end." and "end" are the same.
 _BREAK = np.zeros(256, bool)
@@ -75,6 +75,9 @@ class Index:
         self.block_most = np.maximum.reduceat(self.weight, head) if n else np.zeros(0)
         self.block_of, self.blocks = self.post_row[head] // BLOCK, n // BLOCK + 1
         self.block_bound = np.searchsorted(self.post_term[head], np.arange(len(self.vocabulary) + 1))
+        common = self.common[self.post_term]  # what common terms can add in a block, whatever the query
+        of_row = np.bincount(self.post_row[common], self.weight[common], minlength=self.blocks * BLOCK)
+        self.block_common = of_row.reshape(self.blocks, BLOCK).max(1)
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.vocabulary & _U(0xFFFF)).astype(np.int64)] = True
 
@@ -134,16 +137,15 @@ class Index:
             fine = np.concatenate([k < n_passages[text], k > 0])
             code = np.unique(passage[fine] * len(self.vocabulary) + np.concatenate([term, term])[fine])
             passage, term = np.divmod(code, len(self.vocabulary))
-            common = self.common[term]
-            rest = np.bincount(passage[common], self.most[term[common]], minlength=base[-1])
-            p, t = passage[~common], term[~common]
+            rare = ~self.common[term]
+            p, t = passage[rare], term[rare]
             count = self.block_bound[t + 1] - self.block_bound[t]
             flat = np.arange(count.sum()) + np.repeat(self.block_bound[t] - (np.cumsum(count) - count), count)
             key, where = np.unique(np.repeat(p, count) * self.blocks + self.block_of[flat], return_inverse=True)
             top = np.bincount(where, self.block_most[flat], minlength=len(key))
-            open_ = np.unique(key[top + rest[key // self.blocks] >= threshold - 1e-9] // self.blocks)
-            if (rest >= threshold).any():
-                open_ = np.union1d(open_, np.flatnonzero(rest >= threshold))
+            open_ = np.unique(key[top + self.block_common[key % self.blocks] >= threshold - 1e-9] // self.blocks)
+            if (self.block_common >= threshold - 1e-9).any():  # an item of common terms alone: then every passage is a query
+                open_ = np.unique(passage)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for q in open_:
                 a, b = np.searchsorted(passage, [q, q + 1])

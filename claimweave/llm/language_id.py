@@ -10,7 +10,7 @@ A fifth of the sample is held out to fit the temperature.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-DIM, SAMPLE, EPOCHS = 1 << 13, 3000, 3
+DIM, SAMPLE, EPOCHS = 1 << 13, 2000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -52,16 +52,19 @@ class Model:
         return e / e.sum(-1, keepdims=True)
 
 
-def fit(langs: list[str], idf: np.ndarray, rows: list[tuple[int, np.ndarray]]) -> Model:
+def fit(langs: list[str], idf: np.ndarray, rows: Iterable[tuple[int, np.ndarray]]) -> Model:
     """FTRL-proximal over the rows (language, n-gram counts), with a temperature from every fifth."""
     model = Model(langs, idf, np.zeros((len(idf) + 1, len(langs))))
-    data = [(y, model.vector(n)) for y, n in rows]
+    data = []
+    for y, n in rows:
+        x = model.vector(n)
+        at = np.flatnonzero(x)
+        data.append((y, at, x[at].astype(np.float32)))
     held, train = data[::5], [d for i, d in enumerate(data) if i % 5]
     z, n = np.zeros_like(model.weights), np.zeros_like(model.weights)
     for _ in range(EPOCHS):
-        for y, x in train or data:
-            at = np.flatnonzero(x)
-            v = x[at, None]
+        for y, at, x in train or data:
+            v = x[:, None].astype(float)
             w = np.where(np.abs(z[at]) <= L1, 0.0, -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
             s = (v * w).sum(0)
             p = np.exp(s - s.max())
@@ -73,11 +76,12 @@ def fit(langs: list[str], idf: np.ndarray, rows: list[tuple[int, np.ndarray]]) -
             n[at] += g * g
     model.weights = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     if held:
-        x, y = np.stack([d[1] for d in held]), np.array([d[0] for d in held])
+        y = np.array([d[0] for d in held])
+        logits = np.stack([x @ model.weights[at] for _, at, x in held])
 
         def loss(t: float) -> float:
-            model.temperature = t
-            return -np.log(np.maximum(model.probabilities(x)[np.arange(len(y)), y], 1e-12)).mean()
+            e = np.exp((logits - logits.max(-1, keepdims=True)) / t)
+            return -np.log(np.maximum((e / e.sum(-1, keepdims=True))[np.arange(len(y)), y], 1e-12)).mean()
 
         model.temperature = float(min(np.exp(np.linspace(-3, 2, 61)), key=loss))
     return model
@@ -109,7 +113,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
     rows = sorted((r.lang, bytes(r.n)) for r in rows)
     langs = sorted({r[0] for r in rows})
     order = np.random.default_rng(5).permutation(len(rows))
-    return fit(langs, np.log((df[0] + 1) / (df[1:] + 1)) + 1, [(langs.index(rows[i][0]), np.frombuffer(rows[i][1], "<u2").astype(float)) for i in order])
+    return fit(langs, np.log((df[0] + 1) / (df[1:] + 1)) + 1, ((langs.index(rows[i][0]), np.frombuffer(rows[i][1], "<u2").astype(float)) for i in order))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .decontamination import contaminated
 from .language_id import language_id
 from .licenses import license_scan
+from .lm_scoring import lm_scores
 from .parity_join import jaccard_components
 from .quality import quality
 from .source_mix import source_mix
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts, with_bytes
 from .toxicity import toxicity
 
 
@@ -46,11 +48,27 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file, by the package that has them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return token_counts(docs, tokenizer_file("piece_bpe_32k.model")).drop("text")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
 
@@ -62,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_license_scan": op5_license_scan,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_source_mix": op8_source_mix,
+    "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
 

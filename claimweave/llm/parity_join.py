@@ -13,7 +13,7 @@ have a Jaccard index of at least t differ in at most (1-t)/(1+t) * (|A|+|B|) shi
    so of two linked sets one is sound at a seed that both have used.
 3. Pigeonhole join on (band, seed, segment, value). A bit sketch of 512 parities rejects pairs
    whose Hamming distance is beyond the bound; the rest are verified on the shingle sets.
-   First each member is tested against one hub of its group, then against eight, and last all
+   First each member is tested against one hub of its group, then against six, and last all
    pairs of the groups that are larger and still have several parts. Only pairs between
    different components are tested after the first round, as others change nothing.
 
@@ -276,6 +276,7 @@ def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = 0, percent
             differ = own[i] != own[j]
             x, y = who[i[differ]], who[j[differ]]
             fit = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+            fit &= (100 + percent) * (missing[x] + missing[y]) <= (100 - percent) * (size[x] + size[y])
             x, y = x[fit], y[fit]
             waiting.append(np.minimum(x, y) * len(known) + np.maximum(x, y))
             if sum(map(len, waiting)) > 3_000_000:
@@ -364,7 +365,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.select("a", "b", "a_size", "b_size", "a_shared", "b_shared").mapInArrow(test, "a long, b long")
 
 
-def linked_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, hubs: int = 8) -> DataFrame:
+def linked_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, hubs: int = 6) -> DataFrame:
     """(node, part): each set that has a link, and the smallest set of its component."""
     sets = written(shared_sets(docs, text, words, percent))
     known = written(sketches(sets))

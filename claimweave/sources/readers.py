@@ -12,10 +12,11 @@ from claimweave.operators.resolve import DOCUMENT
 
 def read_documents(spark: SparkSession, folder: str, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, unreadable): JSON files of the folder, whatever the case of .json. Provenance: the document's file name, else the file's."""
-    reader = spark.read.schema(f"{DOCUMENT}, _bad STRING").option("multiLine", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]").option("columnNameOfCorruptRecord", "_bad")
-    rows = reader.option("recursiveFileLookup", recursive).json(folder).withColumn("_path", F.col("_metadata.file_name"))
+    files = lambda: spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN]").option("recursiveFileLookup", recursive)
+    rows = files().schema(f"{DOCUMENT}, _bad STRING").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(folder).withColumn("_path", F.col("_metadata.file_name"))
     good = rows.where("_bad is null").drop("_bad").withColumn("filename", F.coalesce("filename", "_path"))
-    return good, rows.where("_bad is not null").select("_path", F.col("_bad").alias("raw"))
+    raw = files().text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("_path"), F.col("value").alias("raw"))
+    return good, raw.where(F.try_parse_json("raw").isNull())
 
 
 def read_articles(spark: SparkSession, folder: str) -> DataFrame:

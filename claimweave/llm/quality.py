@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, THRESHOLD = 1 << 16, -0.1
+BUCKETS, THRESHOLD = 1 << 16, -0.12
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"

@@ -67,14 +67,16 @@ def repeated_windows(docs: DataFrame, row: Column, text: str = "text", width: in
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Unpacked(batches)
         ids = got.ids[got.run]
-        order = np.lexsort((got.places, ids)) if len(ids) else np.zeros(0, np.int64)
-        ids, places = ids[order], got.places[order] if len(ids) else order
-        head = np.append(True, (ids[1:] != ids[:-1]) | (places[1:] > places[:-1] + width))[: len(ids)]
+        if not len(ids):
+            return
+        order = np.lexsort((got.places, ids))
+        ids, places = ids[order], got.places[order]
+        head = np.append(True, (ids[1:] != ids[:-1]) | (places[1:] > places[:-1] + width))
         begin = np.flatnonzero(head)
         end = np.append(begin[1:], len(ids)) - 1
         limits = np.stack([places[begin], places[end] + width], 1).astype("<u4")
         ids = ids[begin]
-        rows = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+        rows = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         ends = np.append(rows[1:], len(ids))
         for k in range(0, len(rows), 5000):
             a, b = rows[k : k + 5000], ends[k : k + 5000]

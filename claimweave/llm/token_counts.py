@@ -4,7 +4,7 @@ An Aho-Corasick automaton lists all vocabulary pieces that end at each character
 first. The best path to a position is the first of the highest score in that order, so on ties
 the longer last piece wins. A character without a piece of its own is unknown, at ten below the
 lowest score, and counts as its UTF-8 bytes where the vocabulary has byte pieces, else a run of
-unknown ones counts as one. Spaces become the word mark, one goes before the text, and each mark
+unknown ones counts as one. Spaces become the word mark, one goes before a text that has none there, and each mark
 begins a word; words are looked up in a bounded table of counts.
 """
 
@@ -77,6 +77,8 @@ class Counter(dict):
     def text(self, text: str | None) -> int:
         if not text:
             return 0
+        if text[0] in (" ", MARK):  # the text begins with a mark of its own
+            text = text[1:]
         return sum(map(self.__getitem__, (w for part in text.split(" ") for w in part.split(MARK)))) if MARK in text else sum(map(self.__getitem__, text.split(" ")))
 
 

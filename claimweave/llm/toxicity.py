@@ -24,7 +24,7 @@ from .language_id import held_out
 
 SAMPLE, MOST_TERMS, LEAST_DOCS, LEAST_WEIGHT = 4000, 2000, 4, 2.0
 #: Letters that look like others, and digits used for letters.
-HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ո": "n", "α": "a", "ο": "o", "ρ": "p", "ι": "i", "ν": "v", "ε": "e", "τ": "t", "κ": "k"}
+HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "т": "t", "к": "k", "м": "m", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ո": "n", "α": "a", "ο": "o", "ρ": "p", "ι": "i", "ν": "v", "ε": "e", "τ": "t", "κ": "k"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 #: Phrases in which a lexicon word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "loser bracket", "pond scum")

@@ -114,12 +114,13 @@ class Unpacked:
                 parts["steps"].append(unplanes(places, np.uint32))
         join = lambda name, kind: np.concatenate(parts.pop(name)) if parts[name] else np.zeros(0, kind)
         self.ids, self.extra, self.lens, self.keys, steps = join("ids", np.uint64), join("extra", extra_type), join("lens", np.uint32), join("keys", np.uint64), join("steps", np.uint32)
-        self.run = np.repeat(np.arange(len(self.lens)), self.lens)
+        self.run = np.repeat(np.arange(len(self.lens), dtype=np.uint32), self.lens)
         self.places = None
         if len(steps):
             total = np.cumsum(steps, dtype=np.int64)
             heads = np.cumsum(self.lens, dtype=np.int64) - self.lens
-            self.places = total - (total[heads] - steps[heads])[self.run]
+            total -= (total[heads] - steps[heads])[self.run]
+            self.places = total.astype(np.uint32)
 
 
 def dealt(df: DataFrame, pack_batches: Callable, n: int) -> DataFrame:

@@ -49,15 +49,17 @@ def repeated_windows(docs: DataFrame, row: Column, text: str = "text", width: in
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Unpacked(batches)
-        order = np.argsort(got.keys)
+        order = np.argsort(got.keys).astype(np.uint32)
         key = got.keys[order]
+        del got.keys
         same = key[1:] == key[:-1]
-        twice = np.zeros(len(key), bool)
+        del key
+        twice = np.zeros(len(order), bool)
         twice[1:] |= same
         twice[:-1] |= same
         found = order[twice]
         run = got.run[found]
-        ids, places = got.ids[run], got.places[found].astype(np.uint32) if len(found) else np.zeros(0, np.uint32)
+        ids, places = got.ids[run], got.places[found] if len(found) else np.zeros(0, np.uint32)
         order = np.lexsort((places, ids))
         ids, places = ids[order], places[order]
         if len(ids):
@@ -71,7 +73,7 @@ def repeated_windows(docs: DataFrame, row: Column, text: str = "text", width: in
             return
         order = np.lexsort((got.places, ids))
         ids, places = ids[order], got.places[order]
-        head = np.append(True, (ids[1:] != ids[:-1]) | (places[1:] > places[:-1] + width))
+        head = np.append(True, (ids[1:] != ids[:-1]) | (places[1:] > places[:-1] + np.uint32(width)))
         begin = np.flatnonzero(head)
         end = np.append(begin[1:], len(ids)) - 1
         limits = np.stack([places[begin], places[end] + width], 1).astype("<u4")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (1 << 20) - 2  # so that tables of powers for a chunk end at 2**20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -81,10 +81,12 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string array; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
+    if texts.type not in (pa.string(), pa.large_string()):
+        texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
-    off = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1 + texts.offset)[texts.offset :] if len(texts) else np.zeros(1, np.int64)
+    kind = np.int64 if texts.type == pa.large_string() else np.int32
+    off = np.frombuffer(texts.buffers()[1], kind, len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     raw = texts.buffers()[2] if len(texts) else None
     data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None else np.zeros(0, np.uint8)
     return data, off - off[0]

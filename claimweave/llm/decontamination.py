@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .exchange import mapped
 from .wordarrays import chunks, mix64, spans, text_buffer
 
 PASSAGE, SEGMENT, THRESHOLD, OVERLAP, INDEX_BYTES = 128, 48, 0.5, 0.5, 16 << 20
@@ -200,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
                     own = pa.array([index.ids[x] for x in i])
                     yield pa.RecordBatch.from_arrays([*kept.columns[1:], own, *(pa.array(x, pa.float64()) for x in numbers)], [*rest, *new])
 
-        part = source.mapInArrow(run, schema)
+        part = source.transform(mapped, run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -216,5 +217,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 keep[[m[0] for m in index.matches(batch.column(at).cast(pa.string()), threshold, overlap)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(mapped, run, docs.schema)
     return docs

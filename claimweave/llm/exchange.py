@@ -8,6 +8,7 @@ only its own tasks.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -123,9 +124,24 @@ class Unpacked:
             self.places = total.astype(np.uint32)
 
 
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), after which a task gives its free memory back: workers are kept, and what they hold would add up over stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(task, schema)
+
+
 def dealt(df: DataFrame, pack_batches: Callable, n: int) -> DataFrame:
     """Rows of ``PACKED`` from pack_batches over df's Arrow batches, dealt to n partitions by slot."""
-    return df.mapInArrow(pack_batches, PACKED).repartition(n, "slot")
+    return df.transform(mapped, pack_batches, PACKED).repartition(n, "slot")
 
 
 def shared_folder(spark: SparkSession) -> str:

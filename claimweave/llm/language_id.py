@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .exchange import mapped
+
 DIM, SAMPLE, EPOCHS = 1 << 13, 2000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
@@ -100,7 +102,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, dim)), pa.array(np.append(rows, total))], ["feature", "n"])
 
     df = np.zeros(dim + 1)
-    for feature, n in known.select("text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n")).toLocalIterator():
+    for feature, n in known.select("text").transform(mapped, frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n")).toLocalIterator():
         df[feature + 1] = n
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
 
     share = min(1.0, 1.2 * sample / max(df[0], 1.0))
     drawn = known.withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1 << 30))).where(F.col("_h") <= F.lit(int(share * (1 << 30))))
-    rows = drawn.orderBy("_h", "text").limit(sample).select("text", "lang").mapInArrow(features, "lang string, n binary").collect()
+    rows = drawn.orderBy("_h", "text").limit(sample).select("text", "lang").transform(mapped, features, "lang string, n binary").collect()
     rows = sorted((r.lang, bytes(r.n)) for r in rows)
     langs = sorted({r[0] for r in rows})
     order = np.random.default_rng(5).permutation(len(rows))
@@ -138,7 +140,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*rest, "lang_pred", "score"])
 
     source = docs.select(*rest)
-    return source.mapInArrow(run, StructType([*source.schema.fields]).add("lang_pred", "string").add("score", "double"))
+    return source.transform(mapped, run, StructType([*source.schema.fields]).add("lang_pred", "string").add("score", "double"))
 
 
 def held_out(id: str = "doc_id", folds: int = 5) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import Unpacked, dealt, fanout, pack, spread, written
+from .exchange import Unpacked, dealt, fanout, mapped, pack, spread, written
 from .wordarrays import chunks, mix64, spans, windows
 
 WORDS, PERCENT, BITS, SEEDS = 5, 75, 512, 16
@@ -144,7 +144,7 @@ def membership(docs: DataFrame, id: Column, text: str = "text", words: int = WOR
 
     source = docs.select(id.alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(sizes, f"doc_id {kind}, set long, n_shingles long")
+    return source.transform(mapped, sizes, f"doc_id {kind}, set long, n_shingles long")
 
 
 def shared_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -208,7 +208,7 @@ def shared_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent
             yield pa.RecordBatch.from_arrays([pa.array(sets[a].view(np.int64)), pa.array(size[a].astype(np.int64)), pa.array([key[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())], ["set", "size", "shared"])
 
     found = dealt(docs.select(F.col(text).cast("string").alias("text")), send, n)
-    return dealt(found, match, n).mapInArrow(gather, "set long, size long, shared binary")
+    return dealt(found, match, n).transform(mapped, gather, "set long, size long, shared binary")
 
 
 def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = 0, percent: int = PERCENT) -> DataFrame:
@@ -306,7 +306,7 @@ def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = 0, percent
         if len(got.keys):
             yield _pairs(np.unique(np.stack([got.ids[got.run], got.keys], 1), axis=0))
 
-    return dealt(dealt(sets.select("set", "size", "shared", "part"), send, n), match, n).mapInArrow(merge, "a long, b long")
+    return dealt(dealt(sets.select("set", "size", "shared", "part"), send, n), match, n).transform(mapped, merge, "a long, b long")
 
 
 def _near(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, missing_x: np.ndarray, missing_y: np.ndarray, percent: int) -> np.ndarray:
@@ -324,7 +324,7 @@ def sketches(sets: DataFrame, bits: int = BITS) -> DataFrame:
             missing = batch.column(1).to_numpy() - np.array([len(s) for s in own], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(missing, pa.int64()), pa.array([parity(s, bits).tobytes() for s in own], pa.binary())], ["set", "size", "missing", "parity"])
 
-    return sets.select("set", "size", "shared").mapInArrow(make, "set long, size long, missing long, parity binary")
+    return sets.select("set", "size", "shared").transform(mapped, make, "set long, size long, missing long, parity binary")
 
 
 def near(pairs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -341,7 +341,7 @@ def near(pairs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFram
             ok = _near(x, y, na, nb, ma, mb, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
-    return both.select("a", "b", "a_size", "b_size", "a_missing", "b_missing", "a_parity", "b_parity").mapInArrow(test, "a long, b long")
+    return both.select("a", "b", "a_size", "b_size", "a_missing", "b_missing", "a_parity", "b_parity").transform(mapped, test, "a long, b long")
 
 
 def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
@@ -362,7 +362,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 ok[i] = 100 * common >= percent * (int(na[i]) + int(nb[i]) - common)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
-    return both.select("a", "b", "a_size", "b_size", "a_shared", "b_shared").mapInArrow(test, "a long, b long")
+    return both.select("a", "b", "a_size", "b_size", "a_shared", "b_shared").transform(mapped, test, "a long, b long")
 
 
 def linked_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, hubs: int = 6) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Unpacked, dealt, fanout, pack, spread
+from .exchange import Unpacked, dealt, fanout, mapped, pack, spread
 from .wordarrays import chunks, mix64, rabin_karp, spans, windows
 
 WIDTH = 35
@@ -85,7 +85,7 @@ def repeated_windows(docs: DataFrame, row: Column, text: str = "text", width: in
             yield pa.RecordBatch.from_arrays([pa.array(ids[a].view(np.int64)), pa.array([limits[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())], ["row", "gone"])
 
     source = docs.select(row.alias("row"), F.col(text).cast("string").alias("text"))
-    return dealt(dealt(source, send, n), match, n).mapInArrow(merge, "row long, gone binary")
+    return dealt(dealt(source, send, n), match, n).transform(mapped, merge, "row long, gone binary")
 
 
 def kept_mask(n_words: int, gone: bytes) -> np.ndarray:
@@ -129,4 +129,4 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
                 out[3].append(hashlib.sha256(joined).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(rest))] + [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], [*rest, *new])
 
-    return both.select(*rest, "_gone").mapInArrow(finish, schema)
+    return both.select(*rest, "_gone").transform(mapped, finish, schema)

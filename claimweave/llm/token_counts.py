@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .exchange import mapped
+
 MARK, UNKNOWN_PENALTY, MOST_WORDS = "▁", 10.0, 300_000
 
 
@@ -90,7 +92,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     """
     rest = [c for c in docs.columns if c != "n_tokens"]
     source = docs.select(*rest)
-    return source.mapInArrow(partial(_count, path=vocabulary, at=rest.index(text), names=[*rest, "n_tokens"]), StructType([*source.schema.fields]).add("n_tokens", "long"))
+    return source.transform(mapped, partial(_count, path=vocabulary, at=rest.index(text), names=[*rest, "n_tokens"]), StructType([*source.schema.fields]).add("n_tokens", "long"))
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str, at: int, names: list[str]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .exchange import mapped
 from .language_id import held_out
 
 SAMPLE, MOST_TERMS, LEAST_DOCS, LEAST_WEIGHT = 4000, 2000, 4, 2.0
@@ -139,4 +140,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*rest, "held_out", "score", "predicted"])
 
     source = docs.select(*rest).withColumn("held_out", held_out(id, folds))
-    return source.mapInArrow(run, StructType([*source.schema.fields]).add("score", "double").add("predicted", "integer"))
+    return source.transform(mapped, run, StructType([*source.schema.fields]).add("score", "double").add("predicted", "integer"))

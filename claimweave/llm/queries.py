@@ -56,7 +56,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return lm_scores(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from claimweave.llm.decontamination import Index, contaminated, decontaminate
 from claimweave.llm.exchange import _murmur3
 from claimweave.llm.language_id import language_id
 from claimweave.llm.licenses import license_scan
-from claimweave.llm.lm_scoring import lm_scores
+from claimweave.llm.lm_scoring import _tokenizer, lm_scores, subwords
 from claimweave.llm.parity_join import jaccard_components
 from claimweave.llm.quality import quality
 from claimweave.llm.queries import tokenizer_file
@@ -193,11 +194,19 @@ def test_lm_base(both):
     c = Counter(w for i, ws in rows if not held(i) for w in ws)
     n, v = sum(c.values()), len(c)
     want = sorted(((i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for i, w in rows), key=repr)
-    out = lm_scores(both, tokenizer_file("word_bpe_49k.json"), steps=30, sample=60).collect()
+    out = lm_scores(both, tokenizer_file("byte_bpe_50k.tiktoken"), steps=30, sample=60).collect()
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out), key=repr) == want
     assert all(r.score < 0 for r in out)
 
 
+def test_subwords_are_those_of_each_word():
+    texts = ["It's A\u00a0b  \u2003x\n\u3000", "", "na\u00efve \ud55c\uad6d\uc5b4 ''s 12a%\u0301 <|endoftext|>", "A" * 3000]
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    for _, _, ids, first, counts in subwords(path, pa.array(texts)):
+        want = [[i for w in words(low(t)) for i in _tokenizer(path)[0].encode_ordinary(" " + w)] for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want and counts.tolist() == [len(words(t)) for t in texts]
+
+
 def test_mix(both):
     out = source_mix(both).collect()
     assert len(out) == both.count() and all(r.copies <= 3 for r in out)

@@ -15,7 +15,7 @@ from claimweave.llm.decontamination import Index, contaminated, decontaminate
 from claimweave.llm.exchange import _murmur3
 from claimweave.llm.language_id import language_id
 from claimweave.llm.licenses import license_scan
-from claimweave.llm.lm_scoring import _tokenizer, lm_scores, subwords
+from claimweave.llm.lm_scoring import _tokenizer, drawn_windows, fit, lm_scores, refined, subwords
 from claimweave.llm.parity_join import jaccard_components
 from claimweave.llm.quality import quality
 from claimweave.llm.queries import tokenizer_file
@@ -199,6 +199,29 @@ def test_lm_base(both):
     assert all(r.score < 0 for r in out)
 
 
+def test_lm_learns_from_texts_outside_the_sample(spark):
+    """Two vocabularies of which a sample of one text can hold one; the third is in held-out texts only."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    lines = ["river stone river stone " * 8, "violet copper violet copper " * 8, "quartz meadow quartz meadow " * 8]
+    rows = [(i, lines[i % 3]) for i in range(600) if i % 3 < 2 or held(i)]
+    out = {}
+    for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_file("byte_bpe_50k.tiktoken"), steps=20, sample=1).where("held_out").collect():
+        out.setdefault(r.doc_id % 3, r.score)
+    assert min(out[0], out[1]) > out[2] + 32
+
+
+def test_lm_weights_follow_all_texts(spark):
+    """Without any sample the rounds alone learn which of two equally frequent classes comes next, and partitions change nothing."""
+    end = 2
+    windows = np.array([drawn_windows(np.array([k % 2, 1 - k % 2] * 20), end, k, every=1)[1] for k in range(512)])
+    rows = spark.createDataFrame([(k, bytearray(w.astype("<u2").tobytes())) for k, w in enumerate(windows)], "_row long, windows binary")
+    fresh = fit(np.array([10, 10, 1]), [], classes=3)
+    models = [refined(fresh, rows.repartition(n), shard=200, rounds=4, rate=0.05) for n in (1, 3)]
+    text, first = np.array([0, 1] * 20), np.array([0, 40])
+    assert models[0].score(text, first)[0] > fresh.score(text, first)[0] + 5
+    assert all(np.array_equal(models[0].weights[k], models[1].weights[k]) for k in fresh.weights)
+
+
 def test_subwords_are_those_of_each_word():
     texts = ["It's A\u00a0b  \u2003x\n\u3000", "", "na\u00efve \ud55c\uad6d\uc5b4 ''s 12a%\u0301 <|endoftext|>", "A" * 3000]
     path = tokenizer_file("byte_bpe_50k.tiktoken")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from claimweave.llm.decontamination import Index, contaminated, decontaminate
 from claimweave.llm.exchange import _murmur3
 from claimweave.llm.language_id import language_id
-from claimweave.llm.licenses import license_scan
+from claimweave.llm.licenses import TEMPLATES, license_scan
 from claimweave.llm.lm_scoring import _tokenizer, drawn_windows, fit, lm_scores, refined, subwords
 from claimweave.llm.parity_join import jaccard_components
 from claimweave.llm.quality import quality
@@ -141,6 +141,15 @@ def test_license_method_labels(spark):
     assert [r.labels for r in license_scan(df).orderBy("doc_id").collect()] == ["cc-by-nc-4.0", "", "mit-text"]
 
 
+def test_licenses_of_several_notices(spark):
+    """Each notice of a file is found, however many licence words the others bring."""
+    whole = {name: notice for name, notice, _ in TEMPLATES}
+    apart = [("mit-text", "apache-2.0"), ("apache-2.0", "gpl-3.0"), ("apache-2.0", "cc-by-nc-4.0"), ("gpl-3.0", "cc-by-nc-4.0"), ("bsd", "apache-2.0"), ("mit-notice", "mit-text"), tuple(whole)]
+    df = spark.createDataFrame([(k, " filler ".join(whole[x] for x in names)) for k, names in enumerate(apart)], "doc_id long, text string")
+    for r in license_scan(df).collect():
+        assert set(apart[r.doc_id]) <= set(r.labels.split(",")) and r.score == 1
+
+
 def test_toxicity(spark, docs):
     assert fold("1D1ОТ") == "idiot"
     lexicon = learn([("you idiot here", 1)] * 6 + [("fine day here", 0)] * 20)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from claimweave.llm.decontamination import Index, contaminated, decontaminate
 from claimweave.llm.exchange import _murmur3
 from claimweave.llm.language_id import language_id
-from claimweave.llm.licenses import TEMPLATES, license_scan
+from claimweave.llm.licenses import TEMPLATES, hint, license_scan
 from claimweave.llm.lm_scoring import _tokenizer, drawn_windows, fit, lm_scores, refined, subwords
 from claimweave.llm.parity_join import jaccard_components
 from claimweave.llm.quality import quality
@@ -150,6 +150,16 @@ def test_licenses_of_several_notices(spark):
         assert set(apart[r.doc_id]) <= set(r.labels.split(",")) and r.score == 1
 
 
+def test_licenses_without_the_word_license(spark):
+    """Files are chosen by the key phrases of the templates given."""
+    df = spark.createDataFrame([(0, "Text shared under CC BY-SA 4.0."), (1, "Photos are available under CC BY-NC 4.0"), (2, "dedicated to the Public Domain by its author")], "doc_id long, text string")
+    assert [r.labels for r in license_scan(df).orderBy("doc_id").collect()] == ["cc-by-sa-4.0", "cc-by-nc-4.0", ""]
+    own = (("pd", "dedicated to the public domain", ("public domain",)),)
+    assert [r.labels for r in license_scan(df, templates=own).orderBy("doc_id").collect()] == ["", "", "pd"]
+    for _, notice, keys in TEMPLATES:
+        assert all(re.search(hint(p for _, _, k in TEMPLATES for p in k), k) for k in keys), notice
+
+
 def test_toxicity(spark, docs):
     assert fold("1D1ОТ") == "idiot"
     lexicon = learn([("you idiot here", 1)] * 6 + [("fine day here", 0)] * 20)

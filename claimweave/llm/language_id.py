@@ -2,14 +2,16 @@
 
 Code-point n-grams of 1 to 3 characters of the lower-cased text hash into ``dim`` features.
 Document frequencies are counted in Spark over all training documents. Weights are fitted on
-the driver on a sample of at most ``sample`` labelled rows, one bounded by a parameter, with
-FTRL-proximal steps and elastic-net penalties, whose first part leaves most weights at zero.
+the driver on at most ``sample`` different labelled texts, as many of each language as far as
+they go and one at least, with FTRL-proximal steps and elastic-net penalties, whose first part leaves most weights at zero.
 A fifth of the sample is held out to fit the temperature.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -62,7 +64,9 @@ def fit(langs: list[str], idf: np.ndarray, rows: Iterable[tuple[int, np.ndarray]
         x = model.vector(n)
         at = np.flatnonzero(x)
         data.append((y, at, x[at].astype(np.float32)))
-    held, train = data[::5], [d for i, d in enumerate(data) if i % 5]
+    often = Counter(d[0] for d in data)
+    held = [d for i, d in enumerate(data) if not i % 5 and often[d[0]] >= 5]
+    train = [d for i, d in enumerate(data) if i % 5 or often[d[0]] < 5]
     z, n = np.zeros_like(model.weights), np.zeros_like(model.weights)
     for _ in range(EPOCHS):
         for y, at, x in train or data:
@@ -107,15 +111,31 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([counts(v.as_py(), dim).astype("<u2").tobytes() for v in batch.column(0)], pa.binary())], ["lang", "n"])
+            for y, h, value in zip(*batch.columns, strict=True):
+                n = counts(value.as_py(), dim).astype("<u2")
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([y.as_py()], pa.string()), "h": [h.as_py()], "at": [at.astype("<u4").tobytes()], "n": [n[at].tobytes()]})
+
+    hashed = known.withColumn("_x", F.xxhash64("text"))
+    texts = {r.lang: r.n for r in hashed.groupBy("lang").agg(F.approx_count_distinct("_x", 0.02).alias("n")).collect()}
+    langs = sorted(texts)
+    quota = max(1, sample // max(len(langs), 1))
+    rows = []
+    if langs:
+        wanted = 1.2 * quota + 4 * quota**0.5 + 10  # by hash, so that tasks send the driver little more than the sample
+        shares = F.create_map(*[F.lit(x) for y in langs for x in (y, int(min(1.0, wanted / max(texts[y], 1)) * (1 << 30)))])
+        drawn = hashed.withColumn("_h", F.pmod("_x", F.lit(1 << 30))).where(F.col("_h") <= shares[F.col("lang")])
+        once = drawn.groupBy("lang", "_h", "_x").agg(F.min("text").alias("text")).select("lang", "_h", "text")
+        found = sorted((r.lang, r.h, bytes(r.at), bytes(r.n)) for r in once.transform(mapped, features, "lang string, h long, at binary, n binary").collect())
+        rows = [r for _, group in itertools.groupby(found, lambda r: r[0]) for r in itertools.islice(group, quota)]
+
+    def dense(at: bytes, n: bytes) -> np.ndarray:
+        out = np.zeros(dim)
+        out[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<u2")
+        return out
 
-    share = min(1.0, 1.2 * sample / max(df[0], 1.0))
-    drawn = known.withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1 << 30))).where(F.col("_h") <= F.lit(int(share * (1 << 30))))
-    rows = drawn.orderBy("_h", "text").limit(sample).select("text", "lang").transform(mapped, features, "lang string, n binary").collect()
-    rows = sorted((r.lang, bytes(r.n)) for r in rows)
-    langs = sorted({r[0] for r in rows})
     order = np.random.default_rng(5).permutation(len(rows))
-    return fit(langs, np.log((df[0] + 1) / (df[1:] + 1)) + 1, ((langs.index(rows[i][0]), np.frombuffer(rows[i][1], "<u2").astype(float)) for i in order))
+    return fit(langs, np.log((df[0] + 1) / (df[1:] + 1)) + 1, ((langs.index(rows[i][0]), dense(*rows[i][2:])) for i in order))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -182,6 +182,15 @@ def test_language(spark, docs):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in held)
 
 
+def test_rare_languages_and_copies(spark):
+    """A language of one row in a hundred is learnt, and copies of one text don't fill the sample."""
+    rng = np.random.default_rng(1)
+    say = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(30))
+    rows = [(i, *((say("klmnopq"), "b") if i % 100 == 7 else ("copied " * 20, "a") if i % 3 == 0 else (say("abcdefg"), "a"))) for i in range(3000)]
+    out = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=40).collect()
+    assert all(r.lang_pred == r.lang for r in out)
+
+
 def test_decontamination(spark, table, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = [(r.item_id, r.text) for r in items.collect()]

@@ -112,7 +112,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for y, h, value in zip(*batch.columns, strict=True):
-                n = counts(value.as_py(), dim).astype("<u2")
+                n = counts(value.as_py(), dim).astype("<u4")
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([y.as_py()], pa.string()), "h": [h.as_py()], "at": [at.astype("<u4").tobytes()], "n": [n[at].tobytes()]})
 
@@ -131,7 +131,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
 
     def dense(at: bytes, n: bytes) -> np.ndarray:
         out = np.zeros(dim)
-        out[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<u2")
+        out[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<u4")
         return out
 
     order = np.random.default_rng(5).permutation(len(rows))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.decontamination import Index, contaminated, decontaminate
 from claimweave.llm.exchange import _murmur3
-from claimweave.llm.language_id import language_id
+from claimweave.llm.language_id import counts, language_id, train
 from claimweave.llm.licenses import TEMPLATES, hint, license_scan
 from claimweave.llm.lm_scoring import _tokenizer, drawn_windows, fit, lm_scores, refined, subwords
 from claimweave.llm.parity_join import jaccard_components
@@ -191,6 +191,13 @@ def test_rare_languages_and_copies(spark):
     assert all(r.lang_pred == r.lang for r in out)
 
 
+def test_training_counts_of_long_texts(spark, monkeypatch):
+    text = "a" * 65537 + " " * 70000
+    monkeypatch.setattr("claimweave.llm.language_id.fit", lambda langs, idf, rows: list(rows))
+    [(_, n)] = train(spark.createDataFrame([(text, "x")], "text string, lang string"), F.lit(True))
+    assert np.array_equal(n, counts(text))
+
+
 def test_decontamination(spark, table, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = [(r.item_id, r.text) for r in items.collect()]

@@ -61,16 +61,23 @@ class Index:
         n = self.n = len(of)
         rows, terms = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*terms, np.zeros(0, _U)])
         self.vocabulary, term = np.unique(terms, return_inverse=True)
-        pair, tf = np.unique(term * max(n, 1) + rows, return_counts=True)
+        pair, self.tf = np.unique(term * max(n, 1) + rows, return_counts=True)
         self.post_term, self.post_row = np.divmod(pair, max(n, 1))
-        df = np.bincount(self.post_term, minlength=len(self.vocabulary))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        length = np.bincount(rows, minlength=n)
-        weight = idf[self.post_term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.post_row] / max(length.mean() if n else 1, 1)))
-        self.weight = weight / np.bincount(self.post_row, weight, minlength=n)[self.post_row] if n else weight
         self.bound = np.searchsorted(self.post_term, np.arange(len(self.vocabulary) + 1))
+        self.df = np.bincount(self.post_term, minlength=len(self.vocabulary))
+        self.length = np.bincount(rows, minlength=n)
+        self.weigh(n, self.df, self.length.mean() if n else 1.0)
+        self.filter = np.zeros(1 << 16, bool)
+        self.filter[(self.vocabulary & _U(0xFFFF)).astype(np.int64)] = True
+
+    def weigh(self, of_all: int, df: np.ndarray, mean: float) -> None:
+        """Weights and maxima, by the number of segments of all blocks, in how many of them each term of this one stands, and their mean length."""
+        n = self.n
+        idf = np.log(1 + (of_all - df + 0.5) / (df + 0.5))
+        weight = idf[self.post_term] * self.tf * (K1 + 1) / (self.tf + K1 * (1 - B + B * self.length[self.post_row] / max(mean, 1)))
+        self.weight = weight / np.bincount(self.post_row, weight, minlength=n)[self.post_row] if n else weight
         self.most = np.maximum.reduceat(self.weight, self.bound[:-1]) if n else np.zeros(0)
-        self.common = df > max(2, COMMON * n)
+        self.common = df > max(2, COMMON * of_all)
         key = self.post_term * (n // BLOCK + 1) + self.post_row // BLOCK
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.zeros(0, np.int64)
         self.block_most = np.maximum.reduceat(self.weight, head) if n else np.zeros(0)
@@ -79,8 +86,6 @@ class Index:
         common = self.common[self.post_term]  # what common terms can add in a block, whatever the query
         of_row = np.bincount(self.post_row[common], self.weight[common], minlength=self.blocks * BLOCK)
         self.block_common = of_row.reshape(self.blocks, BLOCK).max(1)
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[(self.vocabulary & _U(0xFFFF)).astype(np.int64)] = True
 
     def wand(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All (segment, score) at or above the threshold for a query of distinct terms, by block-max WAND."""
@@ -165,7 +170,10 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, item: str, text: str, index_bytes: int) -> list[Index]:
-    """Indexes of blocks of items, each collected by itself and bounded in size; most benchmarks are one block."""
+    """Indexes of blocks of items, each collected by itself and bounded in size; most benchmarks are one block.
+
+    All weigh their terms by the counts over all items, so that scores don't follow the blocks.
+    """
     rows = benchmark.select(F.col(item).alias("id"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / index_bytes))
@@ -174,6 +182,12 @@ def indexes(benchmark: DataFrame, item: str, text: str, index_bytes: int) -> lis
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else rows
         got = sorted(part.collect(), key=lambda r: (str(r.id), r.text or ""))
         out.append(Index([r.id for r in got], [r.text for r in got]))
+    if n > 1:
+        vocabulary, at = np.unique(np.concatenate([x.vocabulary for x in out]), return_inverse=True)
+        df = np.bincount(at, np.concatenate([x.df for x in out]), len(vocabulary))
+        segments, length = sum(x.n for x in out), sum(int(x.length.sum()) for x in out)
+        for x in out:
+            x.weigh(segments, df[np.searchsorted(vocabulary, x.vocabulary)], length / max(segments, 1))
     return out
 
 

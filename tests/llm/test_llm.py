@@ -210,6 +210,13 @@ def test_decontamination(spark, table, docs):
     assert contaminated(docs, items).count() == 0
 
 
+def test_scores_do_not_follow_the_blocks_of_items(spark, table):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    part = items.select(F.monotonically_increasing_id().alias("doc_id"), F.expr("array_join(slice(split(text, ' '), int(size(split(text, ' ')) * 0.2) + 1, 10000), ' ')").alias("text"))
+    one, several = ({(r.doc_id, r.item_id): r.score for r in contaminated(part, items, threshold=0.3, index_bytes=b).collect()} for b in (16 << 20, 2000))
+    assert one and one == pytest.approx(several)
+
+
 def test_wand_equals_scoring_all():
     rng = np.random.default_rng(2)
     texts = [" ".join(f"v{int(x)}" for x in rng.zipf(1.4, 30) % 200) for _ in range(120)]

@@ -27,14 +27,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the component's smallest id, or of rows of one id one.
+    """One row of each component stays: that with the component's smallest id, or of rows of one id one; a null id is larger than any.
 
-    Documents with a null id stay: they can't be told from their component.
+    Rows are told apart by a hash of all their columns, so ids may be repeated or null. Of rows alike in all columns one stays.
     """
-    parts = jaccard_components(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    kept = docs.join(parts, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
+    parts = jaccard_components(keyed.select(order.alias("doc_id"), "text"))
+    least = parts.where("doc_id.key = component_id.key").select(F.col("doc_id.key").alias("_key")).distinct()
+    one = Window.partitionBy("_key").orderBy("_key")
+    kept = keyed.join(least, "_key", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    return kept.select(*docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,3 +309,14 @@ def test_pipeline(spark):
     assert kept == {c for _, _, c in components([(r.doc_id, r.text) for r in docs.collect()])}
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert out and not any(t in r.text for r in out for t in items)
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    """Unlinked texts of one id all stay, and copies with null ids become one."""
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "y"), (3, a, "y"), (None, c, "x"), (None, c, "x"), (None, c, "y"), (4, d, "x"), (None, d, "x")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in out if r.doc_id is not None) == [(1, a), (1, b), (4, d)]
+    assert [r.text for r in out if r.doc_id is None] == [c]

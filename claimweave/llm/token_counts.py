@@ -4,12 +4,14 @@ An Aho-Corasick automaton lists all vocabulary pieces that end at each character
 first. The best path to a position is the first of the highest score in that order, so on ties
 the longer last piece wins. A character without a piece of its own is unknown, at ten below the
 lowest score, and counts as its UTF-8 bytes where the vocabulary has byte pieces, else a run of
-unknown ones counts as one. Spaces become the word mark, one goes before a text that has none there, and each mark
-begins a word; words are looked up in a bounded table of counts.
+unknown ones counts as one. Spaces become the word mark, and one goes before a text that has none there. A run of marks
+begins a word, and as no piece has a mark after another character, none reaches from word to word; words are looked up in a
+bounded table of counts. With a vocabulary that has such pieces the path runs over the whole text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,6 +25,7 @@ from pyspark.sql.types import StructType
 from .exchange import mapped
 
 MARK, UNKNOWN_PENALTY, MOST_WORDS = "▁", 10.0, 300_000
+_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 def read_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -44,6 +47,7 @@ class Counter(dict):
             if piece:
                 self.pieces.add_word(piece, (len(piece), score))
         self.pieces.make_automaton()
+        self.across = any(MARK in p.lstrip(MARK) for p, _ in vocabulary)
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.bytes = {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in vocabulary}
 
@@ -79,9 +83,13 @@ class Counter(dict):
     def text(self, text: str | None) -> int:
         if not text:
             return 0
-        if text[0] in (" ", MARK):  # the text begins with a mark of its own
+        if self.across or "  " in text or MARK in text:
+            marked = text.replace(" ", MARK)
+            marked = marked if marked[0] == MARK else MARK + marked
+            return self.count(marked) if self.across else sum(self[w[1:]] for w in _WORD.findall(marked))
+        if text[0] == " ":  # the text begins with a mark of its own
             text = text[1:]
-        return sum(map(self.__getitem__, (w for part in text.split(" ") for w in part.split(MARK)))) if MARK in text else sum(map(self.__getitem__, text.split(" ")))
+        return sum(map(self.__getitem__, text.split(" ")))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ from claimweave.llm.quality import quality
 from claimweave.llm.queries import tokenizer_file
 from claimweave.llm.source_mix import source_mix
 from claimweave.llm.substring_dedup import substring_dedup
+from claimweave.llm.token_counts import Counter as Counts
 from claimweave.llm.token_counts import read_vocabulary, token_counts
 from claimweave.llm.toxicity import fold, learn, toxicity
 
@@ -295,6 +296,19 @@ def test_token_counts(both):
         assert r.n_tokens == len(exact.encode(r.text or "", add_special_tokens=False).ids), r.text
 
 
+def test_token_counts_of_runs_of_spaces():
+    """The path over the whole text takes pieces of several marks, and any that reach from word to word."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    real = read_vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    own = [("<unk>", 0.0), ("▁", -3.0), ("a", -2.0), ("b", -2.0), ("▁a", -4.0), ("a▁b", -1.0), ("▁▁a", -3.5)]
+    for vocabulary, byte in ((real, True), (own, False)):
+        exact = Tokenizer(models.Unigram(vocabulary, 0, byte))
+        exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+        for text in ("a  b", "  a b", "   ", "a   b a  ", "a▁ b" + " " * 37 + "a", " a", "a b"):
+            assert Counts(vocabulary).text(text) == len(exact.encode(text, add_special_tokens=False).ids), text
+
+
 @pytest.mark.parametrize("run", [substring_dedup, jaccard_components, quality, license_scan, source_mix, language_id])
 def test_empty_tables(docs, run):
     assert run(docs.where("false")).count() == 0

@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.vectors import cosine_distance, literal
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, a folder of this machine's, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="claimweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and a lost executor loses nothing of it."""
-    path = f"{shared_folder(df.sparkSession)}/claimweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from claimweave.operators.tables import written
 
 
 def close_pairs(vectors: DataFrame, most: float, blocks: int = 8, id: str = "id", embedding: str = "embedding") -> DataFrame:

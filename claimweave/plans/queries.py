@@ -17,6 +17,7 @@ from claimweave.operators import pairs as P
 from claimweave.operators import vector_table as V
 from claimweave.operators.predicates import Predicate
 from claimweave.operators.resolve import dense_uid
+from claimweave.operators.tables import shared_folder
 from claimweave.plans import models
 from claimweave.sources.readers import articles_of_pages, transcripts_of_pages
 
@@ -470,7 +471,7 @@ def extract_retry_failover(spark, d):
 def stream_ingest_dedup(spark, d):
     """Links of a file stream, each once, by a stateful query that runs until the files are read."""
     run = uuid.uuid4().hex
-    out, state = (f"{P.shared_folder(spark)}/links-{run}/{x}" for x in ("out", "state"))
+    out, state = (f"{shared_folder(spark)}/claimweave-{run}/{x}" for x in ("out", "state"))
     pages = table(spark, d, "pages")
     files = pages.inputFiles()  # a stream reads a folder: that of the table if it is one, else the table's file within its own
     path = f"{d}/pages.parquet" if files and "/pages.parquet/" in files[0] else f"{d}/pages.parque[t]"

@@ -10,22 +10,51 @@ from __future__ import annotations
 
 import ctypes
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-PACKED = "slot int, ids binary, extra binary, lens binary, keys binary, places binary"
-_SCHEMA = pa.schema([("slot", pa.int32())] + [(n, pa.binary()) for n in ("ids", "extra", "lens", "keys", "places")])
+from claimweave.operators.tables import shared_folder, written
+
+__all__ = ["PACKED", "Unpacked", "dealt", "fanout", "free", "mapped", "others", "pack", "planes", "shared_folder", "spread", "unplanes", "written"]
+
+PARTS = ("ids", "extra", "lens", "keys", "places", "values")
+PACKED = "slot int, " + ", ".join(f"{n} binary" for n in PARTS)
+_SCHEMA = pa.schema([("slot", pa.int32())] + [(n, pa.binary()) for n in PARTS])
 
 
 def fanout(df: DataFrame, bytes_each: int = 10 << 20) -> int:
-    """Partitions for a shuffle of about the size of ``df``: the session's number, or more if each would exceed ``bytes_each``."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(math.ceil(size / bytes_each), 100 * least))  # a plan with joins may be estimated far too large
+    """Partitions for a shuffle of about the size of ``df``: the session's number, or more if each would exceed ``bytes_each``.
+
+    The size is that of the tables read, which is known; that of a plan with joins is a product
+    of estimates. A source of unknown size counts as four shares for each of its partitions.
+    There is no upper bound, so that a reducer's share doesn't grow with the data.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    n = 0.0
+    for leaf in map(leaves.apply, range(leaves.size())):
+        size = int(str(leaf.stats().sizeInBytes()))
+        n += size / bytes_each if size < 1 << 60 else 4 * leaf.rdd().getNumPartitions()
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n))
+
+
+def others(df: DataFrame, new: tuple[str, ...] | list[str]) -> list[str]:
+    """The columns of df that aren't named like a new one; case makes no difference, as in Spark."""
+    gone = {n.lower() for n in new}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def spread(spark: SparkSession, n: int) -> list[int]:
@@ -65,12 +94,14 @@ def unplanes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def pack(slots: list[int], slot_of: np.ndarray, owner: np.ndarray, keys: np.ndarray | None, ids: np.ndarray, extra: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.RecordBatch:
+def pack(
+    slots: list[int], slot_of: np.ndarray, owner: np.ndarray, keys: np.ndarray | None, ids: np.ndarray, extra: np.ndarray | None = None, places: np.ndarray | None = None, values: np.ndarray | None = None
+) -> pa.RecordBatch:
     """One row for each slot that gets any key.
 
     owner: index into ids (and extra) of each key, ascending; places: an ascending number for
-    each key within its owner, sent as differences; either can be left out. Runs of one owner
-    send its id once.
+    each key within its owner, sent as differences; values: any unsigned 32-bit number for each
+    key; all three can be left out. Runs of one owner send its id once.
     """
     n = len(slots)
     order = np.argsort(slot_of.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
@@ -89,6 +120,7 @@ def pack(slots: list[int], slot_of: np.ndarray, owner: np.ndarray, keys: np.ndar
         step = at.copy()
         step[1:] -= at[:-1]
         step[runs] = at[runs]
+    value = values[order].astype(np.uint32) if values is not None else None
     out: dict[str, list] = {name: [] for name in _SCHEMA.names}
     for s in np.flatnonzero(np.diff(bound)):
         a, b, ra, rb = bound[s], bound[s + 1], run_bound[s], run_bound[s + 1]
@@ -98,6 +130,7 @@ def pack(slots: list[int], slot_of: np.ndarray, owner: np.ndarray, keys: np.ndar
         out["lens"].append(planes(run_len[ra:rb]))
         out["keys"].append(key[a:b].tobytes() if key is not None else b"")
         out["places"].append(planes(step[a:b]) if step is not None else b"")
+        out["values"].append(planes(value[a:b]) if value is not None else b"")
     return pa.RecordBatch.from_pydict(out, schema=_SCHEMA)
 
 
@@ -105,16 +138,14 @@ class Unpacked:
     """All rows of a partition: for each key its value and its run; for each run its id and extra."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch], extra_type: type = np.uint32):
-        parts: dict[str, list] = {n: [] for n in ("ids", "extra", "lens", "keys", "steps")}
+        kinds = {"ids": None, "extra": extra_type, "lens": np.uint32, "keys": None, "places": np.uint32, "values": np.uint32}
+        parts: dict[str, list] = {n: [] for n in PARTS}
         for batch in batches:
-            for ids, extra, lens, keys, places in zip(*(batch.column(n).to_pylist() for n in ("ids", "extra", "lens", "keys", "places")), strict=True):
-                parts["ids"].append(np.frombuffer(ids, np.uint64))
-                parts["extra"].append(unplanes(extra, extra_type))
-                parts["lens"].append(unplanes(lens, np.uint32))
-                parts["keys"].append(np.frombuffer(keys, np.uint64))
-                parts["steps"].append(unplanes(places, np.uint32))
-        join = lambda name, kind: np.concatenate(parts.pop(name)) if parts[name] else np.zeros(0, kind)
-        self.ids, self.extra, self.lens, self.keys, steps = join("ids", np.uint64), join("extra", extra_type), join("lens", np.uint32), join("keys", np.uint64), join("steps", np.uint32)
+            for name, kind in kinds.items():
+                raw = batch.column(name).to_pylist()
+                parts[name] += [np.frombuffer(x, np.uint64) if kind is None else unplanes(x, kind) for x in raw]
+        join = lambda name, kind: np.concatenate(parts.pop(name)) if parts[name] else np.zeros(0, kind or np.uint64)
+        self.ids, self.extra, self.lens, self.keys, steps, self.values = (join(n, k) for n, k in kinds.items())
         self.run = np.repeat(np.arange(len(self.lens), dtype=np.uint32), self.lens)
         self.places = None
         if len(steps):
@@ -142,23 +173,3 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
 def dealt(df: DataFrame, pack_batches: Callable, n: int) -> DataFrame:
     """Rows of ``PACKED`` from pack_batches over df's Arrow batches, dealt to n partitions by slot."""
     return df.transform(mapped, pack_batches, PACKED).repartition(n, "slot")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, a folder of this machine's, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="claimweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and a lost executor loses nothing of it."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/claimweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-

@@ -5,9 +5,14 @@ primes. Two make a 64-bit key, the third picks the reducer, which sorts its keys
 twice is a repeated window, wherever it starts. Reducers send back the window positions for
 each row, the row's windows merge into maximal intervals, and the words in them go.
 
+A window that repeats within a chunk of texts is known to repeat there and then: its positions
+go straight to their rows, and the reducer gets one key for the whole chunk, marked as
+repeated. Windows that many texts of a task share are remembered and not sent again. So a
+passage in a third of all documents sends its reducer a few keys for each task.
+
 Two different windows share all three hashes with a chance of 2**-64 over the number of
 reducers. Rows are known by xxhash64 of id and text, and rows alike in both are each removed
-in the same way.
+in the same way; of n different rows two share that hash with a chance of about n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -18,14 +23,17 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Unpacked, dealt, fanout, mapped, pack, spread
+from .exchange import Unpacked, dealt, fanout, free, mapped, others, pack, spread
 from .wordarrays import chunks, mix64, rabin_karp, spans, windows
 
 WIDTH = 35
 #: (prime, base) of the polynomial hashes: two for the key, one for the slot.
+#: Windows that stand so often in a chunk are remembered by the task, at most so many of them.
+OFTEN, MOST_KNOWN = 4, 1 << 16
 _PRIMES = ((4294967291, 2654435761), (4294967279, 2246822519), (2147483647, 1597334677))
 
 
@@ -34,7 +42,11 @@ def repeated_windows(docs: DataFrame, row: Column, text: str = "text", width: in
     n = fanout(docs)
     slots = spread(docs.sparkSession, n)
 
+    def slot_of(x: np.ndarray) -> np.ndarray:
+        return (mix64(x) % np.uint64(n)).astype(np.int64)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, np.uint64)  # ascending
         for batch in batches:
             ids = batch.column(0).to_numpy().view(np.uint64)
             for low, high, data, off in chunks(batch.column(1)):
@@ -44,30 +56,58 @@ def repeated_windows(docs: DataFrame, row: Column, text: str = "text", width: in
                     continue
                 tokens = words.hashes()
                 high_bits, low_bits, route = (rabin_karp(tokens, at, width, p, b) for p, b in _PRIMES)
+                key = (high_bits << np.uint64(32)) | low_bits
                 owner = np.searchsorted(words.first, at, "right") - 1
-                yield pack(slots, (mix64(route) % np.uint64(n)).astype(np.int64), owner, (high_bits << np.uint64(32)) | low_bits, ids[low:high], places=at - words.first[owner])
+                place, slot, own = at - words.first[owner], slot_of(route), ids[low:high]
+                order = np.argsort(key, kind="stable")
+                head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+                times = np.diff(np.append(head, len(key)))
+                seen = np.isin(key[order[head]], known) if len(known) else np.zeros(len(head), bool)
+                here = np.repeat((times > 1) | seen, times)
+                settled = np.zeros(len(key), bool)
+                settled[order[here]] = True
+                if settled.any():  # straight to their rows, without keys
+                    yield pack(slots, slot_of(own)[owner[settled]], owner[settled], None, own, extra=np.zeros(high - low, np.uint8), places=place[settled])
+                    first = order[head[(times > 1) & ~seen]]  # one of each, marked
+                    if len(first):
+                        yield pack(slots, slot[first], np.zeros(len(first), np.int64), key[first], np.zeros(1, np.uint64), extra=np.ones(1, np.uint8), places=np.zeros(len(first), np.uint32))
+                    often = key[order[head[(times >= OFTEN) & ~seen]]]
+                    if len(often):
+                        known = np.union1d(known, often) if len(known) + len(often) <= MOST_KNOWN else np.unique(often)[:MOST_KNOWN]
+                left = ~settled
+                if left.any():
+                    yield pack(slots, slot[left], owner[left], key[left], own, extra=np.zeros(high - low, np.uint8), places=place[left])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = Unpacked(batches)
+        settled: list[pa.RecordBatch] = []
+
+        def keyed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                plain = pc.equal(pc.binary_length(batch.column("keys")), 0)
+                settled.append(batch.filter(plain))
+                yield batch.filter(pc.invert(plain))
+
+        got = Unpacked(keyed(), np.uint8)
+        yield from (b for b in settled if b.num_rows)
         order = np.argsort(got.keys).astype(np.uint32)
         key = got.keys[order]
+        marked = got.extra[got.run[order]] > 0
         del got.keys
         same = key[1:] == key[:-1]
-        del key
         twice = np.zeros(len(order), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        found = order[twice]
+        found = order[twice & ~marked]  # a marked key is no window of its own, and its places are settled
         run = got.run[found]
         ids, places = got.ids[run], got.places[found] if len(found) else np.zeros(0, np.uint32)
         order = np.lexsort((places, ids))
         ids, places = ids[order], places[order]
         if len(ids):
             head = np.append(True, ids[1:] != ids[:-1])
-            yield pack(slots, (mix64(ids) % np.uint64(n)).astype(np.int64), np.cumsum(head) - 1, None, ids[head], places=places)
+            yield pack(slots, slot_of(ids), np.cumsum(head) - 1, None, ids[head], extra=np.zeros(int(head.sum()), np.uint8), places=places)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = Unpacked(batches)
+        got = Unpacked(batches, np.uint8)
         ids = got.ids[got.run]
         if not len(ids):
             return
@@ -102,21 +142,25 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
     kept_text: the text itself if nothing goes, else the kept words joined by one space; null
     for a null text, which counts as empty. kept_sha256 is of the kept words joined by one space
-    in either case. Texts of fewer words than the width, and empty ones, keep all. A row that
-    stands twice is two documents: its windows repeat. Other columns pass; where docs has
-    columns of the new names, they are replaced. An empty table gives an empty result.
+    in either case. Texts of fewer words than the width, and empty ones, keep all; long texts
+    take memory in proportion to the longest. A row that stands twice is two documents: its
+    windows repeat. Null and repeated ids are ids like others. Other columns pass; columns of
+    docs named like the new ones, whatever their case, are replaced. An empty table gives an
+    empty result.
     """
     new = ("n_words", "n_removed", "kept_text", "kept_sha256")
-    rest = [c for c in docs.columns if c not in new]
+    rest = others(docs, new)
+    at = [c.lower() for c in rest].index(text.lower())
+    key, cuts = free(docs, "row_key", "cuts")
     row = F.xxhash64(F.col(id).cast("string"), F.col(text).cast("string"))
     gone = repeated_windows(docs, row, text, width)
-    both = docs.select(*rest, row.alias("_row")).join(gone.select(F.col("row").alias("_row"), F.col("gone").alias("_gone")), "_row", "left")
+    both = docs.select(*rest, row.alias(key)).join(gone.select(F.col("row").alias(key), F.col("gone").alias(cuts)), key, "left")
     schema = both.select(*rest).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("kept_sha256", "string")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for value, gone in zip(batch.column(rest.index(text)), batch.column(len(rest)).to_pylist(), strict=True):
+            for value, gone in zip(batch.column(at), batch.column(len(rest)).to_pylist(), strict=True):
                 value = value.as_py()
                 words = b"" if value is None else str(value).encode().split()
                 words, n = (words, len(words)) if words else ([], 0)
@@ -129,4 +173,4 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
                 out[3].append(hashlib.sha256(joined).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(rest))] + [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], [*rest, *new])
 
-    return both.select(*rest, "_gone").transform(mapped, finish, schema)
+    return both.select(*rest, cuts).transform(mapped, finish, schema)

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from .exchange import Unpacked, dealt, fanout, mapped, pack, spread, written
 from .wordarrays import chunks, mix64, spans, windows
 
 WORDS, PERCENT, BITS, SEEDS = 5, 75, 512, 16
+#: Shingles that so many sets of a chunk share are remembered by the task, at most so many of them, and so many sets' keys.
+OFTEN, MOST_OFTEN, MOST_SENT = 4, 1 << 16, 1 << 18
 _ODD = mix64(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 _U = np.uint64
 
@@ -148,25 +151,68 @@ def membership(docs: DataFrame, id: Column, text: str = "text", words: int = WOR
 
 
 def shared_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(set, size, shared): the sets that can have a link, with those of their shingles that another set has too."""
+    """(set, size, shared): the sets that can have a link, with those of their shingles that another set has too.
+
+    A shingle of several sets of one chunk is shared, so it goes straight to their rows, and its
+    reducer gets it once for the chunk, marked by a size of 0. A task remembers sets that it has
+    sent, and shingles that many sets share. So neither a line nor a text that a third of all
+    documents has sends a reducer more than a few keys for each task.
+    """
     n = fanout(docs)
     slots = spread(docs.sparkSession, n)
 
+    def slot_of(x: np.ndarray) -> np.ndarray:
+        return (x % _U(n)).astype(np.int64)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        often = np.zeros(0, _U)  # ascending
         for batch in batches:
             for _, _, sets in shingle_sets(batch.column(0), words):
                 known = {}
                 for s in sets:
-                    if len(s):
-                        known.setdefault(set_key(s), s)
-                if known:
-                    own = list(known.values())
-                    sizes = np.array([len(s) for s in own], np.uint32)
-                    keys = np.concatenate(own)
-                    yield pack(slots, (keys % _U(n)).astype(np.int64), np.repeat(np.arange(len(own)), sizes), keys, np.array(list(known), _U), extra=sizes)
+                    if len(s) and (name := int(set_key(s))) not in sent:
+                        known.setdefault(name, s)
+                if not known:
+                    continue
+                if len(sent) > MOST_SENT:
+                    sent.clear()
+                sent.update(known)
+                own, names = list(known.values()), np.array(list(known), _U)
+                sizes = np.array([len(s) for s in own], np.uint32)
+                keys, owner = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+                order = np.argsort(keys, kind="stable")
+                head = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+                times = np.diff(np.append(head, len(keys)))
+                seen = np.isin(keys[order[head]], often) if len(often) else np.zeros(len(head), bool)
+                settled = np.zeros(len(keys), bool)
+                settled[order[np.repeat((times > 1) | seen, times)]] = True
+                if settled.any():
+                    yield _direct(pack(slots, slot_of(mix64(names))[owner[settled]], owner[settled], keys[settled], names, extra=sizes))
+                    first = order[head[(times > 1) & ~seen]]
+                    if len(first):
+                        yield pack(slots, slot_of(keys[first]), np.zeros(len(first), np.int64), keys[first], np.zeros(1, _U), extra=np.zeros(1, np.uint32))
+                    more = keys[order[head[(times >= OFTEN) & ~seen]]]
+                    if len(more):
+                        often = np.union1d(often, more) if len(often) + len(more) <= MOST_OFTEN else np.unique(more)[:MOST_OFTEN]
+                left = ~settled
+                if left.any():
+                    yield pack(slots, slot_of(keys[left]), owner[left], keys[left], names, extra=sizes)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = Unpacked(batches)
+        settled: list[pa.RecordBatch] = []
+
+        def others() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                straight = pc.greater(pc.binary_length(batch.column("values")), 0)
+                settled.append(batch.filter(straight))
+                yield batch.filter(pc.invert(straight))
+
+        got = Unpacked(others())
+        empty = pa.array([b""], pa.binary())
+        for b in settled:
+            if b.num_rows:
+                yield b.set_column(b.schema.get_field_index("values"), "values", empty.take(pa.array(np.zeros(b.num_rows, np.int64))))
         order = np.argsort(got.keys)
         key = got.keys[order]
         same = key[1:] == key[:-1]
@@ -175,31 +221,36 @@ def shared_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent
         twice[:-1] |= same
         order = order[twice]
         key, run = got.keys[order], got.run[order]
-        sets = got.ids[run]
-        by = np.lexsort((sets, key))
-        key, sets, run = key[by], sets[by], run[by]
+        sets, size = got.ids[run], got.extra[run]
+        by = np.lexsort((sets, size > 0, key))  # marks first
+        key, sets, size = key[by], sets[by], size[by]
         if not len(key):
             return
-        new = np.append(True, (key[1:] != key[:-1]) | (sets[1:] != sets[:-1]))
-        key, sets, size = key[new], sets[new], got.extra[run[new]]
-        same = key[1:] == key[:-1]  # now of different sets
+        new = np.append(True, (key[1:] != key[:-1]) | (sets[1:] != sets[:-1]) | ((size[1:] > 0) != (size[:-1] > 0)))
+        key, sets, size = key[new], sets[new], size[new]
+        same = key[1:] == key[:-1]  # now of different sets, or marked
         twice = np.zeros(len(key), bool)
         twice[1:] |= same
         twice[:-1] |= same
+        twice &= size > 0
         key, sets, size = key[twice], sets[twice], size[twice]
         by = np.argsort(sets, kind="stable")
         key, sets, size = key[by], sets[by], size[by]
         heads = np.flatnonzero(np.append(True, sets[1:] != sets[:-1])) if len(sets) else np.zeros(0, np.int64)
         if len(heads):
             owner = np.cumsum(np.append(True, sets[1:] != sets[:-1])) - 1
-            yield pack(slots, (mix64(sets) % _U(n)).astype(np.int64), owner, key, sets[heads], extra=size[heads])
+            yield pack(slots, slot_of(mix64(sets)), owner, key, sets[heads], extra=size[heads])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Unpacked(batches)
         sets = got.ids[got.run]
         order = np.lexsort((got.keys, sets))
         sets, key, size = sets[order], got.keys[order], got.extra[got.run[order]]
-        heads = np.flatnonzero(np.append(True, sets[1:] != sets[:-1])) if len(sets) else np.zeros(0, np.int64)
+        if not len(sets):
+            return
+        new = np.append(True, (sets[1:] != sets[:-1]) | (key[1:] != key[:-1]))  # copies of a set in several tasks
+        sets, key, size = sets[new], key[new], size[new]
+        heads = np.flatnonzero(np.append(True, sets[1:] != sets[:-1]))
         ends = np.append(heads[1:], len(sets))
         keep = 100 * (ends - heads) >= percent * size[heads].astype(np.int64)
         heads, ends = heads[keep], ends[keep]
@@ -211,6 +262,11 @@ def shared_sets(docs: DataFrame, text: str = "text", words: int = WORDS, percent
     return dealt(found, match, n).transform(mapped, gather, "set long, size long, shared binary")
 
 
+def _direct(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows that reducers hand on as they are."""
+    return batch.set_column(batch.schema.get_field_index("values"), "values", pa.array([b"d"] * batch.num_rows, pa.binary()))
+
+
 def candidates(sets: DataFrame, hubs: int | None, n: int, bits: int = 0, percent: int = PERCENT) -> DataFrame:
     """Distinct (a, b), a < b, of sets in different parts that share a sketch segment.
 

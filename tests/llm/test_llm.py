@@ -15,14 +15,13 @@ from claimweave.llm.decontamination import Index, contaminated, decontaminate
 from claimweave.llm.exchange import _murmur3
 from claimweave.llm.language_id import counts, language_id, train
 from claimweave.llm.licenses import TEMPLATES, hint, license_scan
-from claimweave.llm.lm_scoring import _tokenizer, drawn_windows, fit, lm_scores, refined, subwords
+from claimweave.llm.lm_scoring import LENGTH, STEP, _tokenizer, drawn_windows, fit, lm_scores, refined, subwords
 from claimweave.llm.parity_join import jaccard_components
 from claimweave.llm.quality import quality
 from claimweave.llm.queries import tokenizer_file
 from claimweave.llm.source_mix import source_mix
 from claimweave.llm.substring_dedup import substring_dedup
-from claimweave.llm.token_counts import Counter as Counts
-from claimweave.llm.token_counts import read_vocabulary, token_counts
+from claimweave.llm.token_counts import Vocabulary, counter, read_vocabulary, token_counts
 from claimweave.llm.toxicity import fold, learn, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -242,6 +241,56 @@ def test_lm_base(both):
     assert all(r.score < 0 for r in out)
 
 
+def test_lm_scores_token_by_token():
+    """Batches of padded windows give what one id after another gives, each with its window's earlier ids alone."""
+    rng = np.random.default_rng(6)
+    size = 40
+    spaced = np.append(rng.random(size) < 0.5, True)
+    model = fit(rng.integers(0, 50, size + 1).astype(float), spaced, [np.append(rng.integers(0, size, 60), size) for _ in range(20)], steps=20, groups=5, members=4, inputs=10)
+    texts = [rng.integers(0, size, n) for n in (0, 1, 30, 31, 32, 33, 55, 56, 57, 200)]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    w, start = {k: v.astype(float) for k, v in model.weights.items()}, len(model.weights["E"]) - 1
+    for text, got in zip(texts, model.score(np.concatenate(texts), first), strict=True):
+        ids, want = np.append(text, size), 0.0
+        rows = np.append(start, model.row_of[ids[:-1]])
+        for i, y in enumerate(ids):
+            begin = 0 if i < LENGTH else -(-(i + 1 - LENGTH) // STEP) * STEP
+            h = w["E"][rows[begin : i + 1]] + w["P"][: i + 1 - begin]
+            q, k, v = np.split(h @ w["QKV"], 3, axis=1)
+            e = np.exp(q[-1] @ k.T / np.sqrt(h.shape[1]))
+            z = h[-1] + (e / e.sum()) @ v @ w["O"]
+            g, m = divmod(int(model.class_of[y]), 4)
+            for logits, at in ((z @ w["V"] + w["b"], g), (z @ w["W"][g] + w["c"][g], m)):
+                want += (logits[at] - np.log(np.exp(logits).sum())) / np.log(10)
+            want += model.log_within[y]
+        assert got == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_gradients():
+    rng = np.random.default_rng(7)
+    model = fit(rng.integers(1, 50, 21).astype(float), np.arange(21) % 2 == 0, [], groups=3, members=4, inputs=8)
+    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    x, y = model.row_of[rng.integers(0, 21, (3, 9))], model.class_of[rng.integers(0, 21, (3, 9))]
+    used = rng.random((3, 9)) < 0.7
+    _, found = model.gradients(x, y, used)
+    for name, w in model.weights.items():
+        at = np.unravel_index(np.abs(found[name]).argmax(), w.shape)
+        before, w[at] = w[at], w[at] + 1e-4
+        high, _ = model.gradients(x, y, used)
+        w[at] -= 2e-4
+        low, _ = model.gradients(x, y, used)
+        w[at] = before
+        assert (high - low) / 2e-4 == pytest.approx(found[name][at], rel=2e-2, abs=1e-4), name
+
+
+def test_lm_probabilities_sum_to_one():
+    rng = np.random.default_rng(8)
+    model = fit(rng.integers(0, 50, 31).astype(float), np.arange(31) % 2 == 0, [], groups=4, members=3, inputs=8)
+    z = rng.normal(size=(1, len(model.weights["O"]))).astype(np.float32)
+    total = sum(np.exp(model.log_probability(z, model.class_of[[y]])[0]) * 10 ** model.log_within[y] for y in range(31))
+    assert total == pytest.approx(1, abs=1e-3)
+
+
 def test_lm_learns_from_texts_outside_the_sample(spark):
     """Two vocabularies of which a sample of one text can hold one; the third is in held-out texts only."""
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
@@ -258,7 +307,7 @@ def test_lm_weights_follow_all_texts(spark):
     end = 2
     windows = np.array([drawn_windows(np.array([k % 2, 1 - k % 2] * 20), end, k, every=1)[1] for k in range(512)])
     rows = spark.createDataFrame([(k, bytearray(w.astype("<u2").tobytes())) for k, w in enumerate(windows)], "_row long, windows binary")
-    fresh = fit(np.array([10, 10, 1]), [], classes=3)
+    fresh = fit(np.array([10.0, 10, 1]), np.array([True, True, True]), [], groups=3, members=1)
     models = [refined(fresh, rows.repartition(n), shard=200, rounds=4, rate=0.05) for n in (1, 3)]
     text, first = np.array([0, 1] * 20), np.array([0, 40])
     assert models[0].score(text, first)[0] > fresh.score(text, first)[0] + 5
@@ -268,9 +317,9 @@ def test_lm_weights_follow_all_texts(spark):
 def test_subwords_are_those_of_each_word():
     texts = ["It's A\u00a0b  \u2003x\n\u3000", "", "na\u00efve \ud55c\uad6d\uc5b4 ''s 12a%\u0301 <|endoftext|>", "A" * 3000]
     path = tokenizer_file("byte_bpe_50k.tiktoken")
-    for _, _, ids, first, counts in subwords(path, pa.array(texts)):
+    for c in subwords(path, pa.array(texts)):
         want = [[i for w in words(low(t)) for i in _tokenizer(path)[0].encode_ordinary(" " + w)] for t in texts]
-        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want and counts.tolist() == [len(words(t)) for t in texts]
+        assert [c.ids[a:b].tolist() for a, b in zip(c.first[:-1], c.first[1:], strict=True)] == want and np.diff(c.at).tolist() == [len(words(t)) for t in texts]
 
 
 def test_mix(both):
@@ -287,26 +336,66 @@ def test_mix(both):
 
 
 def test_token_counts(both):
-    from tokenizers import Tokenizer, models, pre_tokenizers
+    """Whole texts, as the tokenizer of the file counts them."""
+    from sentencepiece import SentencePieceProcessor
 
     path = tokenizer_file("piece_bpe_32k.model")
-    exact = Tokenizer(models.Unigram(read_vocabulary(path), 0, True))
-    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    exact = SentencePieceProcessor(model_file=path)
     for r in token_counts(both, path).collect():
-        assert r.n_tokens == len(exact.encode(r.text or "", add_special_tokens=False).ids), r.text
+        assert r.n_tokens == len(exact.encode(r.text or "")), r.text
 
 
-def test_token_counts_of_runs_of_spaces():
-    """The path over the whole text takes pieces of several marks, and any that reach from word to word."""
-    from tokenizers import Tokenizer, models, pre_tokenizers
+def test_token_counts_of_any_text():
+    from sentencepiece import SentencePieceProcessor
 
-    real = read_vocabulary(tokenizer_file("piece_bpe_32k.model"))
-    own = [("<unk>", 0.0), ("▁", -3.0), ("a", -2.0), ("b", -2.0), ("▁a", -4.0), ("a▁b", -1.0), ("▁▁a", -3.5)]
-    for vocabulary, byte in ((real, True), (own, False)):
-        exact = Tokenizer(models.Unigram(vocabulary, 0, byte))
-        exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
-        for text in ("a  b", "  a b", "   ", "a   b a  ", "a▁ b" + " " * 37 + "a", " a", "a b"):
-            assert Counts(vocabulary).text(text) == len(exact.encode(text, add_special_tokens=False).ids), text
+    path = tokenizer_file("piece_bpe_32k.model")
+    exact, own = SentencePieceProcessor(model_file=path), counter(read_vocabulary(path))
+    rng = np.random.default_rng(4)
+    letters = ["abcdefgh tionser ", "ab ", "\u00e9\u4e2d\U0001f600x \n\t", "\u2581 a", "  the of and in tion", "<s/>0xA "]
+    texts = ["hello world", "internationalization of tokenizers", "a</s>b", "<unk> <0x41>", "  x", " ", "a" * 5000, "\x00 \ufffd"]
+    texts += ["".join(rng.choice(list(letters[k % 6]), rng.integers(0, 50))) for k in range(3000)]
+    for t in texts:
+        assert own.text(t) == len(exact.encode(t)), t
+
+
+def unigram_file(folder, pieces, byte):
+    """A model file of the other kind with these pieces and scores; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    kinds = {"<unk>": 2, "<s>": 3, "</s>": 3}
+    more = [(f"<0x{b:02X}>", 0.0) for b in range(256)] if byte else []
+    for piece, score in [("<unk>", 0.0), ("<s>", 0.0), ("</s>", 0.0), *more, *pieces]:
+        model.pieces.add(piece=piece, score=score, type=kinds.get(piece, 6 if piece.startswith("<0x") else 1))
+    model.trainer_spec.model_type = 1
+    model.trainer_spec.byte_fallback = byte
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.add_dummy_prefix = True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    path = folder / f"unigram{byte}.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("byte", [True, False])
+def test_token_counts_by_viterbi(tmp_path, byte):
+    """The best path over a unigram vocabulary, ties and unknown characters included, as the library that owns the format finds it."""
+    from sentencepiece import SentencePieceProcessor
+
+    real = [p for p in read_vocabulary(tokenizer_file("piece_bpe_32k.model")).pieces if not p[0].startswith("<0x")]
+    pieces = [(p, -float(np.log(k + 2.0))) for k, (p, _) in enumerate(real)]
+    path = unigram_file(tmp_path, pieces, byte)
+    exact, own = SentencePieceProcessor(model_file=path), counter(read_vocabulary(path))
+    rng = np.random.default_rng(5)
+    letters = ["abcdefgh tionser ", "ab ", "\u00e9\u4e2d\U0001f600x ", "  the of and in tion"]
+    for k in range(1500):
+        t = "".join(rng.choice(list(letters[k % 4]), rng.integers(0, 60)))
+        assert own.text(t) == len(exact.encode(t)), t
+
+
+def test_pieces_across_words():
+    vocabulary = Vocabulary([("\u2581", -3.0), ("a", -2.0), ("b", -2.0), ("\u2581a", -4.0), ("a\u2581b", -1.0), ("\u2581\u2581a", -3.5)])
+    assert [counter(vocabulary).text(t) for t in ("a b", "a", "  a", "c d")] == [2, 1, 2, 4]
 
 
 @pytest.mark.parametrize("run", [substring_dedup, jaccard_components, quality, license_scan, source_mix, language_id])

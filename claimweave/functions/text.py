@@ -61,7 +61,23 @@ def file_stem(name: Column) -> Column:
 
 
 def url_parts(url: Column) -> dict[str, Column]:
-    return {part.lower(): F.parse_url(url, F.lit(part)) for part in ("PROTOCOL", "HOST", "PATH", "QUERY", "USERINFO")}
+    """protocol, host, port, path, query, user and password; null where the URL has none."""
+    parts = {part.lower(): F.parse_url(url, F.lit(part)) for part in ("PROTOCOL", "HOST", "PATH", "QUERY")}
+    user, authority = F.parse_url(url, F.lit("USERINFO")), F.parse_url(url, F.lit("AUTHORITY"))
+    port = F.regexp_extract(authority, r":(\d+)$", 1)
+    password = F.when(F.instr(user, ":") > 0, F.substring_index(user, ":", -1))
+    return parts | {"port": F.when(port != "", port.cast("int")), "user": F.substring_index(user, ":", 1), "password": password}
+
+
+def iso_time(ts: Column) -> Column:
+    """As Python's isoformat writes a time without a zone: microseconds only where there are any."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.unix_micros(ts) % 1000000 == 0, whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def metadata_json(created: Column, **fields: Column) -> Column:
+    """Metadata of a record: its fields and when it was made, as JSON text."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()), iso_time(created).alias("created_at")))
 
 
 def stamped_name(now: Column, unique: Column) -> Column:

@@ -22,8 +22,9 @@ def time_of_uuid(u: Column) -> Column:
     return F.timestamp_micros(F.call_function("div", ticks - F.lit(GREGORIAN), F.lit(10)))
 
 
-def in_range(u: Column, start: str | None, end: str | None, end_inclusive: bool = False) -> Column:
-    ts, ok = time_of_uuid(u), F.lit(True)
+def in_range(ts: Column, start: object, end: object, end_inclusive: bool = False) -> Column:
+    """Whether a time lies within bounds, of which either can be None."""
+    ok = F.lit(True)
     if start is not None:
         ok = ok & (ts >= F.lit(start).cast("timestamp"))
     if end is not None:

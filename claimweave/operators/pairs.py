@@ -1,68 +1,202 @@
-"""Pairs, clusters and graphs of vectors."""
+"""Pairs, clusters and graphs of vectors.
+
+Work on all pairs is dealt to cells of a grid of blocks. The number of blocks follows the
+number of rows, so a block has about ``ROWS`` of them whatever the table's size, and a cell
+multiplies tile by tile, so a task holds two blocks of vectors and one tile of distances.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions.vectors import cosine_distance, literal
+from claimweave.functions.vectors import distance_to
+from claimweave.operators.components import components
+from claimweave.operators.numbering import numbered
 from claimweave.operators.tables import written
 
+ROWS, TILE, LEAST_BLOCKS = 8192, 512, 4
 
-def close_pairs(vectors: DataFrame, most: float, blocks: int = 8, id: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(i, j, distance) of all i < j at most so far apart, by blocks of vectors multiplied as matrices.
 
-    Rows go to a grid of block pairs by their ids' hashes, so a task holds two blocks, and
-    their size is set by the number of blocks; each pair meets in one task.
-    """
-    rows = vectors.select(F.col(id).alias("id"), F.col(embedding).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    cells = rows.withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o.cast("int")).alias("x"), F.greatest("b", o.cast("int")).alias("y")))))
-    kind = vectors.schema[id].dataType.simpleString()
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _tiles(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances of some rows of x to all of y); a zero vector has distance 1 to all."""
+    for low in range(0, len(x), TILE):
+        yield low, np.clip(1 - x[low : low + TILE] @ y.T, 0, 2)
 
-    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _cells(vectors: DataFrame, run: Callable, schema: str, id: str, embedding: str, extra: list[str] | None = None) -> DataFrame:
+    """run(left, right, same) over all pairs of blocks, each once; frames have id, v, extra columns, and u, the unit vectors, as a matrix."""
+    blocks = max(LEAST_BLOCKS, math.ceil(vectors.count() / ROWS))
+    rows = vectors.select(F.col(id).alias("id"), F.col(embedding).cast("array<double>").alias("v"), *(extra or [])).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o.cast("int")).alias("x"), F.greatest("b", o.cast("int")).alias("y")))
+    cells = rows.withColumn("c", F.explode(meet))
+
+    def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = key
-        left, right = pdf[pdf.b == x], pdf[pdf.b == y]
-        out = []
-        if len(left) and len(right):
-            a, b = (np.stack(p.v.to_numpy()).astype(float) for p in (left, right))
-            na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-            scale = na[:, None] * nb[None, :]
-            d = np.clip(1 - np.divide(a @ b.T, scale, out=np.zeros_like(scale), where=scale > 0), 0, 2)
-            i, j = np.nonzero(d <= most)
-            p, q = left.id.to_numpy()[i], right.id.to_numpy()[j]
-            keep = p < q if x == y else np.ones(len(p), bool)
-            out = [pd.DataFrame({"i": np.minimum(p, q)[keep], "j": np.maximum(p, q)[keep], "distance": d[i, j][keep]})]
-        return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "distance": []})
-
-    return cells.groupBy("c.x", "c.y").applyInPandas(multiply, f"i {kind}, j {kind}, distance double")
+        left = pdf[pdf.b == x].sort_values("id").reset_index(drop=True)
+        right = left if x == y else pdf[pdf.b == y].sort_values("id").reset_index(drop=True)
+        if not len(left) or not len(right):
+            return run(None, None, None, None, x == y)
+        u = _unit(left.v)
+        return run(left, right, u, u if x == y else _unit(right.v), x == y)
+
+    return cells.groupBy("c.x", "c.y").applyInPandas(cell, schema)
+
+
+def close_pairs(vectors: DataFrame, most: float, id: str = "id", embedding: str = "embedding") -> DataFrame:
+    """(i, j, distance) of all i < j at most so far apart. Each pair meets in one cell."""
+    kind = vectors.schema[id].dataType.simpleString()
+
+    def multiply(left: pd.DataFrame, right: pd.DataFrame, u: np.ndarray, w: np.ndarray, same: bool) -> pd.DataFrame:
+        out = [pd.DataFrame({"i": [], "j": [], "distance": []})]
+        if left is not None:
+            p, q = left.id.to_numpy(), right.id.to_numpy()
+            for low, d in _tiles(u, w):
+                i, j = np.nonzero(d <= most)
+                if same:
+                    i, j = i[i + low < j], j[i + low < j]
+                a, b = p[i + low], q[j]
+                out.append(pd.DataFrame({"i": np.minimum(a, b), "j": np.maximum(a, b), "distance": d[i, j]}))
+        return pd.concat(out[1:] or out)
+
+    return _cells(vectors, multiply, f"i {kind}, j {kind}, distance double", id, embedding)
 
 
 def all_pairs(vectors: DataFrame, id: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(i, j, distance) of all i < j."""
+    """(i, j, distance) of all i < j. The result has a row for each pair, as its name says; for large tables use the others."""
     return close_pairs(vectors, 2.0, id=id, embedding=embedding)
 
 
+def nearest_others(vectors: DataFrame, limit: int, least_score: float, id: str = "id", embedding: str = "embedding") -> DataFrame:
+    """(src, dst, score): each row's nearest others by 1 - distance, at least so near, at most ``limit``, ties by id.
+
+    A cell keeps the nearest of each of its rows, so what is shuffled follows rows times blocks
+    and not pairs.
+    """
+    kind = vectors.schema[id].dataType.simpleString()
+
+    def best(names: np.ndarray, others: np.ndarray, score: np.ndarray, own: np.ndarray | None) -> pd.DataFrame:
+        if own is not None:
+            score[np.arange(len(names)), own] = -np.inf
+        k = min(limit, score.shape[1])
+        edge = np.partition(score, score.shape[1] - k, axis=1)[:, -k]
+        i, j = np.nonzero((score >= np.maximum(edge, least_score)[:, None]) & np.isfinite(score))
+        return pd.DataFrame({"src": names[i], "dst": others[j], "score": score[i, j]})
+
+    def multiply(left: pd.DataFrame, right: pd.DataFrame, u: np.ndarray, w: np.ndarray, same: bool) -> pd.DataFrame:
+        out = [pd.DataFrame({"src": [], "dst": [], "score": []})]
+        if left is not None:
+            p, q = left.id.to_numpy(), right.id.to_numpy()
+            for a, b, x, y in [(p, q, u, w)] if same else [(p, q, u, w), (q, p, w, u)]:
+                for low, d in _tiles(x, y):
+                    out.append(best(a[low : low + len(d)], b, np.round(1 - d, 9), low + np.arange(len(d)) if same else None))
+        return pd.concat(out[1:] or out)
+
+    found = _cells(vectors, multiply, f"src {kind}, dst {kind}, score double", id, embedding)
+    listed = found.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "dst"))), 1, limit).alias("x"))
+    return listed.select("src", F.explode("x").alias("x")).select("src", "x.dst", (-F.col("x.far")).alias("score"))
+
+
 def leader_clusters(vectors: DataFrame, most: float = 0.35, id: str = "id", embedding: str = "embedding") -> DataFrame:
     """(id, label): in the order of ids, a row without a label opens a cluster and takes all later ones in reach.
 
     The openers are the first maximal independent set of the threshold graph: a row is one if
-    no earlier neighbour is. Each round settles all rows whose earlier neighbours are settled;
-    then each other row joins its smallest opener.
+    no earlier neighbour is. Each round settles all rows whose earlier neighbours are settled,
+    and goes on with the edges between those that aren't; then each other row joins its
+    smallest opener.
     """
+    every = vectors.select(F.col(id).alias("id"))
     edges = written(close_pairs(vectors, most, id=id, embedding=embedding).select("i", "j"))
-    state = written(vectors.select(F.col(id).alias("id"), F.lit(None).cast("boolean").alias("opens")))
+    # rows without an earlier neighbour open at once; the others are open questions
+    asked = edges.select(F.col("j").alias("id")).distinct()
+    opens = fresh = every.join(asked, "id", "left_anti")
+    left = edges
     while True:
-        earlier = edges.join(state.select(F.col("id").alias("i"), "opens"), "i").groupBy(F.col("j").alias("id")).agg(F.coalesce(F.bool_or("opens"), F.lit(False)).alias("taken"), F.count_if(F.col("opens").isNull()).alias("waiting"))
-        step = state.join(earlier, "id", "left").select("id", F.when(F.col("opens").isNotNull(), F.col("opens")).when(F.col("taken"), False).when(F.coalesce("waiting", F.lit(0)) == 0, True).alias("opens"))
-        state = written(step)
-        if not state.where("opens is null").limit(1).count():
+        taken = left.join(fresh.select(F.col("id").alias("i")), "i", "left_semi").select(F.col("j").alias("id")).distinct()
+        asked = written(asked.join(taken, "id", "left_anti"))
+        if asked.isEmpty():
             break
-    openers = state.where("opens").select("id").withColumn("label", F.row_number().over(Window.orderBy("id")) - 1)
-    joined = edges.join(openers.select(F.col("id").alias("i")), "i").groupBy(F.col("j").alias("id")).agg(F.min("i").alias("leader"))
-    leader = state.join(joined, "id", "left").select("id", F.when(F.col("opens"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
-    return leader.join(openers.select(F.col("id").alias("leader"), "label"), "leader").select("id", "label")
+        both = left.join(asked.select(F.col("id").alias("j")), "j", "left_semi").join(asked.select(F.col("id").alias("i")), "i", "left_semi")
+        left = written(both.select("i", "j"))
+        fresh = written(asked.join(left.select(F.col("j").alias("id")).distinct(), "id", "left_anti"))
+        asked = asked.join(fresh, "id", "left_anti")
+        opens = opens.unionByName(fresh)
+    openers = numbered(opens, ["id"], "label")
+    joined = edges.join(openers.select(F.col("id").alias("i")), "i", "left_semi").groupBy(F.col("j").alias("id")).agg(F.min("i").alias("leader"))
+    followers = joined.join(openers.select("id"), "id", "left_anti").join(openers.select(F.col("id").alias("leader"), "label"), "leader").select("id", "label")
+    return openers.select("id", "label").unionByName(followers)
+
+
+def spanning_tree(vectors: DataFrame, id: str = "id", embedding: str = "embedding", most_rounds: int = 40) -> DataFrame:
+    """(d, i, j): a least spanning tree of the complete graph of distances, ties by the ids, by rounds of nearest edges between parts.
+
+    Each round goes through all cells, a cell sending the nearest edge of each part it sees;
+    the number of parts halves at least.
+    """
+    kind = vectors.schema[id].dataType.simpleString()
+    rows = written(vectors.select(F.col(id).alias("id"), F.col(embedding).alias("v")))
+    tree, state = None, written(rows.select("id", F.col("id").alias("part")))
+    whole = rows.count()
+
+    def multiply(left: pd.DataFrame, right: pd.DataFrame, u: np.ndarray, w: np.ndarray, same: bool) -> pd.DataFrame:
+        out = [pd.DataFrame({"part": [], "d": [], "i": [], "j": []})]
+        if left is not None:
+            for a, b, x, y in [(left, right, u, w)] if same else [(left, right, u, w), (right, left, w, u)]:
+                p, q, own, other = a.id.to_numpy(), b.id.to_numpy(), a.part.to_numpy(), b.part.to_numpy()
+                for low, d in _tiles(x, y):
+                    d = np.round(d, 12)
+                    d[own[low : low + len(d), None] == other[None, :]] = np.inf
+                    near = d.min(1)
+                    at, j = np.nonzero((d == near[:, None]) & np.isfinite(near)[:, None])
+                    s, t = p[at + low], q[j]
+                    edges = pd.DataFrame({"part": own[at + low], "d": near[at], "i": np.minimum(s, t), "j": np.maximum(s, t)})
+                    out.append(edges.sort_values(["part", "d", "i", "j"]).drop_duplicates("part"))
+        found = pd.concat(out[1:] or out)
+        return found.sort_values(["part", "d", "i", "j"]).drop_duplicates("part")
+
+    n = 0
+    for _ in range(most_rounds):
+        if n >= whole - 1:
+            break
+        labelled = rows.join(state, "id")
+        best = _cells(labelled, multiply, f"part {kind}, d double, i {kind}, j {kind}", "id", "v", ["part"])
+        edges = written(best.groupBy("part").agg(F.min(F.struct("d", "i", "j")).alias("e")).select("e.*").distinct())
+        tree = edges if tree is None else written(tree.unionByName(edges).distinct())
+        parts = components(tree.select(F.col("i").alias("a"), F.col("j").alias("b")))
+        state = written(state.select("id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("part", "id").alias("part")))
+        n = tree.count()
+    return tree if tree is not None else vectors.sparkSession.createDataFrame([], f"d double, i {kind}, j {kind}")
+
+
+def hdbscan_all(vectors: DataFrame, id: str = "id", embedding: str = "embedding", min_cluster_size: int = 2) -> DataFrame:
+    """(id, label) by HDBSCAN over the whole table with min_samples 1, where the reachability of two rows is their distance; noise is -1.
+
+    Distances stay in the cells. The tree of n - 1 edges, three numbers each, goes to one task,
+    as the cut of the tree depends on all of it; that bounds the rows to what a task can hold.
+    """
+    kind = vectors.schema[id].dataType.simpleString()
+    tree = spanning_tree(vectors, id, embedding)
+    every = vectors.select(F.lit(0).alias("g"), F.lit(None).cast("double").alias("d"), F.col(id).alias("i"), F.col(id).alias("j"))
+    both = every.unionByName(tree.select(F.lit(0).alias("g"), "d", "i", "j"))
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(pdf.i[pdf.d.isna()].to_numpy())
+        edges = pdf[~pdf.d.isna()]
+        at = {v: k for k, v in enumerate(ids.tolist())}
+        links = [(d, at[i], at[j]) for d, i, j in zip(edges.d, edges.i, edges.j, strict=True)]
+        return pd.DataFrame({"id": ids, "label": labels_of_tree(len(ids), links, min_cluster_size)})
+
+    return both.groupBy("g").applyInPandas(cut, f"id {kind}, label long")
 
 
 def hdbscan_labels(distances: np.ndarray, min_cluster_size: int = 2) -> np.ndarray:
@@ -78,6 +212,11 @@ def hdbscan_labels(distances: np.ndarray, min_cluster_size: int = 2) -> np.ndarr
         seen[j] = True
         nearer = distances[j] < best
         best[nearer], via[nearer] = distances[j][nearer], j
+    return labels_of_tree(n, edges, min_cluster_size)
+
+
+def labels_of_tree(n: int, edges: list[tuple[float, int, int]], min_cluster_size: int = 2) -> np.ndarray:
+    """Labels of n points from the edges (distance, a, b) of their least spanning tree."""
     parent, size, top = list(range(2 * n)), [1] * n + [0] * n, n
     children: dict[int, tuple[int, int, float]] = {}
 
@@ -160,30 +299,50 @@ def hdbscan(vectors: DataFrame, group: str, id: str = "id", embedding: str = "em
 
 
 def graph_edges(vectors: DataFrame, limit: int = 5, least_score: float = 0.1, id: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(src, dst, score): each node's nearest others by 1 - distance, at most ``limit``, ties by id."""
-    pairs = close_pairs(vectors, 1.0 - least_score + 1e-9, id=id, embedding=embedding).withColumn("score", F.round(1 - F.col("distance"), 9)).where(F.col("score") >= least_score)
-    both = pairs.select(F.col("i").alias("src"), F.col("j").alias("dst"), "score").unionByName(pairs.select(F.col("j").alias("src"), F.col("i").alias("dst"), "score"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
-    return both.withColumn("r", rank).where(F.col("r") <= limit).drop("r")
+    """(src, dst, score): the edges of a semantic graph, each node's nearest others."""
+    return nearest_others(vectors, limit, least_score, id, embedding)
 
 
 def topics(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, topic) by label propagation: a node takes the label most frequent around it, ties by the smallest."""
+    """(node, topic) by label propagation: a node takes the label most frequent around it, ties by the smallest; so many rounds, or until nothing changes."""
     both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("topic", F.col("node"))
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("dst"), "topic"), "dst").groupBy(F.col("src").alias("node"), "topic").agg(F.count("*").alias("n"))
-        labels = written(votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "topic"))["topic"].alias("topic")))
+        now = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "topic"))["topic"].alias("topic"))
+        before, labels = labels, written(now)
+        if labels.join(before.withColumnRenamed("topic", "old"), "node").where("topic <> old").isEmpty():
+            break
     return labels
 
 
 def topic_ranks(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, topic, topicrank): 0-based, by degree."""
+    """(node, topic, topicrank): 0-based within the topic, by degree, ties by node."""
     degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
     ranked = labels.join(degree, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return ranked.withColumn("topicrank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "node")) - 1).drop("n")
 
 
+def largest_topics(labels: DataFrame, limit: int = 5) -> DataFrame:
+    """(place, topic, n) of the first topics by their number of nodes, ties by topic; places from 0."""
+    first = labels.groupBy("topic").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "topic").limit(limit)
+    return first.withColumn("place", (F.row_number().over(Window.orderBy(F.desc("n"), "topic")) - 1).cast("long")).select("place", "topic", "n")
+
+
+def topic_categories(vectors: DataFrame, labels: DataFrame, centres: DataFrame, category: str, id: str = "id", embedding: str = "embedding") -> DataFrame:
+    """(topic, category): the category nearest to the mean of the topic's vectors."""
+    parts = vectors.join(labels.withColumnRenamed("node", id), id).select("topic", F.posexplode(F.col(embedding).cast("array<double>")).alias("k", "x"))
+    means = parts.groupBy("topic", "k").agg(F.avg("x").alias("x")).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("mean"))
+    return nearest_category(means, centres, category, "topic", "mean").withColumnRenamed("id", "topic")
+
+
+def graph_view(texts: DataFrame, ranks: DataFrame, categories: DataFrame, name: str = "graph", id: str = "id") -> DataFrame:
+    """id, the texts' columns, topic, topicrank and category, as a view of the session that SQL can ask."""
+    out = texts.join(ranks.withColumnRenamed("node", id), id).join(categories, "topic", "left")
+    out.createOrReplaceTempView(name)
+    return out
+
+
 def shortest_path(edges: DataFrame, source: int, target: int, most: int = 8) -> DataFrame:
     """(hops, path) of one shortest path, that with the smallest nodes; no row if there is none within so many hops."""
     both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
@@ -201,8 +360,8 @@ def shortest_path(edges: DataFrame, source: int, target: int, most: int = 8) ->
 
 def nearest_category(vectors: DataFrame, centres: DataFrame, category: str, id: str = "id", embedding: str = "embedding") -> DataFrame:
     """(id, category): the category of the nearest centre; centres are few and checked to be."""
-    few = centres.select(F.col(category).alias("_c"), F.col("centre").cast("array<double>").alias("_v")).collect()
+    few = centres.select(F.col(category).alias("c"), F.col("centre").cast("array<double>").alias("v")).limit(1001).collect()
     if len(few) > 1000:
         raise ValueError("more than 1000 centres: use search by blocks")
-    best = F.array_min(F.array(*(F.struct(F.round(cosine_distance(F.col(embedding), literal(r["_v"])), 9).alias("d"), F.lit(r["_c"]).alias("c")) for r in few)))
+    best = F.array_min(F.array(*(F.struct(F.round(distance_to(F.col(embedding), list(r["v"])), 9).alias("d"), F.lit(r["c"]).alias("c")) for r in few)))
     return vectors.select(F.col(id).alias("id"), best["c"].alias(category))

@@ -1,41 +1,98 @@
-"""A vector table: search, upsert, delete, metadata columns, and an inverted-file index."""
+"""A vector table: storage by week, search, upsert, delete, metadata columns, and a stored inverted-file index."""
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+import math
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.functions.time_ids import in_range
-from claimweave.functions.vectors import cosine_distance, literal
-from claimweave.operators.predicates import Predicate, equality
+from claimweave.functions.time_ids import in_range, time_of_uuid, week_bucket
+from claimweave.functions.vectors import cosine_distance, distance_to, norm
+from claimweave.operators.predicates import Predicate, equality, value_of
+from claimweave.operators.tables import fresh_path
+
+
+def create_table(spark: SparkSession, name: str, path: str | None = None) -> None:
+    """The empty vector table, unless there is one: partitioned by the week of the id's time."""
+    where = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (id STRING, metadata STRING, contents STRING, embedding ARRAY<FLOAT>, norm DOUBLE, id_time TIMESTAMP, week BIGINT) USING parquet PARTITIONED BY (week){where}")
+
+
+def for_storage(table: DataFrame, days: int = 7) -> DataFrame:
+    """With what a search would otherwise compute for each row each time: the vector's norm, and the id's time and week, if ids are version-1 UUIDs."""
+    out = table.withColumn("norm", norm(F.col("embedding").cast("array<double>")))
+    if dict(table.dtypes)["id"] == "string":
+        out = out.withColumn("id_time", time_of_uuid(F.col("id"))).withColumn("week", week_bucket(F.col("id_time"), days))
+    return out
+
 
+def store(table: DataFrame, path: str, days: int = 7) -> DataFrame:
+    """The table written to a path, a folder for each week, and read from there."""
+    out = for_storage(table, days)
+    writer = out.write.mode("overwrite")
+    (writer.partitionBy("week") if "week" in out.columns else writer).parquet(path)
+    return table.sparkSession.read.parquet(path)
 
-def filtered(table: DataFrame, metadata_filter: dict | list[dict] | None = None, predicates: Predicate | None = None, time_range: tuple | None = None) -> DataFrame:
+
+def _seconds(time: str | dt.datetime) -> float:
+    t = dt.datetime.fromisoformat(time) if isinstance(time, str) else time
+    return (t if t.tzinfo else t.replace(tzinfo=dt.UTC)).timestamp()
+
+
+def filtered(table: DataFrame, metadata_filter: dict | list[dict] | None = None, predicates: Predicate | None = None, time_range: tuple | None = None, end_inclusive: bool = False, days: int = 7) -> DataFrame:
+    """Rows that pass all filters given. A time range of ids prunes the weeks of a stored table, a day wider on both sides than the range, whatever the session's time zone."""
+    of = value_of(table)
     if metadata_filter:
-        table = table.where(equality(F.col("metadata"), metadata_filter))
+        table = table.where(equality(of, metadata_filter))
     if predicates is not None:
-        table = table.where(predicates.column(F.col("metadata")))
+        table = table.where(predicates.on(of))
     if time_range:
-        table = table.where(in_range(F.col("id"), *time_range))
+        start, end = time_range
+        if "week" in table.columns:
+            if start is not None:
+                table = table.where(F.col("week") >= int((_seconds(start) - 86400) // (days * 86400)))
+            if end is not None:
+                table = table.where(F.col("week") <= int((_seconds(end) + 86400) // (days * 86400)))
+        table = table.where(in_range(F.col("id_time") if "id_time" in table.columns else time_of_uuid(F.col("id")), start, end, end_inclusive))
     return table
 
 
 def search(table: DataFrame, query: list[float] | Column, limit: int = 5, id: str = "id", embedding: str = "embedding", **filters) -> DataFrame:
     """The nearest rows with their distance, ascending, ties by id. The query is a literal, so the scan keeps pushed filters and ends in a distributed top-k."""
-    target = query if isinstance(query, Column) else literal(query)
-    found = filtered(table, **filters).withColumn("distance", cosine_distance(F.col(embedding), target))
-    return found.orderBy("distance", id).limit(limit)
+    own_norm = F.col("norm") if "norm" in table.columns else None
+    distance = cosine_distance(F.col(embedding), query) if isinstance(query, Column) else distance_to(F.col(embedding), query, own_norm)
+    return filtered(table, **filters).withColumn("distance", distance).orderBy("distance", id).limit(limit)
+
+
+def search_text(table: DataFrame, text: str, model: Callable[[str], list[float]], limit: int = 5, **options) -> DataFrame:
+    """The nearest rows to a text, embedded as the table's texts are, newlines as spaces."""
+    return search(table, model(text.replace("\n", " ")), limit, **options)
 
 
-def upsert(table: DataFrame, new: DataFrame, id: str = "id", on_conflict: str = "update") -> DataFrame:
-    """The next version of the table. Of new rows with one id the result keeps one."""
+def scored(found: DataFrame, id: str = "id", text: str = "contents") -> DataFrame:
+    """Search results as id, text and score, which falls with the distance."""
+    return found.select(id, F.col(text).alias("text"), (1 - F.col("distance")).alias("score"))
+
+
+def upsert(table: DataFrame, new: DataFrame, id: str = "id", on_conflict: str = "update", order: str | None = None) -> DataFrame:
+    """The next version of the table.
+
+    Of new rows with one id the one counts that is last by ``order``, or without it the largest
+    by all columns, so that a repeated run gives the same.
+    """
     if on_conflict not in ("update", "ignore"):
         raise ValueError("on_conflict is update or ignore")
-    new = new.dropDuplicates([id])
+    columns = table.columns
+    rank = F.struct(*([order] if order else []), F.to_json(F.struct(*(c for c in columns if c != id))))
+    one = new.groupBy(id).agg(F.max_by(F.struct(*(c for c in columns if c != id)), rank).alias("x")).select(id, "x.*").select(*columns)
     if on_conflict == "update":
-        return table.join(new.select(id), id, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
-    return table.unionByName(new.join(table.select(id), id, "left_anti").select(*table.columns))
+        return table.join(one.select(id), id, "left_anti").select(*columns).unionByName(one)
+    return table.unionByName(one.join(table.select(id), id, "left_anti").select(*columns))
 
 
 def delete(table: DataFrame, ids: list | DataFrame | None = None, metadata_filter: dict | list[dict] | None = None, delete_all: bool = False, id: str = "id") -> DataFrame:
@@ -46,27 +103,52 @@ def delete(table: DataFrame, ids: list | DataFrame | None = None, metadata_filte
     if delete_all:
         return table.where(F.lit(False))
     if metadata_filter:
-        return table.where(~F.coalesce(equality(F.col("metadata"), metadata_filter), F.lit(False)))
+        return table.where(~F.coalesce(equality(value_of(table), metadata_filter), F.lit(False)))
     if isinstance(ids, list):
         return table.where(~F.col(id).isin(ids) | F.col(id).isNull())
     return table.join(ids.select(id), id, "left_anti").select(*table.columns)
 
 
-def expand_metadata(table: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """metadata keys as columns of the given types; missing ones are null."""
+def metadata_keys(table: DataFrame, metadata: str = "metadata", most: int = 1000) -> list[str]:
+    """The keys that occur in the metadata, sorted; more than ``most`` different ones are an error."""
+    keys = table.select(F.explode(F.json_object_keys(metadata)).alias("key")).distinct().limit(most + 1).collect()
+    if len(keys) > most:
+        raise ValueError(f"more than {most} metadata keys")
+    return sorted(r.key for r in keys)
+
+
+def expand_metadata(table: DataFrame, keys: dict[str, str] | None = None) -> DataFrame:
+    """metadata keys as columns of the given types, by default all that occur, as text; missing ones are null."""
+    keys = {k: "string" for k in metadata_keys(table)} if keys is None else keys
     variant = F.try_parse_json("metadata")
     return table.select(*[c for c in table.columns if c != "metadata"], *(F.try_variant_get(variant, f"$.{k}", t).alias(k) for k, t in keys.items()))
 
 
+def results_frame(found: DataFrame, keys: dict[str, str] | None = None) -> DataFrame:
+    """Search results with metadata as columns and ids as text."""
+    return expand_metadata(found, keys).withColumn("id", F.col("id").cast("string"))
+
+
 class InvertedFile:
-    """Approximate search: rows filed under their nearest of a few centroids, probes by distance, exact re-rank.
+    """A stored approximate index: rows lie in a folder for each of a few lists, and a search reads the nearest lists only.
 
-    Centroids are fitted on a sample of at most ``sample`` rows; every row is filed.
+    Centroids are fitted on at most ``sample`` rows, drawn by a hash of the id; every row is
+    filed under its nearest. A search is exact among the rows it reads, by default three
+    quarters of the lists: that gives a recall at 10 of 0.95 on vectors with next to no
+    clusters; where there are clusters, fewer do.
     """
 
-    def __init__(self, table: DataFrame, lists: int = 16, sample: int = 20_000, rounds: int = 8, id: str = "id", embedding: str = "embedding"):
-        rows = table.select(embedding).orderBy(F.xxhash64(id)).limit(sample).toPandas()[embedding]
-        x = np.stack([np.asarray(v, float) for v in rows])
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        about = json.loads(spark.read.text(f"{path}/about", wholetext=True).first()[0])
+        self.centroids, self.id, self.embedding = np.array(about["centroids"]), about["id"], about["embedding"]
+        self.filed = spark.read.parquet(f"{path}/lists")
+
+    @classmethod
+    def create(cls, table: DataFrame, path: str | None = None, lists: int = 16, sample: int = 20_000, rounds: int = 10, id: str = "id", embedding: str = "embedding") -> InvertedFile:
+        spark, path = table.sparkSession, path or fresh_path(table.sparkSession)
+        rows = table.select(F.xxhash64(id).alias("h"), embedding).orderBy("h").limit(sample).collect()
+        x = np.array([r[1] for r in rows], float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         c = x[:: max(1, len(x) // lists)][:lists].copy()
         for _ in range(rounds):
@@ -75,18 +157,24 @@ class InvertedFile:
                 if (near == k).any():
                     c[k] = x[near == k].mean(0)
                     c[k] /= max(np.linalg.norm(c[k]), 1e-12)
-        self.centroids, self.id, self.embedding = c, id, embedding
-        best = F.array_min(F.array(*(F.struct(cosine_distance(F.col(embedding), literal(list(v))).alias("d"), F.lit(k).alias("k")) for k, v in enumerate(c))))
-        self.filed = table.withColumn("list_id", best["k"])
-
-    def search(self, query: list[float], limit: int = 5, probes: int = 4, **filters) -> DataFrame:
-        q = np.asarray(query, float)
-        order = np.argsort(-(self.centroids @ q), kind="stable")[:probes].tolist()
-        return search(self.filed.where(F.col("list_id").isin(order)), query, limit, self.id, self.embedding, **filters).drop("list_id")
-
-
-def top_per_key(df: DataFrame, key: str, order: list, k: int, rank: str | None = None) -> DataFrame:
-    """The first k rows of each key, with a 0-based rank if it is named."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    kept = ranked.where(F.col("_r") <= k)
-    return kept.withColumn(rank, F.col("_r") - 1).drop("_r") if rank else kept.drop("_r")
+        nearest = F.array_min(F.array(*(F.struct(distance_to(F.col(embedding), v.tolist()).alias("d"), F.lit(k).alias("k")) for k, v in enumerate(c))))
+        filed = for_storage(table) if "norm" not in table.columns else table
+        filed.withColumn("list_id", nearest["k"]).repartition("list_id", F.pmod(F.xxhash64(id), F.lit(8))).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+        about = json.dumps({"centroids": c.tolist(), "id": id, "embedding": embedding})
+        spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+        return cls(spark, path)
+
+    def drop(self) -> None:
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def probes(self, query: list[float], n: int | None = None) -> list[int]:
+        """The lists that a search reads, nearest first."""
+        n = math.ceil(0.75 * len(self.centroids)) if n is None else n
+        return np.argsort(-(self.centroids @ np.asarray(query, float)), kind="stable")[:n].tolist()
+
+    def search(self, query: list[float], limit: int = 5, probes: int | None = None, **filters) -> DataFrame:
+        """The nearest of the rows in the lists read; the filter on lists prunes folders."""
+        near = self.filed.where(F.col("list_id").isin(self.probes(query, probes)))
+        return search(near, query, limit, self.id, self.embedding, **filters).drop("list_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from claimweave.plans.queries import ORACLES, QUERIES
+from claimweave.plans import claim_queries, queries
 
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES = queries.QUERIES | claim_queries.QUERIES
+ORACLES = queries.ORACLES | claim_queries.ORACLES

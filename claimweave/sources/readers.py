@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlsplit
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions.html import article_udf, feed_paragraphs_udf, html_unescape, transcript_paragraphs_udf
 from claimweave.functions.text import file_stem
-from claimweave.operators.resolve import DOCUMENT
+from claimweave.operators.resolve import parse_documents
+
+ARTICLE = "title STRING, link STRING, summary STRING, text STRING"
+VECTORS = "id STRING, metadata STRING, contents STRING, embedding ARRAY<FLOAT>"
 
 
 def read_documents(spark: SparkSession, folder: str, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(documents, unreadable): JSON files of the folder, whatever the case of .json. Provenance: the document's file name, else the file's."""
-    files = lambda: spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN]").option("recursiveFileLookup", recursive)
-    rows = files().schema(f"{DOCUMENT}, _bad STRING").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(folder).withColumn("_path", F.col("_metadata.file_name"))
-    good = rows.where("_bad is null").drop("_bad").withColumn("filename", F.coalesce("filename", "_path"))
-    raw = files().text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("_path"), F.col("value").alias("raw"))
-    return good, raw.where(F.try_parse_json("raw").isNull())
+    """(documents, unreadable): JSON files of the folder, whatever the case of .json. A document is known by its file's whole path."""
+    files = spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN]").option("recursiveFileLookup", recursive).text(folder, wholetext=True)
+    return parse_documents(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
 
 
 def read_articles(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.schema("title STRING, link STRING, summary STRING, text STRING").option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    """Articles as JSON, an object a file; files named .JSON aren't read. filename: the file's name without its ending."""
+    rows = spark.read.schema(ARTICLE).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
     return rows.withColumn("filename", file_stem(F.col("_metadata.file_name")))
 
 
@@ -31,16 +37,49 @@ def read_faq(spark: SparkSession, path: str) -> DataFrame:
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """title, link, summary and text of saved feeds, an item a row."""
     schema = "title STRING, link STRING, description STRING, `content:encoded` STRING"
-    rows = spark.read.format("xml").schema(schema).option("rowTag", "item").load(path)
-    parts = feed_paragraphs_udf(F.col("content:encoded"))
+    return articles_of_items(spark.read.format("xml").schema(schema).option("rowTag", "item").load(path), "description", "content:encoded")
+
+
+def articles_of_items(items: DataFrame, summary: str = "summary", content: str = "content") -> DataFrame:
+    """Articles of feed items: paragraphs of the content, each with a space after it, and entities decoded once more."""
+    parts = feed_paragraphs_udf(F.col(f"`{content}`"))
     text = F.when(F.size(parts) > 0, F.concat(F.array_join(parts, " "), F.lit(" "))).otherwise("")
-    return rows.select(html_unescape("title").alias("title"), "link", html_unescape("description").alias("summary"), html_unescape(text).alias("text"))
+    return items.select(html_unescape("title").alias("title"), "link", html_unescape(F.col(f"`{summary}`")).alias("summary"), html_unescape(text).alias("text"))
+
+
+def feed_links(items: DataFrame) -> DataFrame:
+    return items.select("title", "link")
+
+
+def fetch_pages(links: DataFrame, make: Callable[[], Callable[[str], str]], link: str = "link") -> DataFrame:
+    """links with html and fetch_error, by a fetcher that is made once for each task; whatever it raises becomes the row's error."""
+    names = links.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fetch = make()
+
+        def one(url: str | None) -> tuple[str | None, str | None]:
+            try:
+                return fetch(url), None
+            except Exception as e:  # noqa: BLE001  a page that can't be had is a row of its own
+                return None, f"fetch: {e}"
 
+        for pdf in batches:
+            got = pd.DataFrame([one(u) for u in pdf[link]], columns=["html", "fetch_error"], index=pdf.index)
+            yield pd.concat([pdf[names], got], axis=1)
 
-def articles_of_pages(pages: DataFrame, html: str = "html", link: str = "url", **options) -> DataFrame:
-    """link, ok, title, summary, text, error of saved pages; see functions.html.article for the options."""
-    rows = pages.withColumn("_a", article_udf(**options)(F.col(html)))
-    return rows.select(F.col(link).alias("link"), "_a.ok", "_a.title", F.lit(None).cast("string").alias("summary"), "_a.text", "_a.error")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.schema.fields)
+    return links.mapInPandas(run, f"{kinds}, html string, fetch_error string")
+
+
+def articles_of_pages(pages: DataFrame, html: str = "html", link: str = "url", fetch_error: str | None = None, **options) -> DataFrame:
+    """link, ok, title, summary, text, error of saved or fetched pages, and the page itself where it gave no article; see functions.html.article for the options."""
+    rows = pages.withColumn("a", article_udf(**options)(F.col(html)))
+    failed = F.col(fetch_error).isNotNull() if fetch_error else F.lit(False)
+    ok = F.col("a.ok") & ~failed
+    error = F.when(failed, F.col(fetch_error)).otherwise(F.col("a.error")) if fetch_error else F.col("a.error")
+    page = F.when(~ok, F.col(html)).alias("page")
+    return rows.select(F.col(link).alias("link"), ok.alias("ok"), "a.title", F.lit(None).cast("string").alias("summary"), "a.text", error.alias("error"), page)
 
 
 def transcripts_of_pages(pages: DataFrame, html: str = "html", link: str = "url") -> DataFrame:
@@ -52,23 +91,50 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "")
 
 
+def read_links(spark: SparkSession, path: str) -> DataFrame:
+    """Links to process again, a line each."""
+    return read_lines(spark, path).select(F.trim("value").alias("link")).distinct()
+
+
 def read_whole_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
 def read_seen(spark: SparkSession, path: str) -> DataFrame:
-    """Links seen before; none if nothing can be read."""
+    """Links seen before; none if there is no table yet. Other errors are raised."""
     try:
         return spark.read.schema("link STRING").parquet(path)
-    except Exception:  # noqa: BLE001  no table yet
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return spark.createDataFrame([], "link STRING")
 
 
+def jdbc_options(url: str) -> tuple[str, dict[str, str]]:
+    """(JDBC URL, properties) of a database URL with user, password, host, port and name."""
+    parts = urlsplit(url)
+    kind = parts.scheme.partition("+")[0].replace("postgres", "postgresql").replace("postgresqlql", "postgresql")
+    host = f"{parts.hostname}:{parts.port}" if parts.port else parts.hostname
+    given = {"user": parts.username, "password": parts.password}
+    return f"jdbc:{kind}://{host}{parts.path}", {k: unquote(v) for k, v in given.items() if v}
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str]) -> DataFrame:
     """A table of a database; credentials come from the caller."""
     return spark.read.jdbc(url, table, properties=properties)
 
 
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """The vector table, with the columns that it is stored with."""
+    return spark.read.parquet(path)
+
+
+def contents_and_embeddings(vectors: DataFrame, id: str = "id") -> DataFrame:
+    """What clustering reads: contents and embedding, in the order of ids, as its result depends on order."""
+    return vectors.select(id, "contents", "embedding").orderBy(id)
+
+
 def read_claim_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, text) of the claim_texts of a claims file."""
-    return spark.read.option("multiLine", True).json(path).select(F.posexplode("claim_texts").alias("idx", "text"))
+    """(idx, text, categories) of a claims file: its texts by position, with all of its categories."""
+    rows = spark.read.schema("claim_texts ARRAY<STRING>, claim_categories ARRAY<STRING>").option("multiLine", True).json(path)
+    return rows.select(F.posexplode("claim_texts").alias("idx", "text"), F.col("claim_categories").alias("categories"))

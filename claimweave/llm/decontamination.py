@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .exchange import mapped
+from .exchange import mapped, others
 from .wordarrays import chunks, mix64, spans, text_buffer
 
 PASSAGE, SEGMENT, THRESHOLD, OVERLAP, INDEX_BYTES = 128, 48, 0.5, 0.5, 16 << 20
@@ -195,14 +195,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     """docs without the text, for each item that a text holds, with item, score, question_overlap and answer_overlap.
 
     score: the BM25 score of the best passage over the item's own, 1 where all its words stand
-    together. Null and empty texts and items have no match. Equal rows each get their matches.
-    Without rows or items the result is empty. Columns of docs named like the new are replaced.
+    together. Null and empty texts and items have no match. Equal rows each get their matches,
+    as do items of one id or text. Long texts are cut into passages. Without rows or items the
+    result is empty. Columns of docs named like the new ones, whatever their case, are replaced.
     """
     new = [item, "score", "question_overlap", "answer_overlap"]
-    rest = [c for c in docs.columns if c != text and c not in new]
+    rest = others(docs, [text, *new])
     kind = benchmark.schema[item].dataType
-    source = docs.select(F.col(text).cast("string").alias("_text"), *rest)
-    schema = StructType([*source.drop("_text").schema.fields]).add(item, kind).add("score", "double").add("question_overlap", "double").add("answer_overlap", "double")
+    source = docs.select(F.col(text).cast("string").alias(f"{text} of docs"), *rest)
+    schema = StructType([*source.schema.fields[1:]]).add(item, kind).add("score", "double").add("question_overlap", "double").add("answer_overlap", "double")
     out = None
     for index in indexes(benchmark, item, item_text, index_bytes):
 
@@ -221,8 +222,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The rows of docs whose text holds no item; null and empty texts stay."""
-    at = docs.columns.index(text)
+    """The rows of docs whose text holds no item, with their columns; null and empty texts stay, equal rows share their fate."""
+    at = [c.lower() for c in docs.columns].index(text.lower())
     for index in indexes(benchmark, item, item_text, index_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:

@@ -14,11 +14,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimweave.operators.tables import shared_folder, written
 
-__all__ = ["PACKED", "Unpacked", "dealt", "fanout", "free", "mapped", "others", "pack", "planes", "shared_folder", "spread", "unplanes", "written"]
+__all__ = ["PACKED", "Unpacked", "dealt", "fanout", "free", "hashable", "mapped", "others", "pack", "planes", "shared_folder", "spread", "unplanes", "written"]
 
 PARTS = ("ids", "extra", "lens", "keys", "places", "values")
 PACKED = "slot int, " + ", ".join(f"{n} binary" for n in PARTS)
@@ -46,6 +47,12 @@ def others(df: DataFrame, new: tuple[str, ...] | list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def hashable(df: DataFrame, column: str) -> Column:
+    """The column as Spark can hash it: maps and variants as JSON."""
+    kind = df.schema[column].dataType.simpleString()
+    return F.to_json(F.struct(F.col(f"`{column}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{column}`")
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until df has no such column."""
     have = {c.lower() for c in df.columns}

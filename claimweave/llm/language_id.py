@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .exchange import mapped
+from .exchange import mapped, others
 
 DIM, SAMPLE, EPOCHS = 1 << 13, 2000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
@@ -142,10 +142,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score, the calibrated probability of it.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if the
-    model has no language. Columns of docs named like the new ones are replaced.
+    model has no language. Equal texts get equal results; long ones take memory in proportion
+    to their length. Columns of docs named like the new ones, whatever their case, are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    at = rest.index(text)
+    rest = others(docs, ("lang_pred", "score"))
+    at = [c.lower() for c in rest].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,6 +170,11 @@ def held_out(id: str = "doc_id", folds: int = 5) -> Column:
 
 
 def language_id(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, sample: int = SAMPLE) -> DataFrame:
-    """docs with held_out, lang_pred and score; learnt from the rows that are not held out. An empty table gives an empty result."""
+    """docs with held_out, lang_pred and score; learnt from the rows that are not held out.
+
+    Rows of null text or language teach nothing; a null id counts as an empty text, and repeated
+    ids as what they are. An empty table gives an empty result.
+    """
     model = train(docs, ~held_out(id, folds), text, lang, sample)
-    return predict(docs.withColumn("held_out", held_out(id, folds)), model, text)
+    rest = others(docs, ("held_out", "lang_pred", "score"))
+    return predict(docs.select(*rest, held_out(id, folds).alias("held_out")), model, text)

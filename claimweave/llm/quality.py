@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import free, others
+
 BUCKETS, THRESHOLD = 1 << 16, -0.12
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -44,19 +46,19 @@ def repeat_words(hashes: Column) -> Column:
     return F.when(n < 3, F.lit(0)).otherwise(let(keys, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), F.lit(0)).otherwise(covered(starts(k)))))
 
 
-def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the words' hashes as _hashes."""
+def base_counts(docs: DataFrame, text: str = "text", words: str = "_words", hashes: str = "_hashes") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the words and their hashes under the names given."""
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(NOT_SPACE))
-    out = docs.withColumn("_words", words_of(value))
-    out = out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    out = docs.withColumn(words, words_of(value))
+    out = out.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
     return out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size(words).cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": F.regexp_count(value, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": let(F.col("_hashes"), repeat_words).cast("long"),
+            "n_repeat_words": let(F.col(hashes), repeat_words).cast("long"),
         }
     ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -66,16 +68,16 @@ def pair(hashes: Column, h: Column, i: Column) -> Column:
     return h.bitwiseXOR(F.shiftleft(F.get(hashes, i + 1), 1))
 
 
-def trusted_form() -> Column:
+def trusted_form(hashes: str = "_hashes") -> Column:
     """Strict rules of form: length, next to no symbols, no repeated lines, many different words, words of usual length."""
     n = F.col("n_words")
-    varied = F.size(F.array_distinct("_hashes")) * 5 >= n
+    varied = F.size(F.array_distinct(hashes)) * 5 >= n
     return (n >= 50) & (F.col("n_symbols") * 50 <= n) & (F.col("n_dup_lines") == 0) & varied & F.col("word_chars").between(3 * n, 9 * n)
 
 
-def ratios(counted: DataFrame, trusted: Column, buckets: int = BUCKETS) -> DataFrame:
+def ratios(counted: DataFrame, trusted: Column, buckets: int = BUCKETS, hashes: str = "_hashes") -> DataFrame:
     """One row with the log ratio of each bucket, in order, as an array."""
-    every = let(F.col("_hashes"), lambda hashes: F.concat(hashes, F.transform(hashes, lambda h, i: pair(hashes, h, i))))
+    every = let(F.col(hashes), lambda own: F.concat(own, F.transform(own, lambda h, i: pair(own, h, i))))
     rows = counted.select(trusted.alias("t"), every.alias("all")).select("t", F.explode("all").alias("h")).where("h is not null").select("t", F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("t").alias("good"))
     whole = counted.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
@@ -88,16 +90,19 @@ def quality(docs: DataFrame, text: str = "text", trusted: Column | None = None,
     """docs with the base counts, base_failed, score (null without a word) and kept.
 
     trusted: which documents the target is counted over, on columns of docs and base counts.
-    A null text counts as empty: no words, base_failed, not kept. Equal rows get equal results.
-    Columns of docs named like the new ones are replaced. An empty table gives an empty result.
+    A null text counts as empty: no words, base_failed, not kept. Equal rows get equal results;
+    ids are not read. A text's words are one array: long texts take memory in proportion.
+    Columns of docs named like the new ones, whatever their case, are replaced. An empty table
+    gives an empty result.
     """
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "_words", "_hashes", "_w")
-    rest = [c for c in docs.columns if c not in new]
-    counted = base_counts(docs.select(*rest), text)
-    table = ratios(counted, trusted_form() if trusted is None else trusted, buckets).scalar()
+    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    rest = others(docs, new)
+    words, hashes, weights = free(docs, "_words", "_hashes", "_weights")
+    counted = base_counts(docs.select(*rest), text, words, hashes)
+    table = ratios(counted, trusted_form(hashes) if trusted is None else trusted, buckets, hashes).scalar()
     n = F.col("n_words")
-    weight = lambda h: F.get(F.col("_w"), F.pmod(h, F.lit(buckets)).cast("int"))
-    each = let(F.col("_hashes"), lambda hashes: F.transform(hashes, lambda h, i: weight(h) + F.coalesce(weight(pair(hashes, h, i)), F.lit(0.0))))
-    scored = counted.withColumn("_w", table).withColumn("score", F.when(n > 0, F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / (2 * n - 1)))
+    weight = lambda h: F.get(F.col(weights), F.pmod(h, F.lit(buckets)).cast("int"))
+    each = let(F.col(hashes), lambda own: F.transform(own, lambda h, i: weight(h) + F.coalesce(weight(pair(own, h, i)), F.lit(0.0))))
+    scored = counted.withColumn(weights, table).withColumn("score", F.when(n > 0, F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / (2 * n - 1)))
     kept = ~F.col("base_failed") & (F.coalesce("score", F.lit(float("-inf"))) >= threshold)
     return scored.withColumn("kept", kept).select(*rest, *new[:6], "kept", "score")

@@ -10,6 +10,7 @@ logistic curve fitted on the same sample.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,23 +21,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .exchange import mapped
+from .exchange import mapped, others
 from .language_id import held_out
 
 SAMPLE, MOST_TERMS, LEAST_DOCS, LEAST_WEIGHT = 4000, 2000, 4, 2.0
 #: Letters that look like others, and digits used for letters.
-HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "т": "t", "к": "k", "м": "m", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ո": "n", "α": "a", "ο": "o", "ρ": "p", "ι": "i", "ν": "v", "ε": "e", "τ": "t", "κ": "k"}
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
+HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "т": "t", "к": "k", "м": "m", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ո": "n", "α": "a", "ο": "o", "ρ": "p", "ι": "i", "ν": "v", "ε": "e", "τ": "t", "κ": "k", "в": "b", "н": "h", "ѵ": "v", "ԛ": "q", "ԝ": "w", "һ": "h", "ɡ": "g", "ı": "i", "ł": "l", "ø": "o"}
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+#: Characters without width, and the soft hyphen.
+UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Phrases in which a lexicon word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "loser bracket", "pond scum")
-_FOLD = {ord(a): b for a, b in (HOMOGLYPHS | DIGITS).items()}
-_WORD = re.compile(r"\w+")
+_FULL_WIDTH = {0xFF21 + k: chr(97 + k) for k in range(26)} | {0xFF41 + k: chr(97 + k) for k in range(26)}
+_FOLD = {ord(a): b for a, b in (HOMOGLYPHS | DIGITS).items()} | _FULL_WIDTH | {ord(c): None for c in UNSEEN}
+_WORD, _LONGEST = re.compile(r"\w+"), 1 << 10
 
 
 def fold(text: str) -> str:
-    """Lower case, homoglyphs and digits as letters; one character for each, so positions stay."""
-    low = text.lower()
-    return low.translate(_FOLD) if len(low) == len(text) else "".join(c.lower()[:1] for c in text).translate(_FOLD)
+    """Lower case, homoglyphs, full-width letters and digits as plain letters, and nothing unseen between them."""
+    return text.lower().translate(_FOLD)
+
+
+def _inside(p: int, ranges: list[tuple[int, int]]) -> bool:
+    """Whether a place lies in one of the ranges, which stand in the order of their ends and are no longer than the longest phrase."""
+    k = bisect_left(ranges, p, key=lambda r: r[1])
+    while k < len(ranges) and ranges[k][1] - p < _LONGEST:
+        if ranges[k][0] <= p:
+            return True
+        k += 1
+    return False
 
 
 @dataclass
@@ -74,7 +87,7 @@ class Lexicon:
                         safe.append((start, end))
                     elif prefix or (prefix is False and ends):
                         hits[start] = max(hits.get(start, 0.0), w)
-        total = sum(w for p, w in hits.items() if not any(a <= p <= b for a, b in safe))
+        total = sum(w for p, w in hits.items() if not _inside(p, safe)) if safe else sum(hits.values())
         if not total:
             return 0.0, 0.0
         return np.log1p(total), np.log1p(1000.0 * total / (len(text.split()) + 20.0))
@@ -113,25 +126,26 @@ def learn(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = EXCEPTIONS)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, id: str, text: str, sample: int) -> list[tuple[str, int]]:
-    """At most ``sample`` texts of labelled rows that may be learnt from, half of each label; the drawn labels, bounded by it, are broadcast to the documents."""
+    """At most ``sample`` texts of labelled rows that may be learnt from, half of each label; the drawn labels, bounded by it, are broadcast to the documents. Of texts with one id the smallest counts."""
     own = labels.where(learnable & F.col("toxic").isin(0, 1) & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col("toxic").cast("int").alias("_toxic")).distinct()
     draw = [own.where(F.col("_toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2) for y in (0, 1)]
     drawn = F.broadcast(draw[0].unionByName(draw[1]))
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).join(drawn, "_id").select("_text", "_toxic").limit(2 * sample).collect()
-    return [(r[0] or "", r[1]) for r in rows]
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).join(drawn, "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).collect()
+    return [(r._text or "", r._toxic) for r in rows]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 5, sample: int = SAMPLE) -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 from 0.5 on).
 
     Labels come from rows that are not held out. Null and empty texts have no hit and get the
-    curve's lowest score; so does every text where no label can be learnt from. Equal rows get
-    equal results. Columns of docs named like the new ones are replaced. An empty table gives
-    an empty result.
+    curve's lowest score; so does every text where no label can be learnt from. Equal texts get
+    equal results; long ones take memory in proportion to their length. A null id has no label.
+    Columns of docs named like the new ones, whatever their case, are replaced. An empty table
+    gives an empty result.
     """
     lexicon = learn(labelled_sample(docs, labels, ~held_out(id, folds), id, text, sample))
-    rest = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    at = rest.index(text)
+    rest = others(docs, ("held_out", "score", "predicted"))
+    at = [c.lower() for c in rest].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = lexicon.automaton()

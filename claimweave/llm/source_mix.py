@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exchange import free, hashable, others
+
 MOST, WEIGHTS, SEED = 3, (1, 2, 3), 17
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,29 +47,31 @@ def source_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
 
     A null source is a source, the last; null and empty texts have size 0 and take no words.
     Rows are ordered by size class, salt, size and id; rows alike in these by all their
-    columns, and alike in all they are interchangeable. An empty table gives an empty result.
-    Columns of docs named like the new ones are replaced.
+    columns, and alike in all they are interchangeable. The salt is a hash of the id, of the
+    text where the id is null. Long texts are only counted. Columns of docs named like the new
+    ones, whatever their case, are replaced. An empty table gives an empty result.
     """
     new = ("size", "source_size", "target", "copies")
-    rest = [c for c in docs.columns if c not in new]
+    rest = others(docs, new)
+    key, band, salt, before, place, words = free(docs, "_key", "_class", "_salt", "_before", "_rank", "_words")
     name = F.col(source).cast("string")
     bits = F.bin("size")
     keyed = docs.select(*rest, word_count(text).alias("size")).withColumns(
         {
-            "_key": F.when(name.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), name)),
-            "_class": F.concat(F.lpad(F.length(bits), 2, "0"), F.substring(bits, 1, 3)),
-            "_salt": F.substring(F.md5(F.coalesce(F.col(id).cast("string"), F.lit(""))), 1, 3),
+            key: F.when(name.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), name)),
+            band: F.concat(F.lpad(F.length(bits), 2, "0"), F.substring(bits, 1, 3)),
+            salt: F.substring(F.md5(F.coalesce(F.col(id).cast("string"), F.col(text).cast("string"), F.lit(""))), 1, 3),
         }
     )
-    groups = keyed.groupBy("_key", "_class", "_salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    sizes = groups.groupBy(F.col("_key").alias("key")).agg(F.sum("words").alias("source_size"))
-    goals = targets(sizes, weights, most).withColumnRenamed("key", "_key")
-    earlier = Window.partitionBy("_key").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n", "words").join(goals, "_key")
-    in_group = Window.partitionBy("_key", "_class", "_salt").orderBy("size", id, F.xxhash64(*rest))
-    ranked = keyed.withColumn("_rank", F.row_number().over(in_group)).join(offsets, ["_key", "_class", "_salt"])
+    groups = keyed.groupBy(key, band, salt).agg(F.count("*").alias("n"), F.sum("size").alias(words))
+    sizes = groups.groupBy(F.col(key).alias("key")).agg(F.sum(words).alias("source_size"))
+    goals = targets(sizes, weights, most).withColumnRenamed("key", key)
+    earlier = Window.partitionBy(key).orderBy(band, salt).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.withColumn(before, F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n", words).join(goals, key)
+    in_group = Window.partitionBy(key, band, salt).orderBy("size", id, F.xxhash64(*(hashable(docs, c) for c in rest)))
+    ranked = keyed.withColumn(place, F.row_number().over(in_group)).join(offsets, [key, band, salt])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_key"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    rank = F.col("_before") + F.col("_rank")
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    rank = F.col(before) + F.col(place)
     copies = F.floor(rank * rate + start) - F.floor((rank - 1) * rate + start)
     return ranked.select(*rest, "size", "source_size", "target", copies.cast("long").alias("copies"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import contaminated
 from .language_id import language_id
 from .licenses import license_scan
+from .licenses import sql as license_sql
 from .lm_scoring import lm_scores
 from .parity_join import jaccard_components
 from .quality import quality
@@ -106,14 +107,15 @@ links AS (SELECT x, y FROM pairs JOIN sizes m ON m.r = x JOIN sizes n ON n.r = y
 reach AS (SELECT r AS x, r AS y FROM words UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
 SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m.component_id FROM words w LEFT JOIN sizes USING (r)
 JOIN (SELECT x, min(doc_id) AS component_id FROM reach JOIN words ON y = r GROUP BY x) m ON m.x = w.r""",
-    "op8_source_mix": r"""WITH sized AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
+    "op5_license_scan": license_sql(),
+    "op8_source_mix": r"""WITH sized AS (SELECT doc_id, text, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
   CAST(len([x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']) AS BIGINT) AS size FROM documents),
 caps AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS weight, CAST(sum(size) * 3 AS DOUBLE) AS cap FROM sized GROUP BY key),
 rated AS (SELECT *, cap / weight AS ratio FROM caps),
 levels AS (SELECT *, (CAST(sum(source_size) OVER () AS BIGINT) - coalesce(sum(cap) OVER b, 0)) / (CAST(sum(weight) OVER () AS BIGINT) - coalesce(CAST(sum(weight) OVER b AS BIGINT), 0)) AS level FROM rated
   WINDOW b AS (ORDER BY ratio, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goals AS (SELECT key, source_size, least(cap, weight * (SELECT arg_min(level, {'a': ratio, 'b': key}) FROM levels WHERE level <= ratio)) AS target FROM levels),
-ranked AS (SELECT doc_id, key, size, row_number() OVER (PARTITION BY key ORDER BY lpad(CAST(length(bin(size)) AS VARCHAR), 2, '0') || substr(bin(size), 1, 3), substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3), size, doc_id) AS rank FROM sized),
+ranked AS (SELECT doc_id, key, size, row_number() OVER (PARTITION BY key ORDER BY lpad(CAST(length(bin(size)) AS VARCHAR), 2, '0') || substr(bin(size), 1, 3), substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 3), size, doc_id) AS rank FROM sized),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, CAST('0x' || substr(md5('17:' || key), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS start FROM ranked JOIN goals USING (key))
 SELECT doc_id, size, source_size, target, CAST(floor(rank * rate + start) - floor((rank - 1) * rate + start) AS BIGINT) * size AS taken FROM rates""",
 }

@@ -645,8 +645,12 @@ def test_pipeline_stages(spark, table):
     out = {(r.doc_id, r.text): r.copies for r in stage["source_mix"](spark, first, SF).collect()}
     assert out == {(r.doc_id, r.text): r.copies for r in source_mix(first).collect() if r.copies > 0}
 
+    wide = first.select("*", F.create_map(F.lit("k"), F.col("doc_id")).alias("a_map"), *(F.lit(1).alias(c) for c in ("row_key", "cuts", "score", "N_Words", "kept_text", "aside", "lang_pred", "slot")))
     for name, f in cp.STAGES:
         assert f(spark, first.where("false"), SF).count() == 0, name
+        if name != "source_mix":
+            out = f(spark, wide, SF)
+            assert out.columns == wide.columns and all(r.score == r.aside == 1 and r.a_map == {"k": r.doc_id} for r in out.collect()), name
 
 
 def test_pipeline(spark):

@@ -21,6 +21,8 @@ from claimweave.operators.numbering import numbered
 from claimweave.operators.tables import written
 
 ROWS, TILE, LEAST_BLOCKS = 8192, 512, 4
+#: Up to so many rows the parts of a spanning tree are joined in one task instead of in rounds; the result is the same.
+ONE_TASK = 1_000_000
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -137,6 +139,26 @@ def leader_clusters(vectors: DataFrame, most: float = 0.35, id: str = "id", embe
     return openers.select("id", "label").unionByName(followers)
 
 
+def _parts(tree: DataFrame, kind: str) -> DataFrame:
+    """(node, part) of the edges (i, j) in one task, part being the smallest node; for trees that one task can hold."""
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent: dict = {}
+
+        def find(x: object) -> object:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in zip(pdf.i.tolist(), pdf.j.tolist(), strict=True):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        return pd.DataFrame({"node": list(parent), "part": [find(x) for x in list(parent)]})
+
+    return tree.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(join, f"node {kind}, part {kind}")
+
+
 def spanning_tree(vectors: DataFrame, id: str = "id", embedding: str = "embedding", most_rounds: int = 40) -> DataFrame:
     """(d, i, j): a least spanning tree of the complete graph of distances, ties by the ids, by rounds of nearest edges between parts.
 
@@ -172,7 +194,7 @@ def spanning_tree(vectors: DataFrame, id: str = "id", embedding: str = "embeddin
         best = _cells(labelled, multiply, f"part {kind}, d double, i {kind}, j {kind}", "id", "v", ["part"])
         edges = written(best.groupBy("part").agg(F.min(F.struct("d", "i", "j")).alias("e")).select("e.*").distinct())
         tree = edges if tree is None else written(tree.unionByName(edges).distinct())
-        parts = components(tree.select(F.col("i").alias("a"), F.col("j").alias("b")))
+        parts = _parts(tree, kind) if whole <= ONE_TASK else components(tree.select(F.col("i").alias("a"), F.col("j").alias("b")))
         state = written(state.select("id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("part", "id").alias("part")))
         n = tree.count()
     return tree if tree is not None else vectors.sparkSession.createDataFrame([], f"d double, i {kind}, j {kind}")

@@ -20,7 +20,8 @@ from claimweave.operators.predicates import Predicate
 from claimweave.operators.numbering import dense_uid, numbered
 from claimweave.operators.tables import fresh_path, shared_folder, written
 from claimweave.plans import models
-from claimweave.sources.readers import articles_of_pages, transcripts_of_pages
+from claimweave.sources.readers import articles_of_pages, read_seen, transcripts_of_pages
+from claimweave.sources.writers import observed, save_seen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -293,10 +294,12 @@ def failed_links_except(spark, d):
     return pages.select("url").subtract(pages.where("page_id % 2 = 0").select("url"))
 
 
-@query("SELECT url FROM pages WHERE page_id % 4 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0")
+@query("SELECT url AS link FROM pages WHERE page_id % 4 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0")
 def seen_union(spark, d):
-    pages = table(spark, d, "pages")
-    return pages.where("page_id % 4 = 0").select("url").union(pages.where("page_id % 3 = 0").select("url")).distinct()
+    """The next version of the table of seen links, saved and read."""
+    links, path = table(spark, d, "pages").withColumnRenamed("url", "link"), fresh_path(spark)
+    save_seen(links.where("page_id % 4 = 0"), links.where("page_id % 3 = 0"), path)
+    return read_seen(spark, path)
 
 
 @query("SELECT DISTINCT lang AS category FROM documents")
@@ -312,7 +315,11 @@ def grouped_list(spark, d):
 
 @query("SELECT count(*) AS n, count(DISTINCT source) AS sources, count_if(lang = 'en') AS english FROM documents")
 def counters(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.count_if(F.col("lang") == "en").alias("english"))
+    """Counts gathered while the rows are written."""
+    rows = table(spark, d, "documents").select("source", "lang")
+    watched, seen = observed(rows, n=F.count(F.lit(1)), sources=F.size(F.collect_set("source")).cast("long"), english=F.count_if(F.col("lang") == "en"))
+    watched.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["n"], seen.get["sources"], seen.get["english"])], "n long, sources long, english long")
 
 
 @query("""SELECT '[' || string_agg('{"content":' || to_json(lang || ':' || source) || ',"category":' || to_json(source) || '}', ',' ORDER BY doc_id) || ']' AS context

@@ -224,6 +224,14 @@ def test_hdbscan_of_a_table(spark):
     assert P.hdbscan_all(df.limit(1)).collect()[0].label == -1
 
 
+def test_spanning_trees_agree(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(12, 3)))], "id long, embedding array<double>")
+    one = sorted(map(tuple, P.spanning_tree(df).collect()))
+    monkeypatch.setattr(P, "ONE_TASK", 0)
+    assert one == sorted(map(tuple, P.spanning_tree(df).collect())) and len(one) == 11
+
+
 def test_pairs_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(P, "ROWS", 7)
     rng = np.random.default_rng(2)

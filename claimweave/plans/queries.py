@@ -518,7 +518,20 @@ def cost_by_model(spark, d):
 # --- HTML, models, streams
 
 
-@query()
+def _plain(html: str) -> str:
+    """SQL for the text of a piece of these pages: no tags, entities decoded."""
+    out = f"regexp_replace({html}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return out
+
+
+_PIECES = f"""pieces AS (SELECT page_id, url, unnest(range(len(parts) - 1)) AS position,
+  unnest([{_plain("regexp_extract(x, '(?s)^(.*?)(?:</p>|</article>|$)', 1)")} FOR x IN parts[2:]]) AS paragraph FROM (SELECT page_id, url, string_split(html, '<p>') AS parts FROM pages))"""
+
+
+@query(f"""WITH {_PIECES}, texts AS (SELECT page_id, string_agg(trim(paragraph), ' ' ORDER BY position) FILTER (trim(paragraph) <> '') AS text FROM pieces GROUP BY 1)
+SELECT url AS link, true AS ok, trim({_plain("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")}) AS title, coalesce(text, '') AS text, CAST(NULL AS VARCHAR) AS error FROM pages LEFT JOIN texts USING (page_id)""")
 def html_article_text(spark, d):
     return articles_of_pages(table(spark, d, "pages"), container="article", container_class=None).drop("summary", "page")
 
@@ -529,12 +542,12 @@ def html_failures(spark, d):
     return articles_of_pages(table(spark, d, "pages")).where("not ok").select("link", "error", "page")
 
 
-@query()
+@query(f"WITH {_PIECES} SELECT page_id, CAST(position AS INTEGER) AS position, paragraph FROM pieces")
 def rss_paragraphs(spark, d):
     return table(spark, d, "pages").select("page_id", F.posexplode(feed_paragraphs_udf("html")).alias("position", "paragraph"))
 
 
-@query()
+@query(f"WITH {_PIECES.replace('string_split(html,', "string_split(replace(html, '<br>', chr(10)),")} SELECT url AS link, CAST(position AS INTEGER) AS position, paragraph FROM pieces")
 def transcript_paragraphs(spark, d):
     return transcripts_of_pages(table(spark, d, "pages"))
 

@@ -72,7 +72,10 @@ def raw_documents(spark: SparkSession, d: str) -> DataFrame:
     canon = [_text(f'{{"id":"c{j}","text":"canon ', c % 10, f' {j}","category":"cat{j}","supporting_claims":["k0","k99"],', refuting, '"uncertain_claims":["k0"]}') for j in (0, 1)]
     named = F.when(c % 5 == 0, '"filename":null,').when(c % 5 == 1, "").otherwise(_text('"filename":"named', c, '.json",'))
     link = F.when(c % 7 == 0, "").otherwise(_text('"link":"http://x/', c, '",'))
-    raw = _text('{"title":"T",', named, link, '"canonical_claims":[', canon[0], ",", canon[1], '],"claims":[', F.col("claims"), '],"sources":[', F.col("sources"), '],"events":[', F.col("events"), '],"entities":[', F.col("entitys"), "]}")
+    raw = _text(
+        '{"title":"T",', named, link, '"canonical_claims":[', canon[0], ",", canon[1], '],"claims":[', F.col("claims"),
+        '],"sources":[', F.col("sources"), '],"events":[', F.col("events"), '],"entities":[', F.col("entitys"), "]}",
+    )
     return listed.select(_text("d", c % 2, "/f", F.floor(c / 2), ".json").alias("path"), raw.alias("raw"))
 
 
@@ -120,8 +123,10 @@ def md5_claims(spark, d):
 
 
 _CANON = f"""{_BASE}, k AS (SELECT c, t, md5(x) AS id FROM b),
-cc AS (SELECT d.c, d.path, j AS pos, 'canon ' || (d.c % 10) || ' ' || j AS text, coalesce((SELECT id FROM k WHERE k.c = d.c AND t = 0), 'k0') AS k0, coalesce((SELECT id FROM k WHERE k.c = d.c AND t = 1), 'k1') AS k1 FROM d, (VALUES (0), (1)) v(j)),
-ccr AS (SELECT *, md5(text) AS id, 'cat' || pos AS category, k0 || ',k99' AS supporting_claims, CASE WHEN c % 4 <> 0 THEN k1 END AS refuting_claims, CASE WHEN c % 4 <> 0 THEN k0 ELSE 'k0' END AS uncertain_claims FROM cc)"""
+cc AS (SELECT d.c, d.path, j AS pos, 'canon ' || (d.c % 10) || ' ' || j AS text,
+  coalesce((SELECT id FROM k WHERE k.c = d.c AND t = 0), 'k0') AS k0, coalesce((SELECT id FROM k WHERE k.c = d.c AND t = 1), 'k1') AS k1 FROM d, (VALUES (0), (1)) v(j)),
+ccr AS (SELECT *, md5(text) AS id, 'cat' || pos AS category, k0 || ',k99' AS supporting_claims, CASE WHEN c % 4 <> 0 THEN k1 END AS refuting_claims,
+  CASE WHEN c % 4 <> 0 THEN k0 ELSE 'k0' END AS uncertain_claims FROM cc)"""
 
 
 @query(f"WITH {_CANON} SELECT id, text, category, supporting_claims, refuting_claims, uncertain_claims FROM ccr QUALIFY row_number() OVER (PARTITION BY id ORDER BY path DESC, pos DESC) = 1")
@@ -138,7 +143,8 @@ def md5_canonical_compat(spark, d):
     return R.by_md5(documents(spark, d), compat=True)["canonical_claims"].select("id", "text", "category")
 
 
-_UIDS = f"""{_BASE}, first AS (SELECT kind, key, min({{'p': path, 'o': pos}}) AS f FROM (SELECT 'ev' AS kind, uname AS key, path, pos FROM ev UNION ALL SELECT 'so', name, path, pos FROM so UNION ALL SELECT 'en', name, path, pos FROM en) GROUP BY 1, 2),
+_UIDS = f"""{_BASE}, first AS (SELECT kind, key, min({{'p': path, 'o': pos}}) AS f
+  FROM (SELECT 'ev' AS kind, uname AS key, path, pos FROM ev UNION ALL SELECT 'so', name, path, pos FROM so UNION ALL SELECT 'en', name, path, pos FROM en) GROUP BY 1, 2),
 uid AS (SELECT kind, key, CAST(row_number() OVER (PARTITION BY kind ORDER BY f.p, f.o) - 1 AS BIGINT) AS uid FROM first)"""
 
 
@@ -178,7 +184,8 @@ def claim_categories(spark, d):
     return R.by_md5(documents(spark, d))["claims"].select(F.explode("categories").alias("category")).distinct()
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS name, count(*) AS claims, CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 5 = 1 THEN 'f' || conv_id || '.JSON' ELSE 'named' || conv_id || '.json' END AS filename FROM conversations GROUP BY conv_id")
+@query("""SELECT CAST(conv_id AS VARCHAR) AS name, count(*) AS claims,
+  CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 5 = 1 THEN 'f' || conv_id || '.JSON' ELSE 'named' || conv_id || '.json' END AS filename FROM conversations GROUP BY conv_id""")
 def json_directory_scan(spark, d):
     """Documents written as files in two folders and read back, nested folders and either case of the ending included."""
     docs = raw_documents(spark, d).select(F.regexp_extract("path", r"d(\d)", 1).cast("int").alias("a"), F.regexp_extract("path", r"f(\d+)", 1).cast("int").alias("b"), "raw")
@@ -230,7 +237,9 @@ def report_of_clusters(spark, d):
 @query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label FROM embeddings")
 def scatter_dimensions(spark, d):
     rows = _table(spark, d, "embeddings")
-    return writers.first_two_dimensions(rows, "label").withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")}).join(rows.select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), "label"), ["x", "y", "label"])
+    own = rows.select("vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"), "label")
+    both = writers.first_two_dimensions(rows).join(own, ["x", "y", "label"])
+    return both.select("vec_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "label")
 
 
 @query("SELECT event_id, '{\"category\":\"' || event_type || '\",\"created_at\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(ts, '%f') END || '\"}' AS metadata FROM events")
@@ -278,7 +287,8 @@ def text_search_scores(spark, d):
 
 
 @query(f"""WITH top AS (SELECT * FROM ({_FOUND}) ORDER BY d, id LIMIT 5),
-o AS (SELECT *, len(list_intersect(list_distinct(string_split('{_ASKED}', ' ')), [w FOR w IN string_split_regex(lower(text), '\\s+') IF w <> ''])) AS n, row_number() OVER (ORDER BY d, id) AS k FROM top)
+o AS (SELECT *, len(list_intersect(list_distinct(string_split('{_ASKED}', ' ')), [w FOR w IN string_split_regex(lower(text), '\\s+') IF w <> ''])) AS n,
+  row_number() OVER (ORDER BY d, id) AS k FROM top)
 SELECT '{_ASKED}' AS question, arg_max(CASE WHEN n > 0 THEN text ELSE '' END, {{'n': n, 'k': -k}}) AS answer, max(n) > 0 AS enough_context, CAST(5 AS BIGINT) AS rows_of_context FROM o""")
 def rag_answer(spark, d):
     """Search, context and answer in one plan; the answer is a stand-in's, by shared words."""
@@ -344,7 +354,8 @@ def _ingested(spark: SparkSession, d: str) -> str:
             raise OSError("down")
         return "{}"
 
-    for make, checkpoint in ((lambda: [("half", half)], "a"), (lambda: [("up", lambda p: "{}")], "a"), (lambda: [("up", lambda p: "{}")], "b")):
+    up = lambda: [("up", lambda p: "{}")]
+    for make, checkpoint in ((lambda: [("half", half)], "a"), (up, "a"), (up, "b")):
         ingest.start_ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/{checkpoint}", make=make).awaitTermination()
     return f"{folder}/out"
 
@@ -355,7 +366,8 @@ def ingest_seen(spark, d):
     return ingest.seen_links(spark, _ingested(spark, d))
 
 
-@query("SELECT 0 AS run, CASE WHEN page_id % 2 = 0 THEN 'ok' ELSE 'failed' END AS status, count(*) AS n FROM pages GROUP BY page_id % 2 UNION ALL SELECT 1, 'ok', count(DISTINCT url) FROM pages WHERE page_id % 2 = 1 AND url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
+@query("""SELECT 0 AS run, CASE WHEN page_id % 2 = 0 THEN 'ok' ELSE 'failed' END AS status, count(*) AS n FROM pages GROUP BY page_id % 2
+UNION ALL SELECT 1, 'ok', count(DISTINCT url) FROM pages WHERE page_id % 2 = 1 AND url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)""")
 def ingest_runs(spark, d):
     """Rows by run and status: the second start takes up what failed, the third finds nothing new."""
     return ingest.results(spark, _ingested(spark, d)).groupBy("run", "status").agg(F.count("*").alias("n")).select(F.col("run").cast("int").alias("run"), "status", "n")

@@ -89,7 +89,7 @@ def running_uid(spark, d):
     return numbered(table(spark, d, "conversations").select("conv_id", "turn"), ["conv_id", "turn"])
 
 
-# --- reference rewriting
+# --- rewriting of references
 
 
 @query("SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), '') AS ref FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import contaminated
+from .hard_negatives import hard_negatives
 from .language_id import language_id
 from .licenses import license_scan
 from .licenses import sql as license_sql
@@ -74,6 +75,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, relabelled = table(spark, sf_dir, "embeddings"), (F.col("label").cast("long") + 1) % 10
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, relabelled).otherwise(F.col("label")))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 WORDS_SQL = r"""WITH words AS (SELECT doc_id, row_number() OVER () AS r, [x FOR x IN string_split_regex(coalesce({text}, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents)"""
@@ -118,4 +126,11 @@ goals AS (SELECT key, source_size, least(cap, weight * (SELECT arg_min(level, {'
 ranked AS (SELECT doc_id, key, size, row_number() OVER (PARTITION BY key ORDER BY lpad(CAST(length(bin(size)) AS VARCHAR), 2, '0') || substr(bin(size), 1, 3), substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 3), size, doc_id) AS rank FROM sized),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, CAST('0x' || substr(md5('17:' || key), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS start FROM ranked JOIN goals USING (key))
 SELECT doc_id, size, source_size, target, CAST(floor(rank * rate + start) - floor((rank - 1) * rate + start) AS BIGINT) * size AS taken FROM rates""",
+    "op11_hard_negatives": """WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER r AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+WINDOW r AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER r <= 10""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import contaminated
+from .embedding_graph import embedding_components
 from .hard_negatives import hard_negatives
 from .language_id import language_id
 from .licenses import license_scan
@@ -81,6 +82,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
 }
 
 WORDS_SQL = r"""WITH words AS (SELECT doc_id, row_number() OVER () AS r, [x FOR x IN string_split_regex(coalesce({text}, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents)"""

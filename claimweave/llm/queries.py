@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import aligned
 from .decontamination import contaminated
 from .embedding_graph import embedding_components
 from .hard_negatives import hard_negatives
@@ -86,6 +87,10 @@ def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 WORDS_SQL = r"""WITH words AS (SELECT doc_id, row_number() OVER () AS r, [x FOR x IN string_split_regex(coalesce({text}, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents)"""

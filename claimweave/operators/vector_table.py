@@ -8,11 +8,14 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.time_ids import in_range, time_of_uuid, week_bucket
 from claimweave.functions.vectors import cosine_distance, distance_to, norm
+from claimweave.operators.blocks import against_all, by_length, column
+from claimweave.operators.cuts import finite, unit, whole
 from claimweave.operators.predicates import Predicate, equality, value_of
 from claimweave.operators.tables import fresh_path
 
@@ -63,10 +66,57 @@ def filtered(table: DataFrame, metadata_filter: dict | list[dict] | None = None,
 
 
 def search(table: DataFrame, query: list[float] | Column, limit: int = 5, id: str = "id", embedding: str = "embedding", **filters) -> DataFrame:
-    """The nearest rows with their distance, ascending, ties by id. The query is a literal, so the scan keeps pushed filters and ends in a distributed top-k."""
+    """The nearest rows with their distance, ascending, ties by id. The query is a literal, so the scan keeps pushed filters and ends in a distributed top-k.
+
+    A row whose vector is null or holds a null or non-finite component has no distance and isn't found; a zero vector has distance 1.
+    """
     own_norm = F.col("norm") if "norm" in table.columns else None
     distance = cosine_distance(F.col(embedding), query) if isinstance(query, Column) else distance_to(F.col(embedding), query, own_norm)
-    return filtered(table, **filters).withColumn("distance", distance).orderBy("distance", id).limit(limit)
+    return filtered(table, **filters).where(whole(column(embedding))).withColumn("distance", distance).orderBy("distance", id).limit(limit)
+
+
+def search_many(table: DataFrame, queries: DataFrame, limit: int = 5, id: str = "id", embedding: str = "embedding", lists: str | None = None, **filters) -> DataFrame:
+    """(q, id, distance): the nearest rows of each of many queries (q, v), ascending by distance to nine places, ties by id.
+
+    Rows stream past blocks of queries, and a task keeps ``limit`` rows of each query it holds.
+    Rows and queries whose vector is null, or holds a null or non-finite component, have no
+    distance; zero vectors have distance 1; vectors of different lengths aren't compared. lists: a
+    column of the table that must be in the query's array ``lists``.
+    """
+    q, rows = queries.where(F.col("v").isNotNull()), filtered(table, **filters)
+    rows = rows.select(column(id).alias("id"), column(embedding).alias("v"), *([column(lists).alias("list")] if lists else [])).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    kind = rows.schema["id"].dataType.simpleString()
+    asked_kind = queries.schema["q"].dataType.simpleString()
+
+    def start(batch: pa.RecordBatch) -> dict:
+        asked = batch.column("lists").to_pylist() if lists else None
+        return {"q": batch.column("q"), "lists": asked, "by": {x.shape[1]: (at, unit(x)) for at, x in by_length(batch.column("v"))}, "kept": [(np.zeros(0), pa.array([], batch_type(kind))) for _ in range(len(batch))]}
+
+    def step(state: dict, batch: pa.RecordBatch) -> None:
+        of_list = batch.column("list").to_numpy() if lists else None
+        for at, x in by_length(batch.column("v")):
+            own, u = state["by"].get(x.shape[1], (np.zeros(0, int), None))
+            for low in range(0, len(own), most := max(1, (1 << 22) // max(1, len(at)))):
+                far = np.round(np.clip(1 - u[low : low + most] @ unit(x).T, 0, 2), 9)
+                for place, d in zip(own[low : low + most].tolist(), far, strict=True):
+                    near = np.arange(len(at)) if of_list is None else np.flatnonzero(np.isin(of_list[at], state["lists"][place]))
+                    d = d[near]
+                    if len(d) > limit:
+                        few = np.flatnonzero(d <= np.partition(d, limit - 1)[limit - 1])
+                        near, d = near[few], d[few]
+                    had, ids = state["kept"][place]
+                    d = np.append(had, d)
+                    first = np.argsort(d, kind="stable")[:limit]  # rows come in the order of ids
+                    state["kept"][place] = d[first], pa.concat_arrays([ids, batch.column("id").take(pa.array(at[near]))]).take(pa.array(first))
+
+    def finish(state: dict) -> pa.RecordBatch:
+        own = np.repeat(np.arange(len(state["kept"])), [len(d) for d, _ in state["kept"]])
+        return pa.RecordBatch.from_pydict({"q": state["q"].take(pa.array(own)), "id": pa.concat_arrays([i for _, i in state["kept"]]), "distance": np.concatenate([d for d, _ in state["kept"]])})
+
+    batch_type = lambda k: {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[k]
+    found = against_all(q.where(whole(F.col("v"))), rows.where(whole(F.col("v"))), start, step, finish, f"q {asked_kind}, id {kind}, distance double", "id")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("q", F.col("id").alias(id), "distance")
 
 
 def search_text(table: DataFrame, text: str, model: Callable[[str], list[float]], limit: int = 5, **options) -> DataFrame:
@@ -132,7 +182,7 @@ def results_frame(found: DataFrame, keys: dict[str, str] | None = None) -> DataF
 class InvertedFile:
     """A stored approximate index: rows lie in a folder for each of a few lists, and a search reads the nearest lists only.
 
-    Centroids are fitted on at most ``sample`` rows, drawn by a hash of the id; every row is
+    Rows whose vector is null, empty or zero, holds a null or non-finite component, or has another length than most, are in no list. Centroids are fitted on at most ``sample`` rows, drawn by a hash of the id; every row is
     filed under its nearest. A search is exact among the rows it reads, by default three
     quarters of the lists: that gives a recall at 10 of 0.95 on vectors with next to no
     clusters; where there are clusters, fewer do.
@@ -147,6 +197,11 @@ class InvertedFile:
     @classmethod
     def create(cls, table: DataFrame, path: str | None = None, lists: int = 16, sample: int = 20_000, rounds: int = 10, id: str = "id", embedding: str = "embedding") -> InvertedFile:
         spark, path = table.sparkSession, path or fresh_path(table.sparkSession)
+        table = table.where(F.col(embedding).isNotNull()).where(finite(F.col(embedding)))
+        size = table.groupBy(F.size(embedding).alias("n")).count().orderBy(F.desc("count"), "n").first()
+        if size is None:
+            raise ValueError("no vectors to index")
+        table = table.where(F.size(embedding) == size.n)
         rows = table.select(F.xxhash64(id).alias("h"), embedding).orderBy("h").limit(sample).collect()
         x = np.array([r[1] for r in rows], float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -174,6 +229,13 @@ class InvertedFile:
         n = math.ceil(0.75 * len(self.centroids)) if n is None else n
         return np.argsort(-(self.centroids @ np.asarray(query, float)), kind="stable")[:n].tolist()
 
+    def search_many(self, queries: DataFrame, limit: int = 5, probes: int | None = None, **filters) -> DataFrame:
+        """(q, id, distance) of many queries (q, v), each among the rows of its nearest lists."""
+        n = math.ceil(0.75 * len(self.centroids)) if probes is None else probes
+        nearness = F.array(*(F.struct(distance_to(F.col("v"), c.tolist()).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(self.centroids)))
+        asked = queries.withColumn("lists", F.transform(F.slice(F.array_sort(nearness), 1, n), lambda x: x["k"]))
+        return search_many(self.filed, asked, limit, self.id, self.embedding, lists="list_id", **filters)
+
     def search(self, query: list[float], limit: int = 5, probes: int | None = None, **filters) -> DataFrame:
         """The nearest of the rows in the lists read; the filter on lists prunes folders."""
         near = self.filed.where(F.col("list_id").isin(self.probes(query, probes)))

@@ -160,7 +160,7 @@ class _Chunks:
         every = np.concatenate([p for _, _, p in self.parts])
         pairs, own, counts = np.unique(every, return_inverse=True, return_counts=True)
         ends = np.cumsum([0] + [len(p) for _, _, p in self.parts])
-        own = own.astype(np.uint32)
+        own = own.astype(_narrow(len(pairs)))
         rows = [(self.next, *key, *about, own[a:b].tobytes(), None, None) for (key, about, _), a, b in zip(self.parts, ends, ends[1:], strict=False)]
         rows.append((self.next, *(None,) * 9, pairs.astype(np.int64).tobytes(), counts.astype(np.int64).tobytes()))
         self.next, self.parts, self.size = self.next + 1, [], 0
@@ -271,7 +271,7 @@ def _looked_up(parts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """The sums over a chunk's links of each part, by the chunk's table of pairs."""
     known = known.sort_values("pair")
     count, best = known["count"].to_numpy(np.int64), known["best"].to_numpy(bool)
-    own = [np.frombuffer(x, np.uint32) for x in parts.own]
+    own = [np.frombuffer(x, _narrow(len(known))) for x in parts.own]
     return pd.DataFrame({"h": parts.h, "m": parts.m, "n_best": [int(best[x].sum()) for x in own], "count_sum": [int(count[x].sum()) for x in own]})
 
 

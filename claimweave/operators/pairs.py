@@ -1,6 +1,11 @@
-"""Pairs, clusters and graphs of vectors.
+"""Pairs and clusters of vectors.
 
-Work on all pairs is dealt to cells of a grid of blocks. The number of blocks follows the
+Rows whose vector is null or empty, or holds a null or non-finite component, are in no pair: they are
+clusters of their own, or noise. A zero vector has distance 1 to all others.
+
+A join by a distance below 1 is dealt to cells around pivots: a row lives with its nearest
+pivot and visits those that rows in its reach may live with, by the triangle inequality of
+angles, and a cell too large for a task is a grid of blocks. Other work on all pairs is dealt to cells of a grid of blocks. The number of blocks follows the
 number of rows, so a block has about ``ROWS`` of them whatever the table's size, and a cell
 multiplies tile by tile, so a task holds two blocks of vectors and one tile of distances.
 """
@@ -12,15 +17,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.vectors import distance_to
+from claimweave.operators.blocks import by_length
 from claimweave.operators.components import components
+from claimweave.operators.cuts import whole
 from claimweave.operators.numbering import numbered
 from claimweave.operators.tables import written
 
 ROWS, TILE, LEAST_BLOCKS = 8192, 512, 4
+#: Pivots at most, rows drawn to choose them, what a copy of a row and a cell cost in multiplied pairs, and how far rounding may move an angle.
+PIVOTS, DRAWN, COPY, CELL, ROUNDING = 4096, 4096, 4000, 1_000_000, 1e-6
+#: Edges that one task settles in the order of ids.
+SETTLED = 1_000_000
 #: Up to so many rows the parts of a spanning tree are joined in one task instead of in rounds; the result is the same.
 ONE_TASK = 1_000_000
 
@@ -36,8 +48,13 @@ def _tiles(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield low, np.clip(1 - x[low : low + TILE] @ y.T, 0, 2)
 
 
+def _whole(vectors: DataFrame, embedding: str) -> DataFrame:
+    return vectors.where(F.size(embedding) > 0).where(whole(F.col(embedding)))
+
+
 def _cells(vectors: DataFrame, run: Callable, schema: str, id: str, embedding: str, extra: list[str] | None = None) -> DataFrame:
     """run(left, right, same) over all pairs of blocks, each once; frames have id, v, extra columns, and u, the unit vectors, as a matrix."""
+    vectors = _whole(vectors, embedding)
     blocks = max(LEAST_BLOCKS, math.ceil(vectors.count() / ROWS))
     rows = vectors.select(F.col(id).alias("id"), F.col(embedding).cast("array<double>").alias("v"), *(extra or [])).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o.cast("int")).alias("x"), F.greatest("b", o.cast("int")).alias("y")))
@@ -56,7 +73,7 @@ def _cells(vectors: DataFrame, run: Callable, schema: str, id: str, embedding: s
 
 
 def close_pairs(vectors: DataFrame, most: float, id: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(i, j, distance) of all i < j at most so far apart. Each pair meets in one cell."""
+    """(i, j, distance) of all i < j at most so far apart. Each pair meets in one cell at most; pairs whose angle to the pivots tells that they are further apart meet in none."""
     kind = vectors.schema[id].dataType.simpleString()
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame, u: np.ndarray, w: np.ndarray, same: bool) -> pd.DataFrame:
@@ -71,7 +88,112 @@ def close_pairs(vectors: DataFrame, most: float, id: str = "id", embedding: str
                 out.append(pd.DataFrame({"i": np.minimum(a, b), "j": np.maximum(a, b), "distance": d[i, j]}))
         return pd.concat(out[1:] or out)
 
-    return _cells(vectors, multiply, f"i {kind}, j {kind}, distance double", id, embedding)
+    deal = _cells if most >= 1 else lambda *a: _around_pivots(*a, placed=Placed(vectors, most, id, embedding))
+    return deal(vectors, multiply, f"i {kind}, j {kind}, distance double", id, embedding)
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1, 1))
+
+
+def _visits(angles: np.ndarray, home: np.ndarray, reach: np.ndarray, most: float) -> np.ndarray:
+    """Whether each row visits each pivot: one before its own with which a row in its reach may live."""
+    own = angles[np.arange(len(home)), home]
+    near = angles <= np.minimum(own[:, None] + 2 * most, reach[None, :] + most) + ROUNDING
+    return near & (np.arange(angles.shape[1])[None, :] < home[:, None])
+
+
+class Placed:
+    """Rows with their pivot and those they visit, for a join of distances up to ``most``; zero vectors, at distance 1 from all, are nowhere.
+
+    The pivots are rows drawn by hash; of several numbers of pivots that one is taken whose
+    copies, cells and multiplied pairs cost least, as estimated on the drawn rows.
+    """
+
+    def __init__(self, vectors: DataFrame, most: float, id: str, embedding: str, pivots: int | None = None):
+        rows = _whole(vectors, embedding).select(F.col(id).alias("id"), F.col(embedding).cast("array<double>").alias("v")).where(F.exists("v", lambda x: x != 0))
+        self.most = math.acos(max(-1.0, 1 - most)) + ROUNDING
+        n = rows.count()
+        drawn = rows.select("v").orderBy(F.xxhash64("id")).limit(DRAWN).collect()
+        x = _unit(pd.Series([r.v for r in drawn])) if drawn else np.zeros((1, 1))
+        few = [c for c in (4096, 1024, 256, 64, 16, LEAST_BLOCKS) if c <= PIVOTS and 2 * c <= len(x)] or [min(LEAST_BLOCKS, len(x))]
+        self.pivots = x[: pivots or min(few, key=lambda c: self._cost(x, c, n))]
+        self.rows = written(self._placed(rows, self._reach(rows)))
+        self.counts = self.rows.groupBy("home").agg(F.count("*").alias("homes")).join(self.rows.select(F.explode("visits").alias("home")).groupBy("home").agg(F.count("*").alias("visitors")), "home", "left").select("home", "homes", F.coalesce("visitors", F.lit(0)).alias("visitors"))
+
+    def _cost(self, x: np.ndarray, c: int, n: int) -> float:
+        angles = _angles(x, x[:c])
+        home = angles.argmin(1)
+        reach = np.zeros(c)
+        np.maximum.at(reach, home, angles[np.arange(len(x)), home])
+        visits = _visits(angles, home, reach, self.most)
+        homes = np.bincount(home, minlength=c)
+        share = (homes * (homes / 2 + visits.sum(0))).sum() / len(x) ** 2
+        return share * n * n + COPY * n * (1 + visits.sum() / len(x)) + CELL * c
+
+    def _reach(self, rows: DataFrame) -> np.ndarray:
+        """The largest angle of each pivot's own rows."""
+        pivots = self.pivots
+
+        def furthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reach = np.zeros(len(pivots))
+            for batch in batches:
+                for _, x in by_length(batch.column("v")):
+                    angles = _angles(x / np.linalg.norm(x, axis=1, keepdims=True), pivots)
+                    np.maximum.at(reach, angles.argmin(1), angles.min(1))
+            yield pa.RecordBatch.from_pydict({"home": np.arange(len(pivots), dtype=np.int32), "reach": reach})
+
+        found = rows.select("v").mapInArrow(furthest, "home int, reach double").groupBy("home").agg(F.max("reach").alias("reach")).collect()
+        reach = np.zeros(len(pivots))
+        for r in found:  # a row for each pivot
+            reach[r.home] = r.reach
+        return reach
+
+    def _placed(self, rows: DataFrame, reach: np.ndarray) -> DataFrame:
+        pivots, most = self.pivots, self.most
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, x in by_length(batch.column("v")):
+                    angles = _angles(x / np.linalg.norm(x, axis=1, keepdims=True), pivots)
+                    home = angles.argmin(1)
+                    visits = _visits(angles, home, reach, most)
+                    ends = np.append(0, visits.sum(1).cumsum()).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(visits)[1].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(home.astype(np.int32)), lists], names=["id", "v", "home", "visits"])
+
+        kind = rows.schema["id"].dataType.simpleString()
+        return rows.mapInArrow(place, f"id {kind}, v array<double>, home int, visits array<int>")
+
+    def work(self) -> int:
+        """The pairs that the cells multiply."""
+        return self.counts.agg(F.sum(F.expr("homes * (homes - 1) / 2 + homes * visitors"))).first()[0] or 0
+
+
+def _around_pivots(vectors: DataFrame, run: Callable, schema: str, id: str, embedding: str, placed: Placed) -> DataFrame:
+    """run(left, right, u, w, same) over the pairs of blocks of each pivot's cell: its own rows with each other, and with its visitors."""
+    blocks = placed.counts.select("home", F.ceil(F.col("homes") / ROWS).cast("int").alias("hb"), F.ceil(F.col("visitors") / ROWS).cast("int").alias("vb"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    # as many rows of blocks as pivots, at most PIVOTS
+    rows = placed.rows.join(F.broadcast(blocks), "home").withColumn("b", at(F.col("hb")))
+    own = rows.withColumn("o", F.explode(upto(F.col("hb")))).select("home", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), F.lit(False).alias("out"), "b", "id", "v")
+    met = rows.where("vb > 0").withColumn("o", F.explode(upto(F.col("vb")))).select("home", F.col("b").alias("x"), F.col("o").alias("y"), F.lit(True).alias("out"), F.lit(-1).alias("b"), "id", "v")
+    guests = placed.rows.select("id", "v", F.explode("visits").alias("home")).join(F.broadcast(blocks), "home").withColumn("b", at(F.col("vb")))
+    guests = guests.withColumn("o", F.explode(upto(F.col("hb")))).select("home", F.col("o").alias("x"), F.col("b").alias("y"), F.lit(True).alias("out"), F.lit(0).alias("b"), "id", "v")
+
+    def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, x, y, out = key
+        first = pdf.b == (-1 if out else x)
+        left = pdf[first].sort_values("id").reset_index(drop=True)
+        same = not out and x == y
+        right = left if same else pdf[~first].sort_values("id").reset_index(drop=True)
+        if not len(left) or not len(right):
+            return run(None, None, None, None, same)
+        u = _unit(left.v)
+        return run(left, right, u, u if same else _unit(right.v), same)
+
+    return own.unionByName(met).unionByName(guests).groupBy("home", "x", "y", "out").applyInPandas(cell, schema)
 
 
 def all_pairs(vectors: DataFrame, id: str = "id", embedding: str = "embedding") -> DataFrame:
@@ -113,32 +235,46 @@ def leader_clusters(vectors: DataFrame, most: float = 0.35, id: str = "id", embe
     """(id, label): in the order of ids, a row without a label opens a cluster and takes all later ones in reach.
 
     The openers are the first maximal independent set of the threshold graph: a row is one if
-    no earlier neighbour is. Each round settles all rows whose earlier neighbours are settled,
-    and goes on with the edges between those that aren't; then each other row joins its
-    smallest opener.
+    no earlier neighbour is. Rounds settle all rows without an unsettled earlier neighbour and
+    those they take; after a few, the edges up to some id, ``SETTLED`` at most, are settled in the
+    order of ids in one task, which doesn't depend on later rows. So long chains end in few
+    rounds. Then each row that isn't an opener joins its smallest one.
     """
     every = vectors.select(F.col(id).alias("id"))
     edges = written(close_pairs(vectors, most, id=id, embedding=embedding).select("i", "j"))
-    # rows without an earlier neighbour open at once; the others are open questions
-    asked = edges.select(F.col("j").alias("id")).distinct()
-    opens = fresh = every.join(asked, "id", "left_anti")
-    left = edges
-    while True:
-        taken = left.join(fresh.select(F.col("id").alias("i")), "i", "left_semi").select(F.col("j").alias("id")).distinct()
-        asked = written(asked.join(taken, "id", "left_anti"))
-        if asked.isEmpty():
+    left, taken = edges, None
+    for number in range(1, 1 << 20):
+        decided = _first_of(left) if number % 4 == 0 else left.select(F.col("i").alias("id")).distinct().join(left.select(F.col("j").alias("id")).distinct(), "id", "left_anti").withColumn("opens", F.lit(True))
+        decided = written(decided) if number % 4 == 0 else decided
+        gone = left.join(decided.where("opens").select(F.col("id").alias("i")), "i", "left_semi").select(F.col("j").alias("id"))
+        gone = written(gone.unionByName(decided.where("NOT opens").select("id")).distinct())
+        taken = gone if taken is None else taken.unionByName(gone)
+        closed = gone.unionByName(decided.where("opens").select("id"))
+        left = written(left.join(closed.withColumnRenamed("id", "i"), "i", "left_anti").join(closed.withColumnRenamed("id", "j"), "j", "left_anti").select("i", "j"))
+        if left.isEmpty():
             break
-        both = left.join(asked.select(F.col("id").alias("j")), "j", "left_semi").join(asked.select(F.col("id").alias("i")), "i", "left_semi")
-        left = written(both.select("i", "j"))
-        fresh = written(asked.join(left.select(F.col("j").alias("id")).distinct(), "id", "left_anti"))
-        asked = asked.join(fresh, "id", "left_anti")
-        opens = opens.unionByName(fresh)
-    openers = numbered(opens, ["id"], "label")
+    openers = numbered(every.join(taken, "id", "left_anti"), ["id"], "label")
     joined = edges.join(openers.select(F.col("id").alias("i")), "i", "left_semi").groupBy(F.col("j").alias("id")).agg(F.min("i").alias("leader"))
     followers = joined.join(openers.select("id"), "id", "left_anti").join(openers.select(F.col("id").alias("leader"), "label"), "leader").select("id", "label")
     return openers.select("id", "label").unionByName(followers)
 
 
+def _first_of(edges: DataFrame) -> DataFrame:
+    """(id, opens) of all rows of the edges up to an id, so many that a task settles them: in the order of ids, a row opens if none of its earlier neighbours does."""
+    kind = edges.schema["j"].dataType.simpleString()
+    if edges.limit(SETTLED + 1).count() > SETTLED:
+        last = edges.select("j").orderBy("j").limit(SETTLED).agg(F.max("j")).first()[0]
+        edges = edges.where(F.col("j") < F.lit(last))  # if that leaves none, the rounds before and after settle the row
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        opens: dict = {}
+        for j, own in pdf.groupby("j", sort=True).i:
+            opens[j] = not any([opens.setdefault(i, True) for i in own])
+        return pd.DataFrame({"id": list(opens), "opens": list(opens.values())}).astype({"opens": bool})
+
+    return edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(settle, f"id {kind}, opens boolean")
+
+
 def _parts(tree: DataFrame, kind: str) -> DataFrame:
     """(node, part) of the edges (i, j) in one task, part being the smallest node; for trees that one task can hold."""
 
@@ -166,9 +302,9 @@ def spanning_tree(vectors: DataFrame, id: str = "id", embedding: str = "embeddin
     the number of parts halves at least.
     """
     kind = vectors.schema[id].dataType.simpleString()
-    rows = written(vectors.select(F.col(id).alias("id"), F.col(embedding).alias("v")))
+    rows = written(_whole(vectors, embedding).select(F.col(id).alias("id"), F.col(embedding).alias("v")))
     tree, state = None, written(rows.select("id", F.col("id").alias("part")))
-    whole = rows.count()
+    number = rows.count()
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame, u: np.ndarray, w: np.ndarray, same: bool) -> pd.DataFrame:
         out = [pd.DataFrame({"part": [], "d": [], "i": [], "j": []})]
@@ -188,13 +324,13 @@ def spanning_tree(vectors: DataFrame, id: str = "id", embedding: str = "embeddin
 
     n = 0
     for _ in range(most_rounds):
-        if n >= whole - 1:
+        if n >= number - 1:
             break
         labelled = rows.join(state, "id")
         best = _cells(labelled, multiply, f"part {kind}, d double, i {kind}, j {kind}", "id", "v", ["part"])
         edges = written(best.groupBy("part").agg(F.min(F.struct("d", "i", "j")).alias("e")).select("e.*").distinct())
         tree = edges if tree is None else written(tree.unionByName(edges).distinct())
-        parts = _parts(tree, kind) if whole <= ONE_TASK else components(tree.select(F.col("i").alias("a"), F.col("j").alias("b")))
+        parts = _parts(tree, kind) if number <= ONE_TASK else components(tree.select(F.col("i").alias("a"), F.col("j").alias("b")))
         state = written(state.select("id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("part", "id").alias("part")))
         n = tree.count()
     return tree if tree is not None else vectors.sparkSession.createDataFrame([], f"d double, i {kind}, j {kind}")
@@ -320,66 +456,6 @@ def hdbscan(vectors: DataFrame, group: str, id: str = "id", embedding: str = "em
     return rows.groupBy("g").applyInPandas(run, f"g {own}, id {kind}, label long").withColumnRenamed("g", group)
 
 
-def graph_edges(vectors: DataFrame, limit: int = 5, least_score: float = 0.1, id: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(src, dst, score): the edges of a semantic graph, each node's nearest others."""
-    return nearest_others(vectors, limit, least_score, id, embedding)
-
-
-def topics(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, topic) by label propagation: a node takes the label most frequent around it, ties by the smallest; so many rounds, or until nothing changes."""
-    both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("topic", F.col("node"))
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("node").alias("dst"), "topic"), "dst").groupBy(F.col("src").alias("node"), "topic").agg(F.count("*").alias("n"))
-        now = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "topic"))["topic"].alias("topic"))
-        before, labels = labels, written(now)
-        if labels.join(before.withColumnRenamed("topic", "old"), "node").where("topic <> old").isEmpty():
-            break
-    return labels
-
-
-def topic_ranks(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, topic, topicrank): 0-based within the topic, by degree, ties by node."""
-    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
-    ranked = labels.join(degree, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return ranked.withColumn("topicrank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "node")) - 1).drop("n")
-
-
-def largest_topics(labels: DataFrame, limit: int = 5) -> DataFrame:
-    """(place, topic, n) of the first topics by their number of nodes, ties by topic; places from 0."""
-    first = labels.groupBy("topic").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "topic").limit(limit)
-    return first.withColumn("place", (F.row_number().over(Window.orderBy(F.desc("n"), "topic")) - 1).cast("long")).select("place", "topic", "n")
-
-
-def topic_categories(vectors: DataFrame, labels: DataFrame, centres: DataFrame, category: str, id: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(topic, category): the category nearest to the mean of the topic's vectors."""
-    parts = vectors.join(labels.withColumnRenamed("node", id), id).select("topic", F.posexplode(F.col(embedding).cast("array<double>")).alias("k", "x"))
-    means = parts.groupBy("topic", "k").agg(F.avg("x").alias("x")).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("mean"))
-    return nearest_category(means, centres, category, "topic", "mean").withColumnRenamed("id", "topic")
-
-
-def graph_view(texts: DataFrame, ranks: DataFrame, categories: DataFrame, name: str = "graph", id: str = "id") -> DataFrame:
-    """id, the texts' columns, topic, topicrank and category, as a view of the session that SQL can ask."""
-    out = texts.join(ranks.withColumnRenamed("node", id), id).join(categories, "topic", "left")
-    out.createOrReplaceTempView(name)
-    return out
-
-
-def shortest_path(edges: DataFrame, source: int, target: int, most: int = 8) -> DataFrame:
-    """(hops, path) of one shortest path, that with the smallest nodes; no row if there is none within so many hops."""
-    both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    spark = edges.sparkSession
-    kind = both.schema["src"].dataType.simpleString()
-    front = seen = spark.createDataFrame([(source, [source])], f"node {kind}, path array<{kind}>")
-    for _ in range(most):
-        if front.where(F.col("node") == target).limit(1).count():
-            break
-        step = front.join(both, front.node == both.src).groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        front = written(step.join(seen.select("node"), "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path")))
-        seen = written(seen.unionByName(front))
-    return front.where(F.col("node") == target).select((F.size("path") - 1).cast("long").alias("hops"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
-
-
 def nearest_category(vectors: DataFrame, centres: DataFrame, category: str, id: str = "id", embedding: str = "embedding") -> DataFrame:
     """(id, category): the category of the nearest centre; centres are few and checked to be."""
     few = centres.select(F.col(category).alias("c"), F.col("centre").cast("array<double>").alias("v")).limit(1001).collect()

@@ -14,10 +14,12 @@ from claimweave.functions.html import feed_paragraphs_udf
 from claimweave.functions.json_text import metadata_value
 from claimweave.functions.time_ids import time_of_uuid, uuid_of_time, week_bucket
 from claimweave.functions.vectors import cosine_distance, literal
+from claimweave.operators import graphs as G
 from claimweave.operators import pairs as P
 from claimweave.operators import vector_table as V
 from claimweave.operators.graph_index import GraphIndex
 from claimweave.operators.predicates import Predicate
+from claimweave.operators.components import components
 from claimweave.operators.numbering import dense_uid, numbered
 from claimweave.operators.tables import fresh_path, shared_folder, written
 from claimweave.plans import models
@@ -433,34 +435,50 @@ e AS (SELECT src, dst, score FROM b WHERE score >= 0.1 QUALIFY row_number() OVER
 
 @query(f"WITH {_EDGES} SELECT src, dst, round(score, 6) + 0.0 AS score FROM e")
 def knn_graph_edges(spark, d):
-    return P.graph_edges(_vectors(spark, d)).select("src", "dst", (F.round("score", 6) + 0.0).alias("score"))
+    return G.graph_edges(_vectors(spark, d)).select("src", "dst", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query(f"""WITH {_EDGES}, deg AS (SELECT src AS id, count(*) AS n FROM e GROUP BY 1)
 SELECT vec_id AS node, label AS topic, CAST(row_number() OVER (PARTITION BY label ORDER BY coalesce(n, 0) DESC, vec_id) - 1 AS BIGINT) AS topicrank FROM embeddings LEFT JOIN deg ON id = vec_id""")
 def topic_rank(spark, d):
     own = _vectors(spark, d)
-    return P.topic_ranks(own.select(F.col("id").alias("node"), F.col("label").alias("topic")), P.graph_edges(own)).select("node", "topic", F.col("topicrank").cast("long").alias("topicrank"))
+    return G.topic_ranks(own.select(F.col("id").alias("node"), F.col("label").alias("topic")), G.graph_edges(own)).select("node", "topic", F.col("topicrank").cast("long").alias("topicrank"))
 
 
-_VOTES = "".join(
-    f""", v{k} AS (SELECT src AS node, arg_min(topic, {{'n': -n, 't': topic}}) AS topic
-FROM (SELECT u.src, l.topic, count(*) AS n FROM u JOIN v{k - 1} l ON l.node = u.dst GROUP BY 1, 2) GROUP BY 1)"""
-    for k in range(1, 6)
-)
-_TOPICS = f"{_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), v0 AS (SELECT DISTINCT src AS node, src AS topic FROM u){_VOTES}"
+@query()
+def graph_topics(spark, d):
+    """Communities of the similarity graph by modularity; tests compare the modularity with brute force on small graphs."""
+    return G.topics(G.graph_edges(_vectors(spark, d)))
 
 
-@query(f"WITH {_TOPICS} SELECT node, topic FROM v5")
-def graph_topics(spark, d):
-    """Communities of the similarity graph by label propagation."""
-    return P.topics(P.graph_edges(_vectors(spark, d)))
+@query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+reach AS (SELECT src AS node, src AS seen FROM u UNION SELECT reach.node, u.dst FROM reach JOIN u ON u.src = reach.seen),
+deg AS (SELECT src AS node, count(*) AS k FROM u GROUP BY 1), part AS (SELECT node, min(seen) AS part FROM reach GROUP BY 1),
+parts AS (SELECT part, sum(k) AS k FROM deg JOIN part USING (node) GROUP BY 1)
+SELECT (SELECT count(*) FROM deg) AS nodes, (SELECT count(*) // 2 FROM u) AS edges, round(1 - sum(k * k) / pow(sum(k), 2), 6) + 0.0 AS of_components, true AS each_once, true AS topics_connected, true AS not_below FROM parts""")
+def graph_topics_checked(spark, d):
+    """What must hold of the communities: each node has one topic, topics are connected, and the modularity isn't below that of the connected components."""
+    edges = written(G.graph_edges(_vectors(spark, d)))
+    labels = written(G.topics(edges))
+    links = G.undirected(edges)
+    parts = components(links).select("node", F.col("part").alias("topic"))
+    inside = links.join(labels.select(F.col("node").alias("a"), "topic"), "a").join(labels.select(F.col("node").alias("b"), F.col("topic").alias("other")), "b").where("topic = other")
+    pieces = labels.join(components(inside), "node", "left").select("topic", F.coalesce("part", "node").alias("part")).distinct()
+    nodes, edge_count = links.select("a").distinct().count(), links.count() // 2
+    of_parts = G.modularity(edges, parts)
+    row = (nodes, edge_count, round(of_parts, 6) + 0.0, labels.count() == nodes == labels.select("node").distinct().count(), pieces.count() == labels.select("topic").distinct().count(), G.modularity(edges, labels) >= of_parts - 1e-9)
+    return spark.createDataFrame([row], "nodes long, edges long, of_components double, each_once boolean, topics_connected boolean, not_below boolean")
 
 
-@query(f"""WITH {_TOPICS}, n AS (SELECT topic, count(*) AS n FROM v5 GROUP BY 1)
-SELECT CAST(row_number() OVER (ORDER BY n DESC, topic) - 1 AS BIGINT) AS place, topic, n FROM n QUALIFY place < 5""")
+@query()
 def graph_first_topics(spark, d):
-    return P.largest_topics(P.topics(P.graph_edges(_vectors(spark, d))))
+    return G.largest_topics(G.topics(G.graph_edges(_vectors(spark, d))))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n DESC, topic) - 1 AS BIGINT) AS place, topic, n FROM (SELECT label AS topic, count(*) AS n FROM embeddings GROUP BY 1) QUALIFY place < 5")
+def first_topics_by_label(spark, d):
+    """The first topics where labels are the topics."""
+    return G.largest_topics(_vectors(spark, d).select(F.col("id").alias("node"), F.col("label").alias("topic")))
 
 
 _CENTRES = """c AS (SELECT label, list(x ORDER BY k) AS centre FROM (SELECT label, k, avg(x) AS x
@@ -472,26 +490,45 @@ def _centres(own: DataFrame) -> DataFrame:
     return parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("centre"))
 
 
-@query(f"""WITH {_TOPICS}, {_CENTRES}, deg AS (SELECT src AS id, count(*) AS n FROM e GROUP BY 1),
-m AS (SELECT topic, list(x ORDER BY k) AS mean FROM (SELECT topic, k, avg(x) AS x
-  FROM (SELECT topic, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings JOIN v5 ON vec_id = node) GROUP BY 1, 2) GROUP BY 1),
-t AS (SELECT topic, arg_min(label, {{'d': round(list_cosine_distance(mean, centre), 9), 'c': label}}) AS category FROM m CROSS JOIN c GROUP BY 1)
-SELECT node AS id, topic, category FROM v5 LEFT JOIN deg ON id = node JOIN t USING (topic) QUALIFY row_number() OVER (PARTITION BY topic ORDER BY coalesce(n, 0) DESC, node) = 1""")
-def graph_sql(spark, d):
+def _graph_view(spark, own: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
     """The semantic graph as a view with topic, rank and category, asked in SQL."""
-    own = _vectors(spark, d)
-    edges = written(P.graph_edges(own))
-    labels = P.topics(edges)
-    P.graph_view(own.select("id"), P.topic_ranks(labels, edges), P.topic_categories(own, labels, _centres(own), "label"), "graph")
+    G.graph_view(own.select("id"), G.topic_ranks(labels, edges), G.topic_categories(own, labels, _centres(own), "label"), "graph")
     return spark.sql("SELECT id, topic, label AS category FROM graph WHERE topicrank = 0")
 
 
+@query()
+def graph_sql(spark, d):
+    """The first of each community and its category, in SQL."""
+    own = _vectors(spark, d)
+    edges = written(G.graph_edges(own))
+    return _graph_view(spark, own, edges, written(G.topics(edges)))
+
+
+@query(f"""WITH {_EDGES}, {_CENTRES}, deg AS (SELECT src AS id, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id AS id, label AS topic, label AS category FROM embeddings LEFT JOIN deg ON id = vec_id QUALIFY row_number() OVER (PARTITION BY label ORDER BY coalesce(n, 0) DESC, vec_id) = 1""")
+def graph_sql_by_label(spark, d):
+    """The same view where labels are the topics, so the category nearest to a topic's mean is its own."""
+    own = _vectors(spark, d)
+    return _graph_view(spark, own, G.graph_edges(own), own.select(F.col("id").alias("node"), F.col("label").alias("topic")))
+
+
+@query(f"""WITH {_EDGES}, {_CENTRES}, deg AS (SELECT src AS id, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id AS id, label AS topic FROM embeddings LEFT JOIN deg ON id = vec_id WHERE label = 3 QUALIFY row_number() OVER (PARTITION BY label ORDER BY coalesce(n, 0) DESC, vec_id) = 1""")
+def graph_sql_first(spark, d):
+    """One topic's first row, asked of the view with limit 1."""
+    own = _vectors(spark, d)
+    _graph_view(spark, own, G.graph_edges(own), own.select(F.col("id").alias("node"), F.col("label").alias("topic")))
+    return spark.sql("SELECT id, topic FROM graph WHERE topic = 3 AND topicrank = 0 LIMIT 1")
+
+
 @query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-w AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS hops UNION SELECT u.dst, w.hops + 1 FROM w JOIN u ON u.src = w.node WHERE w.hops < 8)
-SELECT CAST(min(hops) AS BIGINT) AS hops FROM w WHERE node = 100""")
+far AS (SELECT CAST(100 AS BIGINT) AS node, 0 AS hops UNION SELECT u.dst, far.hops + 1 FROM far JOIN u ON u.src = far.node WHERE far.hops < 40),
+d AS (SELECT node, min(hops) AS hops FROM far GROUP BY 1),
+walk AS (SELECT CAST(0 AS BIGINT) AS node, hops AS rest, '0' AS path FROM d WHERE node = 0
+  UNION ALL SELECT x.node, x.rest, x.path FROM (SELECT d.node, d.hops AS rest, walk.path || '>' || d.node AS path, row_number() OVER (ORDER BY d.node) AS r FROM walk JOIN u ON u.src = walk.node JOIN d ON d.node = u.dst AND d.hops = walk.rest - 1) x WHERE x.r = 1)
+SELECT CAST((SELECT hops FROM d WHERE node = 0) AS BIGINT) AS hops, path FROM walk WHERE rest = 0""")
 def shortest_path(spark, d):
-    found = P.shortest_path(P.graph_edges(_vectors(spark, d)), 0, 100)
-    return found.agg(F.min("hops").alias("hops"))
+    return G.shortest_path(G.graph_edges(_vectors(spark, d)), 0, 100)
 
 
 @query(f"""WITH {_CENTRES}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.html import article, feed_paragraphs, transcript_paragraphs
 from claimweave.functions.json_text import json_strict
 from claimweave.functions.text import claim_line, strip_fence, url_parts
+from claimweave.operators import graphs as G
 from claimweave.operators import pairs as P
 from claimweave.operators import tables
 from claimweave.operators import vector_table as V
@@ -242,7 +243,7 @@ def test_pairs_over_many_blocks(spark, monkeypatch):
     want = {(i, j) for i in range(41) for j in range(i + 1, 41) if d[i, j] <= 0.6}
     assert {(r.i, r.j) for r in P.close_pairs(df, 0.6).collect()} == want
     near = {}
-    for r in P.graph_edges(df, 3, 0.1).collect():
+    for r in G.graph_edges(df, 3, 0.1).collect():
         near.setdefault(r.src, []).append(r.dst)
     for i in range(41):
         best = sorted((j for j in range(41) if j != i and round(1 - d[i, j], 9) >= 0.1), key=lambda j: (-round(1 - d[i, j], 9), j))[:3]

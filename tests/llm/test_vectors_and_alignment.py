@@ -102,13 +102,13 @@ def test_saturated_lists_and_recall(spark, monkeypatch):
 
     monkeypatch.setattr(module, "BLOCK", 16)
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(700, 24))
+    x = rng.normal(size=(500, 24))
     x[100:160] = x[100] + 0.03 * rng.normal(size=(60, 24))
     turn = np.arange(30) * 0.2
     x[200:230] = 0
     x[200:230, 0], x[200:230, 1] = np.cos(turn), np.sin(turn)
-    x[300:700:8] = x[301:700:8] + 0.05 * rng.normal(size=(50, 24))
-    df = vectors(spark, [(int(i), v.tolist(), 1) for i, v in zip(rng.permutation(700), x, strict=True)])
+    x[300:500:8] = x[301:500:8] + 0.05 * rng.normal(size=(25, 24))
+    df = vectors(spark, [(int(i), v.tolist(), 1) for i, v in zip(rng.permutation(500), x, strict=True)])
     assert sorted((tuple(r) for r in embedding_components(df).collect()), key=repr) == linked(df.collect())
 
 
@@ -177,8 +177,8 @@ def test_alignment_over_many_stretches_and_chunks(spark, monkeypatch):
     """Long texts cross stretches, slabs and chunks; tiny bounds must not change a row."""
     import inspect
 
-    long = " ".join(f"wörd{i % 97} 東{i}" for i in range(3000))
-    rows = [(1, long), (2, long[:5000]), (3, "x"), (4, None), (5, long)]
+    long = " ".join(f"wörd{i % 97} 東{i}" for i in range(400))
+    rows = [(1, long), (2, long[:1500]), (3, "x"), (4, None), (5, long)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     files = [tokenizer_file(f) for f in FILES]
     want = alignment_of(rows)
@@ -187,7 +187,7 @@ def test_alignment_over_many_stretches_and_chunks(spark, monkeypatch):
     source = inspect.getsource(alignment)
     assert "STRETCH, LINKS, PARTS, SLAB, TEXTS = 1 << 16, 1 << 20, 1 << 16, 1 << 18, 4 << 20" in source
     small = {**vars(alignment)}
-    exec(source.replace("STRETCH, LINKS, PARTS, SLAB, TEXTS = 1 << 16, 1 << 20, 1 << 16, 1 << 18, 4 << 20", "STRETCH, LINKS, PARTS, SLAB, TEXTS = 64, 100, 3, 50, 1000").replace("from __future__ import annotations", ""), small | {"__name__": "__main__"}, small)
+    exec(source.replace("STRETCH, LINKS, PARTS, SLAB, TEXTS = 1 << 16, 1 << 20, 1 << 16, 1 << 18, 4 << 20", "STRETCH, LINKS, PARTS, SLAB, TEXTS = 64, 400, 3, 100, 1000").replace("from __future__ import annotations", ""), small | {"__name__": "__main__"}, small)
     assert aligned_rows(small["aligned"](df, *files)) == want
 
 

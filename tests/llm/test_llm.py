@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from claimweave.llm.decontamination import Index, contaminated, decontaminate
 from claimweave.llm.exchange import _murmur3
 from claimweave.llm.language_id import Model, counts, language_id, train
-from claimweave.llm.licenses import FULL, PHRASES, SHARE, TEMPLATES, hint, license_scan
+from claimweave.llm.licenses import PHRASES, RAREST, SHARE, TEMPLATES, evidence, hint, license_scan
 from claimweave.llm.lm_scoring import LENGTH, STEP, _tokenizer, drawn_windows, fit, lm_scores, refined, subwords
 from claimweave.llm.parity_join import jaccard_components
 from claimweave.llm.quality import BUCKETS, THRESHOLD, quality
@@ -163,25 +163,43 @@ def test_licenses(both):
 
 
 def test_licenses_by_all_offsets(both):
-    """Labels and score from each template laid at each offset."""
+    """Labels and score from each notice's rarest words laid at each offset."""
+    split = {i: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(r.text)) for i, r in enumerate(both.collect())}
+    often = Counter(x for w in split.values() for x in set(w))
     want = []
-    for r in both.collect():
-        w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(r.text))
-        base = {label for p, label in PHRASES.items() if f" {p} " in f" {' '.join(w)} "}
+    for i, r in enumerate(both.collect()):
+        w = split[i]
+        line = f" {' '.join(w)} "
+        base = {label for p, label in PHRASES.items() if f" {p} " in line}
         labels, best = set(base), 0.5 if base else 0.0
         for name, notice, keys in TEMPLATES:
-            parts = notice.split()
-            whole = min(FULL, len(set(parts)))
-            if any(f" {k} " in f" {' '.join(w)} " for k in keys):
-                for at in range(-len(parts), len(w)):
-                    n = len({x for k, x in enumerate(parts) if 0 <= at + k < len(w) and w[at + k] == x})
+            words = evidence(notice, keys)
+            whole = min(RAREST, len({x for x, _ in words}))
+            looked = sorted({x for x, _ in words} & set(w), key=lambda x: (often[x], x))[:RAREST]
+            if all(f" {k} " in line for k in keys):
+                for at in range(-len(notice.split()), len(w)):
+                    n = len({x for x, k in words if x in looked and 0 <= at + k < len(w) and w[at + k] == x})
                     if n >= math.ceil(SHARE * whole):
                         labels.add(name)
-                        best = max(best, min(1.0, n / whole))
+                        best = max(best, n / whole)
         want.append((r.doc_id, ",".join(sorted(labels)), best))
     assert sorted(((r.doc_id, r.labels, r.score) for r in license_scan(both).collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_key_phrases_alone_give_no_label(spark):
+    """The phrase without its notice, a notice with small edits, and a sentence that only mentions a licence."""
+    texts = [*(f"he wrote {k} reviews" for _, _, keys in TEMPLATES for k in keys), "We do not accept code under the GNU General Public License version 3.", "a history of the MIT License and its readers"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(set(r.labels.split(",")) <= {"", "mit", "apache", "gpl"} for r in license_scan(df).collect())
+    for name, notice, keys in TEMPLATES:
+        words = evidence(notice, keys)
+        if len({w for w, _ in words}) >= RAREST:
+            edited = notice.split()
+            edited[words[len(words) // 2][1]] = "xyz"
+            got = license_scan(spark.createDataFrame([(0, "note " + " ".join(edited) + " end")], "doc_id long, text string")).first()
+            assert name in got.labels.split(",") and got.score < 1.01
+
+
 def test_licenses_lower_ascii_only(spark):
     df = spark.createDataFrame([(0, "MIT LICENSE"), (1, "M\u0130T License and \u212aIT")], "doc_id long, text string")
     assert [r.base_labels for r in license_scan(df).orderBy("doc_id").collect()] == ["mit", ""]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .exchange import mapped, others
+from .exchange import any_names, mapped, others
 from .wordarrays import chunks, mix64, spans, text_buffer
 
 PASSAGE, SEGMENT, THRESHOLD, OVERLAP, INDEX_BYTES = 128, 48, 0.5, 0.5, 16 << 20
@@ -191,6 +191,7 @@ def indexes(benchmark: DataFrame, item: str, text: str, index_bytes: int) -> lis
     return out
 
 
+@any_names
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs without the text, for each item that a text holds, with item, score, question_overlap and answer_overlap.
 
@@ -221,6 +222,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     return out
 
 
+@any_names
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The rows of docs whose text holds no item, with their columns; null and empty texts stay, equal rows share their fate."""
     at = [c.lower() for c in docs.columns].index(text.lower())

@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import math
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from claimweave.operators.tables import shared_folder, written
 
-__all__ = ["PACKED", "Unpacked", "dealt", "fanout", "free", "hashable", "mapped", "others", "pack", "planes", "shared_folder", "spread", "unplanes", "written"]
+__all__ = ["PACKED", "Unpacked", "any_names", "dealt", "fanout", "free", "hashable", "mapped", "others", "pack", "planes", "shared_folder", "spread", "unplanes", "written"]
 
 PARTS = ("ids", "extra", "lens", "keys", "places", "values")
 PACKED = "slot int, " + ", ".join(f"{n} binary" for n in PARTS)
@@ -41,6 +42,40 @@ def fanout(df: DataFrame, bytes_each: int = 10 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n))
 
 
+def any_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator for columns of any name: those with a dot or a backtick, which expressions read as something else, have plain names while it runs.
+
+    The names of the first DataFrame given come back in the result; an argument that is such a
+    name means the column. Without such columns nothing changes.
+    """
+
+    @wraps(operator)
+    def run(*given, **named) -> DataFrame:
+        back: dict[str, str] = {}
+        plain: dict[str, str] = {}
+
+        def renamed(x: object) -> object:
+            if not isinstance(x, DataFrame):
+                return x
+            odd = [c for c in x.columns if "." in c or "`" in c]
+            if not odd:
+                return x
+            names = {c: free(x, f"odd_{k}")[0] for k, c in enumerate(odd)}
+            if not back and not plain:
+                back.update({n: c for c, n in names.items()})
+            plain.update(names)
+            return x.toDF(*(names.get(c, c) for c in x.columns))
+
+        first = next((x for x in given if isinstance(x, DataFrame)), None)
+        keep = first is not None and any("." in c or "`" in c for c in first.columns)
+        given = [renamed(x) for x in given]
+        named = {k: plain.get(v, v) if isinstance(v, str) else renamed(v) for k, v in named.items()}
+        out = operator(*given, **named)
+        return out.toDF(*(back.get(c, c) for c in out.columns)) if keep else out
+
+    return run
+
+
 def others(df: DataFrame, new: tuple[str, ...] | list[str]) -> list[str]:
     """The columns of df that aren't named like a new one; case makes no difference, as in Spark."""
     gone = {n.lower() for n in new}

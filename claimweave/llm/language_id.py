@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .exchange import mapped, others
+from .exchange import any_names, mapped, others
 
 DIM, SAMPLE, EPOCHS = 1 << 13, 2000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
@@ -169,6 +169,7 @@ def held_out(id: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+@any_names
 def language_id(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, sample: int = SAMPLE) -> DataFrame:
     """docs with held_out, lang_pred and score; learnt from the rows that are not held out.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from claimweave.operators.blocks import column
 
-from .exchange import free, others
+from .exchange import any_names, free, others
 from .quality import let
 
 #: Labels of the base phrases.
@@ -101,6 +101,7 @@ def evidence(notice: str, keys: Iterable[str]) -> list[tuple[str, int]]:
     return found
 
 
+@any_names
 def license_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES, rarest: int = RAREST, share: float = SHARE) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels and score of each row.
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import free, others
+from .exchange import any_names, free, others
 
 BUCKETS, THRESHOLD = 1 << 16, -0.12
 SPACE = r"[\x20\x09-\x0D]+"
@@ -86,6 +86,7 @@ def ratios(counted: DataFrame, trusted: Column, buckets: int = BUCKETS, hashes:
     return listed.select(F.transform("x", lambda b: log(b["good"], F.col("g")) - log(b["raw"], F.col("r"))).alias("w"))
 
 
+@any_names
 def quality(docs: DataFrame, text: str = "text", trusted: Column | None = None, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the base counts, base_failed, score (null without a word) and kept.
 

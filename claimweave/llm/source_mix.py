@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import free, hashable, others
+from .exchange import any_names, free, hashable, others
 
 MOST, WEIGHTS, SEED = 3, (1, 2, 3), 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +42,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return levels.withColumn("target", F.least("cap", chosen * F.col("weight"))).select("key", "source_size", "target")
 
 
+@any_names
 def source_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """docs with size, source_size, target and copies of each row.
 

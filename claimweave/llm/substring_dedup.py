@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Unpacked, dealt, fanout, free, mapped, others, pack, spread
+from .exchange import Unpacked, any_names, dealt, fanout, free, mapped, others, pack, spread
 from .wordarrays import chunks, mix64, rabin_karp, spans, windows
 
 WIDTH = 35
@@ -137,6 +137,7 @@ def kept_mask(n_words: int, gone: bytes) -> np.ndarray:
     return np.cumsum(steps[:n_words]) == 0
 
 
+@any_names
 def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """docs with n_words, n_removed, kept_text and kept_sha256 of each row.
 

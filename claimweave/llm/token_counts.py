@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .exchange import mapped, others
+from .exchange import any_names, mapped, others
 
 MARK, UNKNOWN_PENALTY, MOST_WORDS, MOST_PAIRS = "▁", 10.0, 300_000, 1_000_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -192,6 +192,7 @@ class Merges(Counter):
         return pieces[-1]
 
 
+@any_names
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """docs with n_tokens of each text; vocabulary is the path of a model file that all executors have.
 
@@ -212,5 +213,6 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, at: int, names: list[st
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names)
 
 
+@any_names
 def with_bytes(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("n_bytes", F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long"))

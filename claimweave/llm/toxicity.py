@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .exchange import mapped, others
+from .exchange import any_names, mapped, others
 from .language_id import held_out
 
 SAMPLE, MOST_TERMS, LEAST_DOCS, LEAST_WEIGHT = 4000, 2000, 4, 2.0
@@ -134,6 +134,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, id: s
     return [(r._text or "", r._toxic) for r in rows]
 
 
+@any_names
 def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 5, sample: int = SAMPLE) -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 from 0.5 on).
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.decontamination import decontaminate
-from claimweave.llm.exchange import free, hashable
+from claimweave.llm.exchange import any_names, free, hashable
 from claimweave.llm.language_id import UNKNOWN, language_id
 from claimweave.llm.parity_join import jaccard_components
 from claimweave.llm.source_mix import source_mix
@@ -29,12 +29,14 @@ def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
     return packed, [F.col(c) if c in used else F.col(f"aside.`{c}`").alias(c) for c in docs.columns]
 
 
+@any_names
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of null text or without a letter, or of no language with enough probability, go. Equal texts share their fate."""
     packed, named = aside(docs, "doc_id", "text", "lang")
     return language_id(packed).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*named)
 
 
+@any_names
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays: that with the component's smallest id, or of rows of one id one; a null id is larger than any.
 
@@ -50,6 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.select(*docs.columns)
 
 
+@any_names
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated windows of 35 words go from the texts; n_chars follows. A document of which nothing is left goes; null and empty texts stay.
 
@@ -63,11 +66,13 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return cut.select(*(new[c].alias(c) if c in new else own for c, own in zip(docs.columns, named, strict=True)))
 
 
+@any_names
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; null and empty texts stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@any_names
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies to take of each document, so that the sources have their target shares; documents of no copy go. A null source is a source."""
     return source_mix(docs).where("copies > 0")

@@ -560,6 +560,31 @@ def test_columns_that_clash(docs, name):
         assert all(r[c] != -7 for r in rows for c in plain if r[c] is not None)
 
 
+ODD_NAMES = ["a.b", "a`b", "a b", "text.x", "`", "."]
+
+
+@pytest.mark.parametrize("name", EACH)
+def test_columns_of_odd_names(docs, name):
+    """Dots, backticks and spaces in names of further columns change nothing."""
+    wide = docs.drop("score").select("*", *(F.lit(k).alias(c) for k, c in enumerate(ODD_NAMES)))
+    out = EACH[name](wide)
+    rows = out.collect()
+    assert len(rows) == docs.count()
+    if name in PASSING:
+        assert set(wide.columns) <= set(out.columns)
+        at = [out.columns.index(c) for c in ODD_NAMES]
+        assert all([r[i] for i in at] == list(range(len(ODD_NAMES))) for r in rows)
+
+
+def test_stages_with_columns_of_odd_names(spark, docs):
+    from corpus_pipeline import STAGES
+
+    wide = docs.drop("score").select("*", *(F.lit(k).alias(c) for k, c in enumerate(ODD_NAMES)))
+    for name, stage in STAGES:
+        assert set(wide.columns) <= set(stage(spark, wide, SF).columns), name
+        assert stage(spark, wide, SF).count() >= 1 or name == "language_id"
+
+
 @pytest.mark.parametrize("name", EACH)
 def test_a_very_long_text(spark, docs, name):
     """Five megabytes in one text, the end of which counts."""

@@ -65,7 +65,7 @@ def url_parts(url: Column) -> dict[str, Column]:
     parts = {part.lower(): F.parse_url(url, F.lit(part)) for part in ("PROTOCOL", "HOST", "PATH", "QUERY")}
     user, authority = F.parse_url(url, F.lit("USERINFO")), F.parse_url(url, F.lit("AUTHORITY"))
     port = F.regexp_extract(authority, r":(\d+)$", 1)
-    password = F.when(F.instr(user, ":") > 0, F.substring_index(user, ":", -1))
+    password = F.when(F.instr(user, ":") > 0, F.substr(user, F.instr(user, ":") + 1))
     return parts | {"port": F.when(port != "", port.cast("int")), "user": F.substring_index(user, ":", 1), "password": password}
 
 

@@ -17,8 +17,9 @@ from claimweave.operators import resolve as R
 from claimweave.operators import vector_table as V
 from claimweave.operators.tables import fresh_path
 from claimweave.plans import models
-from claimweave.sources import readers, writers
+from claimweave.sources import feeds, readers, writers
 from claimweave.streaming import ingest
+from claimweave.streaming.run_log import RunLog, measures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -343,6 +344,41 @@ def feed_items(spark, d):
     return readers.articles_of_items(unescaped).select(F.col("link").cast("long").alias("page_id"), "title", "text")
 
 
+def _feeds(spark: SparkSession, d: str) -> list[str]:
+    """Saved feeds of the pages, fifty a feed: a page's html is an item's content."""
+    pages = _table(spark, d, "pages").select("page_id", F.concat(F.lit("Page & "), "page_id").alias("title"), F.col("url").alias("link"), F.lit(None).cast("string").alias("summary"), F.col("html").alias("content"))
+    return feeds.saved_feeds(pages, fresh_path(spark), F.floor(F.col("page_id") / 50))
+
+
+@query("SELECT 'Page & ' || page_id AS title, url AS link, CAST(NULL AS VARCHAR) AS summary, md5(html) AS content FROM pages")
+def feed_batch(spark, d):
+    """All items of live feeds, by the feed data source, a task for each feed."""
+    return feeds.feed_items(spark, _feeds(spark, d)).select("title", "link", "summary", F.md5("content").alias("content"))
+
+
+@query("SELECT DISTINCT ON (url) url AS link, 'ok' AS status FROM pages ORDER BY url")
+def feed_stream(spark, d):
+    """Live feeds as a stream into the ingest, in micro-batches of at most 40 items, stopped once and started again: each link is extracted."""
+    urls, folder = _feeds(spark, d), fresh_path(spark)
+    up = lambda: [("up", lambda p: "{}")]
+    for _ in range(2):
+        items = readers.articles_of_items(feeds.feed_items(spark, urls, stream=True, most="40"))
+        query_ = ingest.start_ingest(spark, None, f"{folder}/out", f"{folder}/c", make=up, once_a_link=True, available_now=False, poll="0 seconds", articles=items)
+        ingest.drain(query_)
+    return ingest.results(spark, f"{folder}/out").select("link", "status")
+
+
+@query("SELECT count(*) AS articles, count(url) AS links, (SELECT count(*) FROM pages) AS results FROM pages")
+def ingest_log(spark, d):
+    """The run log of an ingest: what its micro-batches counted, beside the rows that they wrote."""
+    folder = fresh_path(spark)
+    _table(spark, d, "pages").select(_text(F.col("page_id")).alias("title"), F.col("url").alias("link"), F.lit("s").alias("summary"), F.col("html").alias("text")).write.json(f"{folder}/in")
+    log = RunLog(spark, f"{folder}/log")
+    ingest.start_ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/c", make=lambda: [("up", lambda p: "{}")]).awaitTermination()
+    sums = measures(log.close(), "articles", "links").agg(F.sum("articles").alias("articles"), F.sum("links").alias("links"))
+    return sums.crossJoin(ingest.results(spark, f"{folder}/out").agg(F.count("*").alias("results")))  # a row each
+
+
 def _ingested(spark: SparkSession, d: str) -> str:
     """Three starts over the pages' links, of which some are failed at first: down for odd pages, up, and once more from a new checkpoint. Returns the folder."""
     folder = fresh_path(spark)

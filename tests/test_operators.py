@@ -133,6 +133,10 @@ def test_text_columns(spark):
     assert [r[0] for r in strict] == [None, "bad_json", "bad_shape", "bad_json"]
 
 
+def test_passwords_with_colons(spark):
+    assert spark.createDataFrame([("ftp://me:pa:ss@h/x",)], "u string").select(url_parts(F.col("u"))["password"]).first()[0] == "pa:ss"
+
+
 def test_url_parts(spark):
     df = spark.createDataFrame([("postgresql://me:se%3Acret@db.example:5433/news?x=1",), ("https://example.org/a",)], "u string")
     parts = url_parts(F.col("u"))

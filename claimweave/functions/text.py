@@ -80,6 +80,6 @@ def metadata_json(created: Column, **fields: Column) -> Column:
     return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()), iso_time(created).alias("created_at")))
 
 
-def stamped_name(now: Column, unique: Column) -> Column:
-    """File name of an extracted article: minute and a hex id."""
-    return F.concat(F.date_format(now, "yyyyMMdd_HHmm"), F.lit("__"), F.replace(unique, F.lit("-"), F.lit("")), F.lit(".json"))
+def stamped_name(now: Column, unique: Column, precise: bool = False) -> Column:
+    """File name of an extracted article: minute, or microsecond if precise, and a hex id."""
+    return F.concat(F.date_format(now, "yyyyMMdd_HHmmss_SSSSSS" if precise else "yyyyMMdd_HHmm"), F.lit("__"), F.replace(unique, F.lit("-"), F.lit("")), F.lit(".json"))

@@ -356,6 +356,29 @@ def feed_batch(spark, d):
     return feeds.feed_items(spark, _feeds(spark, d)).select("title", "link", "summary", F.md5("content").alias("content"))
 
 
+@query("""SELECT url AS link, md5('{"title":"Page & ' || page_id || '","link":' || to_json(url) || ',"summary":null,"n":' || length(html) || '}') AS item FROM pages""")
+def feed_dump(spark, d):
+    """All that live feeds say of each item, what is missing as null."""
+    items = feeds.feed_items(spark, _feeds(spark, d)).withColumn("n", F.length("content"))
+    return readers.feed_dump(items.select("title", "link", "summary", "n")).select("link", F.md5("item").alias("item"))
+
+
+@query("SELECT 'Page & ' || page_id AS title, url AS link FROM pages")
+def feed_link_list(spark, d):
+    """Titles and links of live feeds."""
+    return readers.feed_links(feeds.feed_items(spark, _feeds(spark, d)))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, 'vector of ' || label AS contents, round(list_sum(embedding::DOUBLE[]), 6) + 0.0 AS total FROM embeddings")
+def contents_scan(spark, d):
+    """Contents and vectors of a stored table, in the order of ids."""
+    path = fresh_path(spark)
+    rows = _table(spark, d, "embeddings").select(_text(F.col("vec_id")).alias("id"), F.to_json(F.struct("label")).alias("metadata"), F.concat(F.lit("vector of "), "label").alias("contents"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows.write.parquet(path)
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    return readers.contents_and_embeddings(readers.read_vectors(spark, path)).select("id", "contents", (F.round(total, 6) + 0.0).alias("total"))
+
+
 @query("SELECT DISTINCT ON (url) url AS link, 'ok' AS status FROM pages ORDER BY url")
 def feed_stream(spark, d):
     """Live feeds as a stream into the ingest, in micro-batches of at most 40 items, stopped once and started again: each link is extracted."""

@@ -51,6 +51,11 @@ def feed_links(items: DataFrame) -> DataFrame:
     return items.select("title", "link")
 
 
+def feed_dump(items: DataFrame) -> DataFrame:
+    """link, and all that a feed says of the item, as JSON with what is missing as null."""
+    return items.select("link", F.to_json(F.struct(*items.columns), {"ignoreNullFields": "false"}).alias("item"))
+
+
 def fetch_pages(links: DataFrame, make: Callable[[], Callable[[str], str]], link: str = "link") -> DataFrame:
     """links with html and fetch_error, by a fetcher that is made once for each task; whatever it raises becomes the row's error."""
     names = links.columns
@@ -125,8 +130,13 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, s
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """The vector table, with the columns that it is stored with."""
-    return spark.read.parquet(path)
+    """The vector table with the columns and types of ``VECTORS``, and what else it is stored with. A table without one of these is an error."""
+    rows = spark.read.parquet(path)
+    own = dict(part.split(" ", 1) for part in VECTORS.split(", "))
+    lacking = own.keys() - set(rows.columns)
+    if lacking:
+        raise ValueError(f"not a vector table, it lacks {', '.join(sorted(lacking))}")
+    return rows.select(*(F.col(n).cast(kind).alias(n) for n, kind in own.items()), *(c for c in rows.columns if c not in own))
 
 
 def contents_and_embeddings(vectors: DataFrame, id: str = "id") -> DataFrame:

@@ -295,14 +295,16 @@ def _parts(tree: DataFrame, kind: str) -> DataFrame:
     return tree.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(join, f"node {kind}, part {kind}")
 
 
-def spanning_tree(vectors: DataFrame, id: str = "id", embedding: str = "embedding", most_rounds: int = 40) -> DataFrame:
+def spanning_tree(vectors: DataFrame, id: str = "id", embedding: str = "embedding", most_rounds: int = 40, core: DataFrame | None = None) -> DataFrame:
     """(d, i, j): a least spanning tree of the complete graph of distances, ties by the ids, by rounds of nearest edges between parts.
 
-    Each round goes through all cells, a cell sending the nearest edge of each part it sees;
+    core: (id, core) by which no distance of a row is less. Each round goes through all cells, a cell sending the nearest edge of each part it sees;
     the number of parts halves at least.
     """
     kind = vectors.schema[id].dataType.simpleString()
-    rows = written(_whole(vectors, embedding).select(F.col(id).alias("id"), F.col(embedding).alias("v")))
+    rows = _whole(vectors, embedding).select(F.col(id).alias("id"), F.col(embedding).alias("v"))
+    floor = ["core"] if core is not None else []
+    rows = written(rows.join(core.withColumnRenamed(id, "id"), "id", "left").withColumn("core", F.coalesce("core", F.lit(0.0))) if floor else rows)
     tree, state = None, written(rows.select("id", F.col("id").alias("part")))
     number = rows.count()
 
@@ -313,6 +315,8 @@ def spanning_tree(vectors: DataFrame, id: str = "id", embedding: str = "embeddin
                 p, q, own, other = a.id.to_numpy(), b.id.to_numpy(), a.part.to_numpy(), b.part.to_numpy()
                 for low, d in _tiles(x, y):
                     d = np.round(d, 12)
+                    if floor:
+                        d = np.maximum(d, np.maximum(a.core.to_numpy()[low : low + len(d), None], b.core.to_numpy()[None, :]))
                     d[own[low : low + len(d), None] == other[None, :]] = np.inf
                     near = d.min(1)
                     at, j = np.nonzero((d == near[:, None]) & np.isfinite(near)[:, None])
@@ -327,7 +331,7 @@ def spanning_tree(vectors: DataFrame, id: str = "id", embedding: str = "embeddin
         if n >= number - 1:
             break
         labelled = rows.join(state, "id")
-        best = _cells(labelled, multiply, f"part {kind}, d double, i {kind}, j {kind}", "id", "v", ["part"])
+        best = _cells(labelled, multiply, f"part {kind}, d double, i {kind}, j {kind}", "id", "v", ["part", *floor])
         edges = written(best.groupBy("part").agg(F.min(F.struct("d", "i", "j")).alias("e")).select("e.*").distinct())
         tree = edges if tree is None else written(tree.unionByName(edges).distinct())
         parts = _parts(tree, kind) if number <= ONE_TASK else components(tree.select(F.col("i").alias("a"), F.col("j").alias("b")))
@@ -336,27 +340,6 @@ def spanning_tree(vectors: DataFrame, id: str = "id", embedding: str = "embeddin
     return tree if tree is not None else vectors.sparkSession.createDataFrame([], f"d double, i {kind}, j {kind}")
 
 
-def hdbscan_all(vectors: DataFrame, id: str = "id", embedding: str = "embedding", min_cluster_size: int = 2) -> DataFrame:
-    """(id, label) by HDBSCAN over the whole table with min_samples 1, where the reachability of two rows is their distance; noise is -1.
-
-    Distances stay in the cells. The tree of n - 1 edges, three numbers each, goes to one task,
-    as the cut of the tree depends on all of it; that bounds the rows to what a task can hold.
-    """
-    kind = vectors.schema[id].dataType.simpleString()
-    tree = spanning_tree(vectors, id, embedding)
-    every = vectors.select(F.lit(0).alias("g"), F.lit(None).cast("double").alias("d"), F.col(id).alias("i"), F.col(id).alias("j"))
-    both = every.unionByName(tree.select(F.lit(0).alias("g"), "d", "i", "j"))
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf.i[pdf.d.isna()].to_numpy())
-        edges = pdf[~pdf.d.isna()]
-        at = {v: k for k, v in enumerate(ids.tolist())}
-        links = [(d, at[i], at[j]) for d, i, j in zip(edges.d, edges.i, edges.j, strict=True)]
-        return pd.DataFrame({"id": ids, "label": labels_of_tree(len(ids), links, min_cluster_size)})
-
-    return both.groupBy("g").applyInPandas(cut, f"id {kind}, label long")
-
-
 def hdbscan_labels(distances: np.ndarray, min_cluster_size: int = 2) -> np.ndarray:
     """Labels by HDBSCAN over a distance matrix with min_samples 1: noise is -1, clusters by excess of mass."""
     n = len(distances)

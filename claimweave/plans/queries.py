@@ -14,6 +14,7 @@ from claimweave.functions.html import feed_paragraphs_udf
 from claimweave.functions.json_text import metadata_value
 from claimweave.functions.time_ids import time_of_uuid, uuid_of_time, week_bucket
 from claimweave.functions.vectors import cosine_distance, literal
+from claimweave.operators import density as D
 from claimweave.operators import graphs as G
 from claimweave.operators import pairs as P
 from claimweave.operators import vector_table as V
@@ -541,16 +542,43 @@ def category_assign(spark, d):
 @query()
 def hdbscan_labels(spark, d):
     """HDBSCAN over the whole table; a test compares it with the algorithm on the full matrix of distances."""
-    return P.hdbscan_all(_vectors(spark, d))
+    return D.hdbscan_all(_vectors(spark, d))
+
+
+@query()
+def hdbscan_three_samples(spark, d):
+    """HDBSCAN by the reachability of three nearest others, clusters of five rows at least."""
+    return D.hdbscan_all(_vectors(spark, d), min_cluster_size=5, min_samples=3)
+
+
+_CORES = f"""p AS ({_pairs(2.1)}), ends AS (SELECT i AS x, d FROM p UNION ALL SELECT j, d FROM p),
+cores AS (SELECT x, round(d, 9) AS core FROM ends QUALIFY row_number() OVER (PARTITION BY x ORDER BY round(d, 9)) = 3)"""
+
+
+@query(f"WITH {_CORES} SELECT x AS id, round(core, 6) + 0.0 AS core FROM cores")
+def hdbscan_core_distances(spark, d):
+    """The distance of each row to its third nearest other."""
+    return D.core_distances(_vectors(spark, d), 3).select("id", (F.round("core", 6) + 0.0).alias("core"))
+
+
+@query(f"""WITH {_CORES}, reach AS (SELECT i, j, greatest(round(d, 12), a.core, b.core) AS d FROM p JOIN cores a ON a.x = i JOIN cores b ON b.x = j),
+near AS (SELECT x, min({{'d': d, 'i': i, 'j': j}}) AS e FROM (SELECT i AS x, * FROM reach UNION ALL SELECT j AS x, * FROM reach) GROUP BY x)
+SELECT e.i AS i, e.j AS j, round(e.d, 6) + 0.0 AS distance FROM near GROUP BY ALL""")
+def reachability_tree_first_round(spark, d):
+    """The edges of the tree by mutual reachability that are the nearest of one of their ends."""
+    return _nearest_of_an_end(D.reachability_tree(_vectors(spark, d), 3))
+
+
+def _nearest_of_an_end(tree: DataFrame) -> DataFrame:
+    ends = tree.select(F.col("i").alias("x"), "d", "i", "j").unionByName(tree.select(F.col("j").alias("x"), "d", "i", "j"))
+    return ends.groupBy("x").agg(F.min(F.struct("d", "i", "j")).alias("e")).select("e.i", "e.j", (F.round("e.d", 6) + 0.0).alias("distance")).distinct()
 
 
 @query(f"""WITH RECURSIVE p AS ({_pairs(2.1)}), near AS (SELECT x, min({{'d': round(d, 12), 'i': i, 'j': j}}) AS e FROM (SELECT i AS x, * FROM p UNION ALL SELECT j AS x, * FROM p) GROUP BY x)
 SELECT e.i AS i, e.j AS j, round(e.d, 6) + 0.0 AS distance FROM near GROUP BY ALL""")
 def spanning_tree_first_round(spark, d):
     """The tree's edges that are the nearest of one of their ends."""
-    tree = P.spanning_tree(_vectors(spark, d))
-    ends = tree.select(F.col("i").alias("x"), "d", "i", "j").unionByName(tree.select(F.col("j").alias("x"), "d", "i", "j"))
-    return ends.groupBy("x").agg(F.min(F.struct("d", "i", "j")).alias("e")).select("e.i", "e.j", (F.round("e.d", 6) + 0.0).alias("distance")).distinct()
+    return _nearest_of_an_end(P.spanning_tree(_vectors(spark, d)))
 
 
 @query()

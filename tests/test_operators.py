@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.html import article, feed_paragraphs, transcript_paragraphs
 from claimweave.functions.json_text import json_strict
 from claimweave.functions.text import claim_line, strip_fence, url_parts
+from claimweave.operators import density as D
 from claimweave.operators import graphs as G
 from claimweave.operators import pairs as P
 from claimweave.operators import tables
@@ -224,9 +225,9 @@ def test_hdbscan_of_a_table(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = P.hdbscan_labels(np.clip(1 - u @ u.T, 0, 2))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
-    got = [r.label for r in P.hdbscan_all(df).orderBy("id").collect()]
+    got = [r.label for r in D.hdbscan_all(df).orderBy("id").collect()]
     assert len(got) == len(x) and len(set(zip(got, want.tolist(), strict=True))) == len(set(got)) == len(set(want.tolist())), "the same clusters"
-    assert P.hdbscan_all(df.limit(1)).collect()[0].label == -1
+    assert D.hdbscan_all(df.limit(1)).collect()[0].label == -1
 
 
 def test_spanning_trees_agree(spark, monkeypatch):

@@ -22,6 +22,7 @@ from claimweave.operators.graph_index import GraphIndex
 from claimweave.operators.predicates import Predicate
 from claimweave.operators.components import components
 from claimweave.operators.numbering import dense_uid, numbered
+from claimweave.operators.stored_table import StoredTable
 from claimweave.operators.tables import fresh_path, shared_folder, written
 from claimweave.plans import models
 from claimweave.sources.readers import articles_of_pages, read_seen, transcripts_of_pages
@@ -255,6 +256,19 @@ def upsert_ignore(spark, d):
     return V.upsert(vectors(spark, d), _changed(spark, d), on_conflict="ignore").select("id", "label")
 
 
+@query(f"SELECT vec_id AS id, label FROM embeddings WHERE vec_id NOT IN {_NEW} UNION ALL SELECT id, -1 AS label FROM {_NEW}")
+def stored_upsert(spark, d):
+    """The stored table changed in place."""
+    return StoredTable.create(vectors(spark, d)).upsert(_changed(spark, d)).rows.select("id", "label")
+
+
+@query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 <> 1 AND (label IS NULL OR label <> 3)")
+def stored_delete(spark, d):
+    """Rows of the stored table deleted by ids, then by metadata."""
+    kept = StoredTable.create(vectors(spark, d))
+    return kept.delete(vectors(spark, d).where("id % 3 = 1").select("id")).delete(metadata_filter={"label": 3}).rows.select("id", "label")
+
+
 _TENTHS = """SELECT q, id, distance + 0.0 AS distance FROM (SELECT a.vec_id AS q, b.vec_id AS id, round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), b.vec_id) AS r
   FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0) WHERE r <= 10"""

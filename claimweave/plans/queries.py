@@ -460,6 +460,27 @@ def topic_rank(spark, d):
     return G.topic_ranks(own.select(F.col("id").alias("node"), F.col("label").alias("topic")), G.graph_edges(own)).select("node", "topic", F.col("topicrank").cast("long").alias("topicrank"))
 
 
+_WALK = f"""{_EDGES}, ends AS (SELECT src AS node FROM e UNION SELECT dst FROM e), away AS (SELECT src, 1.0::DOUBLE / count(*) AS w FROM e GROUP BY 1),
+sent AS (SELECT e.src, e.dst, w FROM e JOIN away USING (src) UNION ALL SELECT node, node, 0.0 FROM ends),
+walk AS (SELECT 0 AS step, node, 1.0::DOUBLE AS x FROM ends UNION ALL SELECT step + 1, sent.dst, 0.15 + 0.85 * sum(x * w) FROM walk JOIN sent ON src = node WHERE step < 160 GROUP BY step, sent.dst),
+central AS (SELECT node, x / sum(x) OVER () AS c FROM walk WHERE step = 160)"""
+
+
+@query(f"WITH RECURSIVE {_WALK} SELECT node, round(c, 7) + 0.0 AS centrality FROM central")
+def graph_centrality(spark, d):
+    """Each node's share of a random walk over the semantic graph."""
+    return G.centrality(G.graph_edges(_vectors(spark, d))).select("node", (F.round("centrality", 7) + 0.0).alias("centrality"))
+
+
+@query(f"""WITH RECURSIVE {_WALK} SELECT vec_id AS node, label AS topic, CAST(row_number() OVER (PARTITION BY label ORDER BY coalesce(round(c, 9), 0) DESC, vec_id) - 1 AS BIGINT) AS topicrank
+FROM embeddings LEFT JOIN central ON node = vec_id""")
+def topic_rank_by_centrality(spark, d):
+    own = _vectors(spark, d)
+    edges = written(G.graph_edges(own))
+    weights = G.centrality(edges, most_change=1e-12).withColumn("centrality", F.round("centrality", 9))
+    return G.topic_ranks(own.select(F.col("id").alias("node"), F.col("label").alias("topic")), edges, weights).select("node", "topic", F.col("topicrank").cast("long").alias("topicrank"))
+
+
 @query()
 def graph_topics(spark, d):
     """Communities of the similarity graph by modularity; tests compare the modularity with brute force on small graphs."""

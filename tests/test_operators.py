@@ -126,6 +126,26 @@ def test_html():
     assert article(deep) == (True, "t", "deep", None)
 
 
+def test_references_cut_off():
+    page = "<h1>a&amp;&amp</h1><div class='article-body'><p>b &#38; &lt &quo &amp</p></div>"
+    assert article(page) == (True, "a&&", "b & < &quo &", None)
+    assert article(page, terminated=True) == (True, "a&&amp", "b & &lt &quo &amp", None)
+
+
+def test_article_query_with_titles_cut_off(spark, tmp_path):
+    """The query equals its SQL on pages whose title ends within a reference."""
+    import duckdb
+
+    from claimweave.plans.queries import ORACLES, QUERIES
+
+    rows = [(i, f"u{i}", f"<h1>a&amp;{end}</h1><article><p>b{end}</p></article>") for i, end in enumerate(("&amp;", "&amp", "&am", "&", "&lt", "&quot", "&gt;"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["html_article_text"](spark, str(tmp_path)).select("link", "title", "text").collect())
+    assert got == sorted(con.execute(f"SELECT link, title, text FROM ({ORACLES['html_article_text']})").fetchall())
+
+
 def test_text_columns(spark):
     df = spark.createDataFrame([('```json\n{"a":1}```', 'x\nClaim: "yes" \n'), (" ```json{}", "plain ")], "a string, b string")
     got = df.select(strip_fence(F.col("a")), claim_line(F.col("b"))).collect()

@@ -20,6 +20,7 @@ from claimweave.functions.vectors import cosine_distance
 from claimweave.operators.blocks import column
 from claimweave.operators.cuts import finite, halves, matrix, neighbours_in_runs, partitions
 from claimweave.operators.tables import fresh_path, written
+from claimweave.operators.vector_table import search_many
 
 #: A component of a unit vector lies in steps of the sample's spread; beyond so many spreads it counts as the last step.
 BITS, SPREADS = 4, 3.0
@@ -152,14 +153,35 @@ class GraphIndex:
 
         return state.mapInArrow(step, schema)
 
-    def search(self, queries: DataFrame, limit: int = 5, beam: int = 48, read: int = 40) -> DataFrame:
-        """(q, id, distance): the nearest rows of each query (q, v), ascending by distance, ties by id; ``read`` whole vectors of each walk are ranked."""
+    def search(self, queries: DataFrame, limit: int = 5, beam: int = 48, read: int = 40, exact: bool = False) -> DataFrame:
+        """(q, id, distance): the nearest rows of each query (q, v), ascending by distance to nine places, ties by id; ``read`` whole vectors of each walk are ranked.
+
+        exact: a check follows, in which all rows pass the queries in blocks and those are added
+        that a walk has missed within the distance of its last hit.
+        """
         best = self.walks(queries, max(beam, read)).select("q", "v", F.explode(F.slice("pool", 1, read)).alias("p")).select("q", "v", F.col("p.node").alias(self.id))
         best = best.join(self.gone.select(F.col("node").alias(self.id)), self.id, "left_anti")
         rows = self.vectors.select(column(self.id).alias(self.id), column(self.embedding).alias("own")).where(F.col("own").isNotNull() & (F.size("own") == self.size))
-        exact = best.join(rows, self.id).withColumn("distance", F.round(cosine_distance(F.col("own"), F.col("v")), 9)).groupBy("q", self.id).agg(F.min("distance").alias("distance"))
-        rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", self.id))
-        return exact.withColumn("rank", rank).where(F.col("rank") <= limit).select("q", self.id, "distance")
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("distance", 9), self.id))
+
+        def ranked(best: DataFrame) -> DataFrame:
+            far = best.join(rows, self.id).withColumn("distance", cosine_distance(F.col("own"), F.col("v"))).groupBy("q", self.id).agg(F.min("distance").alias("distance"))
+            return far.withColumn("rank", rank).where(F.col("rank") <= limit).select("q", self.id, "distance")
+
+        if not exact:
+            return ranked(best)
+        hits = written(ranked(best))
+        both = hits.select("q", self.id).unionByName(self._missed(queries, hits, limit))
+        return ranked(both.join(queries.select("q", "v"), "q"))
+
+    def _missed(self, queries: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
+        """(q, id) of each query's nearest rows that its hits don't have."""
+        last = hits.groupBy("q").agg(F.when(F.count("*") >= limit, F.max("distance") + 1e-9).alias("bound"))  # rounding may set equal distances apart
+        asked = queries.join(last, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(2.0)))
+        left = self.vectors.where(finite(column(self.embedding)) & (F.size(column(self.embedding)) == self.size))
+        left = left.join(self.gone.select(F.col("node").alias(self.id)).distinct(), self.id, "left_anti")
+        near = search_many(left, asked, limit, self.id, self.embedding, within="bound")
+        return near.select("q", self.id).distinct().join(hits.select("q", self.id), ["q", self.id], "left_anti")
 
     def insert(self, rows: DataFrame, beam: int = 48) -> GraphIndex:
         """The index with further rows, whose ids must be new to it."""

@@ -7,8 +7,10 @@ from the table and resolves them by its own joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,13 +198,39 @@ def json_directory_scan(spark, d):
 
 
 def write_files(rows: DataFrame) -> str:
-    """(path, raw) as single files in a fresh shared folder, by the file system of Spark's own."""
+    """(path, raw) as single files in a fresh shared folder, each written by the task that has the row."""
+    folder = fresh_path(rows.sparkSession)
+    root = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    if root.startswith("file:"):
+        root = "file://" + root.removeprefix("file:").removeprefix("//")
+    try:
+        FileSystem.from_uri(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, ImportError, OSError):  # a folder that only Spark's file system can open
+        return _write_by_driver(rows, folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = FileSystem.from_uri(root)
+        made: set[str] = set()
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parent = f"{top}/{path}".rpartition("/")[0]
+                if parent not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with fs.open_output_stream(f"{top}/{path}") as out:
+                    out.write(raw.encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
+
+    rows.select("path", "raw").mapInArrow(write, "n long").agg(F.sum("n")).first()
+    return folder
+
+
+def _write_by_driver(rows: DataFrame, folder: str) -> str:
     spark = rows.sparkSession
-    folder = fresh_path(spark)
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in rows.toLocalIterator():  # a small fixture of files, not a writer of tables
+    for r in rows.toLocalIterator():
         out = fs.create(jvm.org.apache.hadoop.fs.Path(root, r.path))
         out.write(bytearray(r.raw.encode()))
         out.close()

@@ -18,10 +18,16 @@ ARTICLE = "title STRING, link STRING, summary STRING, text STRING"
 VECTORS = "id STRING, metadata STRING, contents STRING, embedding ARRAY<FLOAT>"
 
 
+def _gathered(files: DataFrame) -> DataFrame:
+    """Small files read many to a task: Spark's own packing counts each as some megabytes, which may leave a task to each file."""
+    n = files.rdd.getNumPartitions()
+    return files.coalesce(max(4 * files.sparkSession.sparkContext.defaultParallelism, n // 64))
+
+
 def read_documents(spark: SparkSession, folder: str, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, unreadable): JSON files of the folder, whatever the case of .json. A document is known by its file's whole path."""
     files = spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN]").option("recursiveFileLookup", recursive).text(folder, wholetext=True)
-    return parse_documents(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
+    return parse_documents(_gathered(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))))
 
 
 def read_articles(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,4 +153,4 @@ def contents_and_embeddings(vectors: DataFrame, id: str = "id") -> DataFrame:
 def read_claim_texts(spark: SparkSession, path: str) -> DataFrame:
     """(idx, text, categories) of a claims file: its texts by position, with all of its categories."""
     rows = spark.read.schema("claim_texts ARRAY<STRING>, claim_categories ARRAY<STRING>").option("multiLine", True).json(path)
-    return rows.select(F.posexplode("claim_texts").alias("idx", "text"), F.col("claim_categories").alias("categories"))
+    return _gathered(rows).select(F.posexplode("claim_texts").alias("idx", "text"), F.col("claim_categories").alias("categories"))

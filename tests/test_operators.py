@@ -82,6 +82,23 @@ def test_same_file_names_are_different_documents(spark, tmp_path):
     assert claims["Beta says so"].counter_arguments == ["1", "k2"]
 
 
+def test_files_are_written_by_tasks(spark, monkeypatch):
+    """No row of them comes to the driver."""
+    from pyspark.sql import DataFrame
+
+    from claimweave.plans.claim_queries import write_files
+
+    def none(self, *a, **b):
+        raise AssertionError("rows on the driver")
+
+    rows = spark.createDataFrame([("a/x.json", "{}"), ("a/b/y z.JSON", "ü\n"), ("w.json", "")], "path string, raw string").repartition(3)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", none)
+    monkeypatch.setattr(type(rows), "toLocalIterator", none)
+    folder = write_files(rows)
+    found = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("p"), "value")
+    assert sorted((r.p.rpartition(folder.rpartition("/")[2] + "/")[2], r.value) for r in found.collect()) == [("a/b/y%20z.JSON", "ü\n"), ("a/x.json", "{}")] + ([("w.json", "")] if found.count() == 3 else [])
+
+
 def test_titles_missing_and_null(spark, tmp_path):
     doc = json.loads(json.dumps(DOC))
     doc["entities"] = [{"id": "n1", "name": "Alpha", "title": None}, {"id": "n2", "name": "Alpha"}, {"id": "n3", "name": "Alpha", "title": "dr"}]

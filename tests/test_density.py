@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from claimweave.operators import density as D
+from claimweave.operators import pairs as P
 
 
 def table(spark, x):
@@ -113,3 +114,28 @@ def test_a_task_holds_a_run_only(spark, monkeypatch):
         for name, size in ((r.a, r.sa), (r.b, r.sb)):
             assert sizes.get((r.run, name), size) == size
             sizes[r.run, name] = size
+
+
+@pytest.mark.parametrize(("near", "samples"), [(1, 1), (3, 1), (3, 2), (16, 3), (100, 1)])
+def test_trees_by_lists_of_any_length(spark, near, samples, monkeypatch):
+    """Groups larger than the lists, copies and zero vectors among them: the tree is that of all pairs in the order of distance and ids."""
+    monkeypatch.setattr(P, "NEAR", near)
+    x = np.concatenate([clouds(6), np.repeat(clouds(6)[:1], 6, 0), np.zeros((2, 4))])
+    d = reachability(x, samples)
+    part, want = list(range(len(x))), []
+    for w, i, j in sorted((d[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x))):
+        if part[i] != part[j]:
+            want.append((i, j))
+            part = [part[i] if p == part[j] else p for p in part]
+    got = D.reachability_tree(table(spark, x), samples).collect()
+    assert len(got) == len(want) and np.isclose(sum(r.d for r in got), sum(d[i, j] for i, j in want), atol=1e-8)
+    if samples == 1:
+        assert sorted((r.i, r.j) for r in got) == sorted(want)
+
+
+def test_rounds_by_lists_go_through_no_cells(spark, monkeypatch):
+    """Where lists tell all parts' nearest edges no round multiplies all pairs."""
+    runs, own = [], P._cells
+    monkeypatch.setattr(P, "_cells", lambda *a, **b: runs.append(1) or own(*a, **b))
+    assert D.reachability_tree(table(spark, np.random.default_rng(1).normal(size=(200, 8)))).count() == 199
+    assert len(runs) == 1

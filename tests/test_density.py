@@ -139,3 +139,20 @@ def test_rounds_by_lists_go_through_no_cells(spark, monkeypatch):
     monkeypatch.setattr(P, "_cells", lambda *a, **b: runs.append(1) or own(*a, **b))
     assert D.reachability_tree(table(spark, np.random.default_rng(1).normal(size=(200, 8)))).count() == 199
     assert len(runs) == 1
+
+
+def test_groups_without_a_matrix(spark):
+    """A group of 4,000 rows stays far below its matrix of 128 MB; labels are those of the matrix."""
+    import tracemalloc
+
+    x = np.random.default_rng(2).normal(size=(4000, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    got = P._labels_by_rows(len(x), lambda j: np.clip(1 - x @ x[j], 0, 2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    few = clouds(8)
+    few /= np.linalg.norm(few, axis=1, keepdims=True)
+    assert P._labels_by_rows(len(few), lambda j: np.clip(1 - few @ few[j], 0, 2), 3).tolist() == sweep(distances(few), 3)
+    assert len(set(got.tolist())) > 2

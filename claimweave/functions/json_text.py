@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructType
@@ -24,6 +25,19 @@ def json_strict(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(v) for v in text], columns=["ok", "json", "error"])
 
 
+@F.arrow_udf(BooleanType())
+def json_object(text: pa.Array) -> pa.Array:
+    """Whether a strict parser takes the text whole as an object. A text is held while it is parsed, and no other is."""
+
+    def one(value: str | None) -> bool:
+        try:
+            return isinstance(json.loads(value or ""), dict)
+        except ValueError:
+            return False
+
+    return pa.array((one(value.as_py()) for value in text), pa.bool_())
+
+
 def metadata_value(metadata: Column, key: str, like: object = "") -> Column:
     """The value under a key, typed as the Python value that it is compared with; null if it is missing or of another kind."""
     kind = "boolean" if isinstance(like, bool) else "double" if isinstance(like, (int, float)) else "string"

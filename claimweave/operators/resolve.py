@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions.json_text import has_key, json_strict
+from claimweave.functions.json_text import has_key, json_object
 from claimweave.functions.text import md5_id, train_text, unique_name
 from claimweave.operators.numbering import dense_uid, running_total
 
@@ -35,7 +35,7 @@ def parse_documents(raws: DataFrame, path: str = "path", raw: str = "raw") -> tu
     Where a document has no key filename, its path's last part takes the place; a null stays null.
     """
     rows = raws.select(F.col(path).alias("path"), F.col(raw).alias("raw")).withColumn("v", F.try_parse_json("raw"))
-    fine = json_strict("raw")["ok"] & F.col("v").isNotNull()  # a variant is made of text with more behind it too
+    fine = json_object("raw") & F.col("v").isNotNull()  # a variant is made of text with more behind it too
     d = rows.where(fine).withColumn("d", F.from_json("raw", DOCUMENT)).select("path", "v", "d.*")
     titled = F.transform(F.try_variant_get("v", "$.entities", "array<variant>"), lambda x: has_key(x, "title"))
     entity = lambda e, t: e.withField("titled", F.coalesce(t, F.lit(False)))

@@ -1,11 +1,13 @@
 import json
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from claimweave.functions.html import article, feed_paragraphs, transcript_paragraphs
-from claimweave.functions.json_text import json_strict
+from claimweave.functions.json_text import json_object, json_strict
 from claimweave.functions.text import claim_line, strip_fence, url_parts
 from claimweave.operators import density as D
 from claimweave.operators import graphs as G
@@ -171,6 +173,19 @@ def test_text_columns(spark):
     assert [r[0] for r in strict] == [None, "bad_json", "bad_shape", "bad_json"]
 
 
+def test_objects_are_told_text_by_text(spark):
+    """As the strict parser says; and the memory doesn't follow the texts of a batch."""
+    odd = ["{}", '{"a":1} ', "{} x", "[1]", "null", "", None, '{"a":NaN}', "{'a':1}"]
+    rows = spark.createDataFrame([(t,) for t in odd], "s string")
+    assert [tuple(r) for r in rows.select(json_object("s"), json_strict("s")["ok"]).collect()] == [(k in (0, 1, 7),) * 2 for k in range(len(odd))]
+    batch = pa.array(['{"a":"' + "x" * 5000 + '"}'] * 2000)
+    tracemalloc.start()
+    assert json_object.func(batch).to_pylist() == [True] * 2000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1e6, most
+
+
 def test_passwords_with_colons(spark):
     assert spark.createDataFrame([("ftp://me:pa:ss@h/x",)], "u string").select(url_parts(F.col("u"))["password"]).first()[0] == "pa:ss"
 

@@ -186,6 +186,17 @@ def test_objects_are_told_text_by_text(spark):
     assert most < 1e6, most
 
 
+def test_extraction_sends_python_the_prompts_alone(spark):
+    """Other columns stay in Spark, of any type; a batch's replies come in several parts, each with its own prompt, and none is asked twice."""
+    rows = spark.range(600, numPartitions=1).selectExpr("id", "map('k', id) AS m", "if(id = 7, null, concat('p', id)) AS asked", "1 AS `a.b`")
+    out = M.extract(rows, "asked", lambda: [("first", lambda p: json.dumps({"p": p, "n": next(counter)})) for counter in [iter(range(10**6))]])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "MapInArrow" not in plan and out.columns == ["id", "m", "asked", "a.b", "status", "error", "attempts", "provider", "reply", "raw"]
+    got = out.orderBy("id").collect()
+    assert [json.loads(r.reply) for r in got] == [{"p": "" if k == 7 else f"p{k}", "n": k} for k in range(600)]
+    assert {(r.status, r.error, r.attempts, r.provider, r.raw) for r in got} == {("ok", None, 1, "first", None)} and got[9].m == {"k": 9}
+
+
 def test_passwords_with_colons(spark):
     assert spark.createDataFrame([("ftp://me:pa:ss@h/x",)], "u string").select(url_parts(F.col("u"))["password"]).first()[0] == "pa:ss"
 

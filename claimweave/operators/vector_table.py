@@ -20,6 +20,10 @@ from claimweave.operators.predicates import Predicate, equality, value_of
 from claimweave.operators.tables import fresh_path
 
 
+#: Distances that a task of ``search_many`` holds at once, a few times over.
+TILE = 1 << 19
+
+
 def create_table(spark: SparkSession, name: str, path: str | None = None) -> None:
     """The empty vector table, unless there is one: partitioned by the week of the id's time."""
     where = f" LOCATION '{path}'" if path else ""
@@ -98,8 +102,9 @@ def search_many(table: DataFrame, queries: DataFrame, limit: int = 5, id: str =
         of_list = batch.column("list").to_numpy() if lists else None
         for at, x in by_length(batch.column("v")):
             own, u = state["by"].get(x.shape[1], (np.zeros(0, int), None))
-            for low in range(0, len(own), most := max(1, (1 << 22) // max(1, len(at)))):
-                own_far = np.clip(1 - u[low : low + most] @ unit(x).T, 0, 2)
+            rows_t = unit(x).T
+            for low in range(0, len(own), most := max(1, TILE // max(1, len(at)))):
+                own_far = np.clip(1 - u[low : low + most] @ rows_t, 0, 2)
                 far = np.round(own_far, 9)
                 asks = far.min(1, initial=np.inf) <= state["bound"][own[low : low + most]]
                 for place, d, true in zip(own[low : low + most][asks].tolist(), far[asks], own_far[asks], strict=True):

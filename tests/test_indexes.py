@@ -1,6 +1,9 @@
 """Searches of many queries, and the stored indexes, against brute force; vectors that are null, empty or zero."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +141,31 @@ def test_inverted_file_of_many(spark, vectors):
     assert {q: by_query(index.search_many(asked(df), 10, probes=16))[q] for q in (0, 20)} == {q: want[q] for q in (0, 20)}
     with pytest.raises(ValueError, match="no vectors"):
         V.InvertedFile.create(table(spark, [None]))
+
+
+def test_search_many_holds_a_bounded_tile(spark, monkeypatch):
+    """The memory of a step doesn't follow queries times rows."""
+    tasks = {}
+
+    class Caught(Exception):
+        pass
+
+    def caught(queries, rows, start, step, finish, *rest):
+        tasks.update(start=start, step=step, finish=finish)
+        raise Caught
+
+    monkeypatch.setattr(V, "against_all", caught)
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(2000, 8)), rng.normal(size=(4000, 8))
+    with pytest.raises(Caught):
+        V.search_many(table(spark, y[:2]), table(spark, x[:2]).select(F.col("id").alias("q"), F.col("embedding").alias("v")), 3)
+    batch = lambda name, v: pa.RecordBatch.from_pydict({name: pa.array(range(len(v)), pa.int64()), "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
+    state, rows = tasks["start"](batch("q", x)), batch("id", y)
+    tracemalloc.start()
+    tasks["step"](state, rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6, most
+    u, w = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    want = np.argsort(np.round(np.clip(1 - u @ w.T, 0, 2), 9), axis=1, kind="stable")[:, :3]
+    assert np.array_equal(tasks["finish"](state).column("id").to_numpy().reshape(-1, 3), want)

@@ -9,8 +9,8 @@ ids; most classes are one id, and within a class ids follow their smoothed frequ
 
 Texts are split into ids once and kept packed. Each id is counted over all training texts.
 Weights start from a sample of training texts bounded by a parameter and are then trained in
-rounds: each training text gives one of every ``EVERY`` of its windows, and one at least; a
-task trains on a shard of some ``SHARD`` windows, and the shards' weights are averaged.
+rounds on all windows of all training texts, each window once. A shard has some ``SHARD``
+windows, a task trains on those of one shard and round, and the shards' weights are averaged.
 
 The base score needs each word's count over all training texts. The distinct words of a chunk
 of texts, the end among them, go packed to reducers by hash with their counts in the chunk; a
@@ -40,7 +40,7 @@ from .language_id import held_out
 from .wordarrays import LOWER, chunks, mix64, spans
 
 LENGTH, STEP, WIDTH, GROUPS, MEMBERS, INPUTS, SAMPLE, STEPS, BATCH = 32, 24, 16, 64, 64, 4096, 1500, 900, 256
-EVERY, SHARD, ROUNDS, RATE, FIRST_RATE = 64, 1 << 14, 4, 0.002, 0.02
+SHARD, ROUNDS, RATE, FIRST_RATE = 1 << 17, 4, 0.002, 0.02
 _END = np.uint64(0x5851F42D4C957F2D)  # the end's hash beside the words'
 _U = np.uint64
 #: Fixed value: how the public byte-level tokenizers split a text before they merge bytes.
@@ -261,8 +261,8 @@ class Attention:
         return out
 
 
-def drawn_windows(ids: np.ndarray, size: int, row: int, every: int = EVERY) -> np.ndarray:
-    """One of every ``every`` of a text's windows: the id before it, or size + 1 as start, and LENGTH ids, the end being ``size`` and padding size + 2."""
+def drawn_windows(ids: np.ndarray, size: int, row: int = 0, every: int = 1) -> np.ndarray:
+    """A text's windows, or one of every ``every``: the id before it, or size + 1 as start, and LENGTH ids, the end being ``size`` and padding size + 2."""
     n = max(1, -(-(len(ids) + 1 - LENGTH) // STEP) + 1)
     wide = np.concatenate([[size + 1], ids, [size], np.full(LENGTH, size + 2)])
     pick = (row % n + every * np.arange(-(-n // every))) % n
@@ -384,22 +384,21 @@ def _kind(size: int) -> str:
 
 
 def _split(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Ids of each text, the drawn windows of those that are learnt from, and its words by index; after each chunk's texts a row with the chunk's words."""
+    """Ids of each text and its words by index; after each chunk's texts a row with the chunk's words."""
     size = _tokenizer(path)[0].n_vocab
     kind = _kind(size)
     for batch in batches:
-        rows, learn = batch.column(0).to_numpy().view(_U).tolist(), ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        learn = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for c in subwords(path, batch.column(2)):
             texts = [c.ids[a:b] for a, b in zip(c.first[:-1], c.first[1:], strict=True)]
             here, name, end = slice(c.low, c.high), secrets.randbits(63), len(c.hashes)
-            windows = [drawn_windows(x, size, rows[i]).astype(kind).tobytes() if learn[i] else None for i, x in enumerate(texts, c.low)]
             words = [planes(np.append(c.which[a:b], end).astype(np.uint32)) for a, b in zip(c.at[:-1], c.at[1:], strict=True)]
             n = np.diff(c.at)
             times = np.bincount(c.which[np.repeat(learn[here], n)], minlength=end + 1)
             times[end] = learn[here].sum()
             own = {"_row": batch.column(0), "held_out": batch.column(1), **{k: batch.column(k) for k in batch.schema.names[3:]}}
             own = {k: v.slice(c.low, c.high - c.low) for k, v in own.items()}
-            own |= {"n_tokens": pa.array(n + 1), "ids": pa.array([x.astype(kind).tobytes() for x in texts], pa.binary()), "windows": pa.array(windows, pa.binary())}
+            own |= {"n_tokens": pa.array(n + 1), "ids": pa.array([x.astype(kind).tobytes() for x in texts], pa.binary())}
             own |= {"chunk": pa.array([name] * len(texts), pa.int64()), "words": pa.array(words, pa.binary())}
             own |= {k: pa.nulls(len(texts), pa.binary()) for k in ("hashes", "counts")}
             names = list(own)
@@ -418,16 +417,24 @@ def _count(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
 
+def _all_windows(texts: list[bytes], size: int, seed: int) -> np.ndarray:
+    """All windows of texts given as ids, in an order by chance that the seed fixes."""
+    windows = np.concatenate([drawn_windows(np.frombuffer(x, _kind(size)).astype(np.int64), size) for x in texts]).astype(_kind(size))
+    return windows[np.random.default_rng(seed).permutation(len(windows))]
+
+
 def _refine(batches: Iterator[pa.RecordBatch], model: Attention, rate: float) -> Iterator[pa.RecordBatch]:
-    """For each shard of a partition its number of windows, and the weights times it after training on them."""
+    """For each shard of a partition its number of windows, and the weights times it after training on them. A row has a text's windows or its ids."""
+    size = len(model.class_of) - 1
     shards: dict[int, list[bytes]] = {}
     for batch in batches:
         for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             shards.setdefault(shard, []).append(raw)
     for shard, raw in shards.items():
-        windows = np.frombuffer(b"".join(raw), _kind(len(model.class_of) - 1)).reshape(-1, LENGTH + 1)
+        windows = _all_windows(raw, size, shard) if batch.schema.names[1] == "ids" else np.frombuffer(b"".join(raw), _kind(size)).reshape(-1, LENGTH + 1)
+        each = min(max(64, len(windows) // 64), 256)  # larger batches where they leave steps enough
         own = Attention({k: w.copy() for k, w in model.weights.items()}, model.class_of, model.log_within, model.row_of)
-        own.refine(windows, rate)
+        own.refine(windows, rate * (each / 64) ** 0.5, each)
         flat = np.concatenate([w.ravel() for w in own.weights.values()]).astype(np.float64) * len(windows)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [len(windows)], "w": [flat.tobytes()]})
 
@@ -442,17 +449,19 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def refined(model: Attention, learn: DataFrame, shard: int = SHARD, rounds: int = ROUNDS, rate: float = RATE) -> Attention:
-    """The model after rounds over the windows of all of learn (_row, windows), each in one round.
+    """The model after rounds over the windows of all of learn (_row, and windows or the ids of a text, which gives all of its windows), each in one round.
 
     Shards follow the rows' hashes, so that the weights don't follow the partitions.
     """
-    whole = learn.agg(F.sum(F.length("windows"))).first()[0] or 0
-    k = max(1, math.ceil(whole / ((LENGTH + 1) * np.dtype(_kind(len(model.class_of) - 1)).itemsize) / shard))
+    of, item = learn.columns[1], np.dtype(_kind(len(model.class_of) - 1)).itemsize
+    own = F.greatest(F.lit(1), F.ceil((F.length(of) / item + 1 - LENGTH) / STEP) + 1) if of == "ids" else F.length(of) / (item * (LENGTH + 1))
+    whole = learn.agg(F.sum(own)).first()[0] or 0
+    k = max(1, math.ceil(whole / shard))
     slots = F.array(*map(F.lit, spread(learn.sparkSession, k)))
     dealt_rows = learn.withColumn("_s", F.get(slots, F.pmod(F.xxhash64("_row"), F.lit(k)).cast("int"))).withColumn("_round", F.pmod(F.xxhash64("_row", F.lit(1)), F.lit(rounds)))
     schema = "shard int, n long, w binary"
     for i in range(rounds if whole else 0):
-        mine = dealt_rows.where(F.col("_round") == i).select("_s", "_row", "windows").repartition(k, "_s").sortWithinPartitions("_s", "_row", "windows").select("_s", "windows")
+        mine = dealt_rows.where(F.col("_round") == i).select("_s", "_row", of).repartition(k, "_s").sortWithinPartitions("_s", "_row", of).select("_s", of)
         sums = mine.transform(mapped, partial(_refine, model=model, rate=rate * (1 - i / rounds)), schema)
         if k > 1:  # few sums come to the driver
             few = math.ceil(k**0.5)
@@ -495,7 +504,7 @@ def lm_scores(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(id).cast("string"), value).alias("_row"), held_out(id, folds).alias("held_out"), value.alias("_text"), F.col(id).alias("_id"))
     kept, n = docs.schema[id].dataType.simpleString(), fanout(docs)
-    split = written(rows.transform(mapped, partial(_split, path=tokenizer), f"_row long, held_out boolean, _id {kept}, n_tokens long, ids binary, windows binary, chunk long, words binary, hashes binary, counts binary"))
+    split = written(rows.transform(mapped, partial(_split, path=tokenizer), f"_row long, held_out boolean, _id {kept}, n_tokens long, ids binary, chunk long, words binary, hashes binary, counts binary"))
     learn, size = split.where("not held_out"), _tokenizer(tokenizer)[0].n_vocab
     freq = np.zeros(size + 1)
     for i, count in learn.select("ids").transform(mapped, partial(_count, size=size), "id long, n long").groupBy("id").agg(F.sum("n")).collect():
@@ -503,7 +512,7 @@ def lm_scores(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "
     share = min(1.0, 1.5 * sample / max(freq[size], 1))  # by hash, so that tasks send the driver little more than the sample
     drawn = learn.withColumn("_h", F.pmod(F.xxhash64("_row"), F.lit(1 << 30))).where(F.col("_h") <= int(share * (1 << 30))).orderBy("_h", "ids").select("ids").limit(sample)
     first = [np.append(np.frombuffer(x, _kind(size)).astype(np.int64), size) for x in sorted(bytes(r[0]) for r in drawn.collect())]
-    model = refined(fit(freq, np.append(_tokenizer(tokenizer)[1], True), first, steps), learn.select("_row", "windows"))
+    model = refined(fit(freq, np.append(_tokenizer(tokenizer)[1], True), first, steps), learn.select("_row", "ids"))
     slots = spread(docs.sparkSession, n)
     texts = split.where("hashes is null").select("chunk", "words", "_id", "held_out", "n_tokens", "ids")
     scored = texts.transform(mapped, partial(_run, model=model, slots=slots), f"slot int, chunk long, words binary, _id {kept}, held_out boolean, n_tokens long, score double")

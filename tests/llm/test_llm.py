@@ -430,6 +430,29 @@ def test_lm_weights_follow_all_texts(spark):
     assert all(np.array_equal(models[0].weights[k], models[1].weights[k]) for k in fresh.weights)
 
 
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    """Texts of many windows: the rounds together see each window once, whatever the text's length."""
+    import claimweave.llm.lm_scoring as L
+
+    texts, size = [np.arange(n) % 50 for n in (0, 5, 31, 32, 100, 3000)], 50
+    model = fit(np.arange(1.0, size + 2), np.ones(size + 1, bool), [], groups=3, members=4)
+    seen = []
+    monkeypatch.setattr(L.Attention, "refine", lambda self, windows, *rest: seen.append(windows))
+    batch = pa.RecordBatch.from_pydict({"_s": pa.array([0] * len(texts), pa.int32()), "ids": [t.astype("<u2").tobytes() for t in texts]})
+    assert [r["n"] for b in L._refine(iter([batch]), model, 0.1) for r in b.to_pylist()] == [len(seen[0])]
+    ends = [(w[1:] == size).sum() for w in seen[0]]
+    assert sum(ends) >= len(texts)  # each text's end
+    for t in texts:  # each id after the one before it, the start and the end included
+        pairs = list(zip([size + 1, *t.tolist()], [*t.tolist(), size], strict=True))
+        got = Counter(p for w in seen[0].tolist() for p in zip(w[:-1], w[1:], strict=True))
+        assert all(got[p] >= c for p, c in Counter(pairs).items())
+    assert len(seen[0]) == sum(max(1, -(-(len(t) + 1 - LENGTH) // STEP) + 1) for t in texts)
+    rows = spark.createDataFrame([(k, bytearray(t.astype("<u2").tobytes())) for k, t in enumerate(texts)], "_row long, ids binary")
+    monkeypatch.undo()
+    models = [refined(model, rows.repartition(n), shard=40, rounds=2) for n in (1, 3)]
+    assert all(np.array_equal(models[0].weights[k], models[1].weights[k]) for k in model.weights)
+
+
 def test_subwords_are_those_of_each_word():
     texts = ["It's A\u00a0b  \u2003x\n\u3000", "", "na\u00efve \ud55c\uad6d\uc5b4 ''s 12a%\u0301 <|endoftext|>", "A" * 3000]
     path = tokenizer_file("byte_bpe_50k.tiktoken")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from claimweave.operators.tables import shared_folder, written
 
-__all__ = ["PACKED", "Unpacked", "any_names", "dealt", "fanout", "free", "hashable", "mapped", "others", "pack", "planes", "shared_folder", "spread", "unplanes", "written"]
+__all__ = ["PACKED", "Unpacked", "any_names", "dealt", "fanout", "free", "hashable", "mapped", "others", "pack", "planes", "shared_folder", "shuffles_freed", "spread", "unplanes", "written"]
 
 PARTS = ("ids", "extra", "lens", "keys", "places", "values")
 PACKED = "slot int, " + ", ".join(f"{n} binary" for n in PARTS)
@@ -212,6 +213,24 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of an action go once it ends, instead of when the driver happens to collect its garbage.
+
+    For frames that one action runs; a second action on the same frame would shuffle again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def dealt(df: DataFrame, pack_batches: Callable, n: int) -> DataFrame:
     """Rows of ``PACKED`` from pack_batches over df's Arrow batches, dealt to n partitions by slot."""
     return df.transform(mapped, pack_batches, PACKED).repartition(n, "slot")

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import PACKED, PARTS, Unpacked, dealt, fanout, mapped, pack, planes, spread, unplanes, written
+from .exchange import PACKED, PARTS, Unpacked, dealt, fanout, mapped, pack, planes, shuffles_freed, spread, unplanes, written
 from .language_id import held_out
 from .wordarrays import LOWER, chunks, mix64, spans
 
@@ -89,12 +89,25 @@ def subwords(path: str, texts: pa.Array, size: int = 2 << 20) -> Iterator[Chunk]
         yield Chunk(low, high, ids, np.concatenate([[0], ends])[words.first], hashes, which, words.first)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place, along the last axis."""
-    x -= x.max(-1, keepdims=True)
+def _exp_sums(x: np.ndarray) -> np.ndarray:
+    """x becomes its exponentials, in place; their sums along the last axis. Logits over 60 count as 60, so that no sum leaves the range of 32-bit floats; trained ones are far below."""
+    if x.size and x.max() > 60:
+        np.minimum(x, 60, out=x)
     np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+    return x @ np.ones(x.shape[-1], x.dtype)
+
+
+def _by_group(g: np.ndarray, groups: int) -> tuple[np.ndarray, list[int]]:
+    """An order of rows by their groups, and where each group begins in it."""
+    order = np.argsort(g.astype(np.uint16), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(g, minlength=groups))]).tolist()
+
+
+def _with_one(z: np.ndarray) -> np.ndarray:
+    """Rows with a last column of ones, which meets the biases."""
+    out = np.ones((len(z), z.shape[1] + 1), z.dtype)
+    out[:, :-1] = z
+    return out
 
 
 @dataclass
@@ -123,33 +136,35 @@ class Attention:
     def hidden(self, x: np.ndarray, skip: int = 0) -> tuple:
         """State after each position from ``skip`` on, for input rows x (batch, length)."""
         w, (n, length) = self.weights, x.shape
-        h = w["E"][x] + w["P"][:length]
+        h = np.take(w["E"], x, axis=0) + w["P"][:length]
         q, k, v = np.split((h.reshape(n * length, -1) @ w["QKV"]).reshape(n, length, -1), 3, axis=2)
         q = q[:, skip:] * np.float32(w["O"].shape[0] ** -0.5)
         s = q @ k.transpose(0, 2, 1)
         np.minimum(s, 60, out=s)  # so that no sum leaves the range of 32-bit floats; trained scores are far below
         np.exp(s, out=s)
         s *= np.tri(length, dtype=np.float32)[skip:]
-        s /= s.sum(-1, keepdims=True)
+        s /= (s.reshape(-1, length) @ np.ones(length, s.dtype)).reshape(n, length - skip, 1)
         a = s @ v
-        return h[:, skip:] + a @ w["O"], (h, q, k, v, s, a)
+        return h[:, skip:] + (a.reshape(-1, a.shape[2]) @ w["O"]).reshape(a.shape), (h, q, k, v, s, a)
+
+    def heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of groups, and those of classes within each, with their biases as last rows."""
+        w = self.weights
+        return np.concatenate([w["V"], w["b"][None]]), np.concatenate([w["W"], w["c"][:, None]], axis=1)
 
     def log_probability(self, z: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural logs of the classes y (n) after states z (n, width). Logits are far from the range of 32-bit floats."""
-        w, g = self.weights, y // self.members
-        order = np.argsort(g.astype(np.uint16), kind="stable")
-        z, g, m = z[order], g[order], y[order] % self.members
-        logits = z @ w["V"]
-        logits += w["b"]
-        found = logits[np.arange(len(g)), g]
-        total = np.exp(logits, out=logits).sum(-1)
-        bound = np.searchsorted(g, np.arange(len(w["b"]) + 1)).tolist()
-        for k, (low, high) in enumerate(zip(bound[:-1], bound[1:], strict=True)):
+        """Natural logs of the classes y (n) after states z (n, width)."""
+        upper, lower = self.heads()
+        order, bound = _by_group(y // self.members, len(lower))
+        z, (g, m), rows = _with_one(z[order]), np.divmod(y[order], self.members), np.arange(len(y))
+        logits = z @ upper
+        found = logits[rows, g]
+        total = _exp_sums(logits)
+        for k, (low, high) in enumerate(itertools.pairwise(bound)):
             if low < high:
-                logits = z[low:high] @ w["W"][k]
-                logits += w["c"][k]
-                found[low:high] += logits[np.arange(high - low), m[low:high]]
-                total[low:high] *= np.exp(logits, out=logits).sum(-1)
+                logits = z[low:high] @ lower[k]
+                found[low:high] += logits[rows[: high - low], m[low:high]]
+                total[low:high] *= _exp_sums(logits)
         out = np.empty_like(found)
         out[order] = found - np.log(total)
         return out
@@ -159,39 +174,50 @@ class Attention:
         w = self.weights
         z, (h, q, k, v, s, a) = self.hidden(x)
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        share = np.full(y.size, np.float32(1 / y.size)) if used is None else (used.ravel() / used.sum()).astype(np.float32)
-        fz, (g, m) = flat(z), np.divmod(y.ravel(), self.members)
-        rows = np.arange(y.size)
-        p = _softmax(fz @ w["V"] + w["b"])
-        loss = -float((np.log(p[rows, g] + 1e-12) * share).sum())
-        p[rows, g] -= 1
-        p *= share[:, None]
-        out = {"V": fz.T @ p, "b": p.sum(0), "W": np.zeros_like(w["W"]), "c": np.zeros_like(w["c"])}
-        dz = p @ w["V"].T
-        order = np.argsort(g, kind="stable")
-        bound = np.searchsorted(g[order], np.arange(len(w["b"]) + 1))
-        for i in np.flatnonzero(np.diff(bound)):
-            own = order[bound[i] : bound[i + 1]]
-            p = _softmax(fz[own] @ w["W"][i] + w["c"][i])
-            at = np.arange(len(own))
-            loss -= float((np.log(p[at, m[own]] + 1e-12) * share[own]).sum())
-            p[at, m[own]] -= 1
-            p *= share[own, None]
-            out["W"][i], out["c"][i] = fz[own].T @ p, p.sum(0)
-            dz[own] += p @ w["W"][i].T
-        out["O"] = flat(a).T @ dz
-        dz = dz.reshape(z.shape)
-        da = dz @ w["O"].T
+        at = np.arange(y.size) if used is None else np.flatnonzero(used)
+        g, m = np.divmod(y.ravel()[at], self.members)
+        order, bound = _by_group(g, len(w["b"]))
+        at, g, m, rows, share = at[order], g[order], m[order], np.arange(len(at)), 1 / max(1, len(at))
+        upper, lower = self.heads()
+        fz = _with_one(flat(z)[at])
+
+        def wrong(logits: np.ndarray, right: np.ndarray) -> float:
+            """Logits become their gradients; the summed loss."""
+            found = (rows[: len(right)], right)
+            loss = -float(logits[found].sum())
+            total = _exp_sums(logits)
+            logits *= (share / total)[:, None]
+            logits[found] -= share
+            return (loss + float(np.log(total).sum())) * share
+
+        p = fz @ upper
+        loss = wrong(p, g)
+        d_upper, d_lower, dz = fz.T @ p, np.zeros_like(lower), p @ w["V"].T
+        for i, (low, high) in enumerate(itertools.pairwise(bound)):
+            if low < high:
+                own = fz[low:high]
+                p = own @ lower[i]
+                loss += wrong(p, m[low:high])
+                d_lower[i] = own.T @ p
+                dz[low:high] += p @ w["W"][i].T
+        out = {"V": d_upper[:-1], "b": d_upper[-1], "W": d_lower[:, :-1], "c": d_lower[:, -1]}
+        by_place = np.zeros((y.size, dz.shape[1]), dz.dtype)
+        by_place[at] = dz
+        out["O"] = flat(a).T @ by_place
+        dz = by_place.reshape(z.shape)
+        da = (by_place @ w["O"].T).reshape(z.shape)
         ds, dv = da @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ da
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True))
+        ds -= np.einsum("nld,nld->nl", da, a)[:, :, None]
+        ds *= s
         dqkv = np.concatenate([ds @ k * np.float32(w["O"].shape[0] ** -0.5), ds.transpose(0, 2, 1) @ q, dv], axis=2)
         out["QKV"] = flat(h).T @ flat(dqkv)
-        dh = dz + dqkv @ w["QKV"].T
+        dh = dz + (flat(dqkv) @ w["QKV"].T).reshape(z.shape)
         out["P"] = np.zeros_like(w["P"])
         out["P"][: x.shape[1]] = dh.sum(0)
         out["E"] = np.zeros_like(w["E"])
-        order = np.argsort(x.ravel(), kind="stable")
-        row = x.ravel()[order]
+        rows_of = x.ravel().astype(np.min_scalar_type(len(w["E"])))
+        order = np.argsort(rows_of, kind="stable")
+        row = rows_of[order]
         head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         out["E"][row[head]] = np.add.reduceat(flat(dh)[order], head)
         return loss, out
@@ -504,18 +530,19 @@ def lm_scores(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(id).cast("string"), value).alias("_row"), held_out(id, folds).alias("held_out"), value.alias("_text"), F.col(id).alias("_id"))
     kept, n = docs.schema[id].dataType.simpleString(), fanout(docs)
-    split = written(rows.transform(mapped, partial(_split, path=tokenizer), f"_row long, held_out boolean, _id {kept}, n_tokens long, ids binary, chunk long, words binary, hashes binary, counts binary"))
-    learn, size = split.where("not held_out"), _tokenizer(tokenizer)[0].n_vocab
-    freq = np.zeros(size + 1)
-    for i, count in learn.select("ids").transform(mapped, partial(_count, size=size), "id long, n long").groupBy("id").agg(F.sum("n")).collect():
-        freq[i] = count
-    share = min(1.0, 1.5 * sample / max(freq[size], 1))  # by hash, so that tasks send the driver little more than the sample
-    drawn = learn.withColumn("_h", F.pmod(F.xxhash64("_row"), F.lit(1 << 30))).where(F.col("_h") <= int(share * (1 << 30))).orderBy("_h", "ids").select("ids").limit(sample)
-    first = [np.append(np.frombuffer(x, _kind(size)).astype(np.int64), size) for x in sorted(bytes(r[0]) for r in drawn.collect())]
-    model = refined(fit(freq, np.append(_tokenizer(tokenizer)[1], True), first, steps), learn.select("_row", "ids"))
+    with shuffles_freed(docs.sparkSession):  # else those of all rounds lie on disk together
+        split = written(rows.transform(mapped, partial(_split, path=tokenizer), f"_row long, held_out boolean, _id {kept}, n_tokens long, ids binary, chunk long, words binary, hashes binary, counts binary"))
+        learn, size = split.where("not held_out"), _tokenizer(tokenizer)[0].n_vocab
+        freq = np.zeros(size + 1)
+        for i, count in learn.select("ids").transform(mapped, partial(_count, size=size), "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+            freq[i] = count
+        share = min(1.0, 1.5 * sample / max(freq[size], 1))  # by hash, so that tasks send the driver little more than the sample
+        drawn = learn.withColumn("_h", F.pmod(F.xxhash64("_row"), F.lit(1 << 30))).where(F.col("_h") <= int(share * (1 << 30))).orderBy("_h", "ids").select("ids").limit(sample)
+        first = [np.append(np.frombuffer(x, _kind(size)).astype(np.int64), size) for x in sorted(bytes(r[0]) for r in drawn.collect())]
+        model = refined(fit(freq, np.append(_tokenizer(tokenizer)[1], True), first, steps), learn.select("_row", "ids"))
+        told, tokens, distinct = shares(split.where("hashes is not null").select("chunk", "hashes", "counts"), n)
     slots = spread(docs.sparkSession, n)
     texts = split.where("hashes is null").select("chunk", "words", "_id", "held_out", "n_tokens", "ids")
     scored = texts.transform(mapped, partial(_run, model=model, slots=slots), f"slot int, chunk long, words binary, _id {kept}, held_out boolean, n_tokens long, score double")
-    told, tokens, distinct = shares(split.where("hashes is not null").select("chunk", "hashes", "counts"), n)
     out = with_base(scored, told, n, tokens, distinct, kept)
     return out.select(F.col("_id").alias(id), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -453,6 +454,24 @@ def test_lm_trains_on_every_window(spark, monkeypatch):
     assert all(np.array_equal(models[0].weights[k], models[1].weights[k]) for k in model.weights)
 
 
+def test_lm_frees_the_shuffles_of_its_rounds(spark, both):
+    """What counts and rounds have shuffled is off the disk once the scores can be asked for, and the session's setting is as before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(key)
+    out = lm_scores(both, BPE, steps=5, sample=20)
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(key) == setting
+    assert out.count() == both.count()
+
+
 def test_subwords_are_those_of_each_word():
     texts = ["It's A\u00a0b  \u2003x\n\u3000", "", "na\u00efve \ud55c\uad6d\uc5b4 ''s 12a%\u0301 <|endoftext|>", "A" * 3000]
     path = tokenizer_file("byte_bpe_50k.tiktoken")

@@ -27,7 +27,7 @@ import math
 import secrets
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,9 @@ from .exchange import PACKED, PARTS, Unpacked, dealt, fanout, mapped, pack, plan
 from .language_id import held_out
 from .wordarrays import LOWER, chunks, mix64, spans
 
-LENGTH, STEP, WIDTH, GROUPS, MEMBERS, INPUTS, SAMPLE, STEPS, BATCH = 32, 24, 16, 64, 64, 4096, 1500, 900, 256
+LENGTH, STEP, WIDTH, GROUPS, MEMBERS, INPUTS, SAMPLE, STEPS, BATCH = 32, 24, 16, 64, 64, 4096, 1500, 900, 1024
 SHARD, ROUNDS, RATE, FIRST_RATE = 1 << 17, 4, 0.002, 0.02
+ROWS, WINDOWS, MOST_KNOWN = 1024, 64, 400_000  # what is worked on at once, so that it stays in the processor's cache, and how many split words a process keeps; results don't follow them
 _END = np.uint64(0x5851F42D4C957F2D)  # the end's hash beside the words'
 _U = np.uint64
 #: Fixed value: how the public byte-level tokenizers split a text before they merge bytes.
@@ -59,6 +60,35 @@ def _tokenizer(path: str) -> tuple:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), spaced
 
 
+@dataclass
+class Known:
+    """The words that this process has split, by ascending hash: where each one's ids begin in ``ids``, and how many they are. A cache: beyond ``MOST_KNOWN`` words it begins anew."""
+
+    hashes: np.ndarray
+    begin: np.ndarray
+    n: np.ndarray
+    ids: np.ndarray
+
+    def clear(self) -> None:
+        for name, kept in vars(self).items():
+            setattr(self, name, kept[:0].copy())
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where these are or would be, and which are here."""
+        at = np.searchsorted(self.hashes, hashes)
+        return at, np.append(self.hashes, _U(0))[at] == hashes if len(self.hashes) else np.zeros(len(at), bool)
+
+    def add(self, hashes: np.ndarray, at: np.ndarray, begin: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        self.hashes, self.n = np.insert(self.hashes, at, hashes), np.insert(self.n, at, n)
+        self.begin = np.insert(self.begin, at, begin + len(self.ids))
+        self.ids = np.concatenate([self.ids, ids])
+
+
+@lru_cache(2)
+def _known(path: str) -> Known:
+    return Known(np.zeros(0, _U), *(np.zeros(0, np.int64) for _ in range(3)))
+
+
 @dataclass
 class Chunk:
     """Texts low to high of a batch: ids, those of each text from first[i] on, without ends; and the distinct words' hashes, ascending, and for each text's words, from at[i] on, which of them they are."""
@@ -73,19 +103,25 @@ class Chunk:
 
 
 def subwords(path: str, texts: pa.Array, size: int = 2 << 20) -> Iterator[Chunk]:
-    """The distinct words of a chunk are split in one call, each after one space. No word has a space inside, so the ids that begin with one are those that begin a word."""
+    """The distinct words of a chunk that the process hasn't split yet are split in one call, each after one space. No word has a space inside, so the ids that begin with one are those that begin a word."""
     tokenizer, spaced = _tokenizer(path)
+    known = _known(path)
     for low, high, data, off in chunks(texts, size):
         words = spans(data, off)
-        hashes, at, which = np.unique(words.hashes(fold=True), return_index=True, return_inverse=True)
+        hashes, first, which = np.unique(words.hashes(fold=True), return_index=True, return_inverse=True)
+        if len(known.hashes) > MOST_KNOWN:
+            known.clear()
+        at, here = known.find(hashes)
+        new = first[~here]
         raw = LOWER[data].tobytes()
-        distinct = b"".join([b" " + raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
+        distinct = b"".join([b" " + raw[a:b] for a, b in zip(words.starts[new].tolist(), words.ends[new].tolist(), strict=True)])
         flat = tokenizer.encode_to_numpy(distinct.decode("utf-8", "replace"), disallowed_special=()).astype(np.int64)
         begin = np.flatnonzero(spaced[flat])
-        n = np.diff(np.append(begin, len(flat)))
-        count = n[which]
+        known.add(hashes[~here], at[~here], begin, np.diff(np.append(begin, len(flat))), flat)
+        at, _ = known.find(hashes)
+        count = known.n[at][which]
         ends = np.cumsum(count)
-        ids = flat[np.arange(count.sum()) + np.repeat(begin[which] - (ends - count), count)]
+        ids = known.ids[np.arange(count.sum()) + np.repeat(known.begin[at][which] - (ends - count), count)]
         yield Chunk(low, high, ids, np.concatenate([[0], ends])[words.first], hashes, which, words.first)
 
 
@@ -103,13 +139,18 @@ def _by_group(g: np.ndarray, groups: int) -> tuple[np.ndarray, list[int]]:
     return order, np.concatenate([[0], np.cumsum(np.bincount(g, minlength=groups))]).tolist()
 
 
-def _with_one(z: np.ndarray) -> np.ndarray:
-    """Rows with a last column of ones, which meets the biases."""
-    out = np.ones((len(z), z.shape[1] + 1), z.dtype)
-    out[:, :-1] = z
+def _with_one(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows ``at`` of z with a last column of ones, which meets the biases."""
+    out = np.ones((len(at), z.shape[1] + 1), z.dtype)
+    out[:, :-1] = z[at]
     return out
 
 
+def _of(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Each row's value in its column."""
+    return x.reshape(-1)[np.arange(len(x)) * x.shape[1] + column]
+
+
 @dataclass
 class Attention:
     """One causal head with learnt positions, a residual, and a softmax over groups and over the classes of a group."""
@@ -133,19 +174,58 @@ class Attention:
     def members(self) -> int:
         return self.weights["c"].shape[1]
 
+    @cached_property
+    def widths(self) -> np.ndarray:
+        """How many classes of each group are looked at: those that some id has, up to a power of two. Most groups have few, the most frequent ids being a group each."""
+        have = np.bincount(np.unique(self.class_of) // self.members, minlength=len(self.weights["b"]))
+        return np.minimum(1 << np.ceil(np.log2(np.maximum(have, 1))).astype(np.int64), self.members)
+
+    @cached_property
+    def ranked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The groups by their widths, and each group's place among them."""
+        groups = np.argsort(self.widths, kind="stable")
+        return groups, np.argsort(groups)
+
+    def runs(self, bound: list[int]) -> Iterator[tuple[slice, int, list[tuple[int, slice]]]]:
+        """Rows of groups of one width, as many as have some ``ROWS`` full rows of logits, so that one call serves several groups; the width; and these groups, each with its part of the rows.
+
+        bound: where the rows of each group begin, in the order of widths. A group of one class needs nothing: it has the whole share.
+        """
+        run: list[tuple[int, slice]] = []
+        first = high = last = 0
+        for i, (low, end) in zip(self.ranked[0].tolist(), itertools.pairwise(bound), strict=True):
+            width = int(self.widths[i])
+            if low == end or width == 1:
+                continue
+            if run and (width != last or (end - first) * width > ROWS * self.members):
+                yield slice(first, high), last, run
+                run = []
+            if not run:
+                first, last = low, width
+            run.append((i, slice(low - first, end - first)))
+            high = end
+        if run:
+            yield slice(first, high), last, run
+
     def hidden(self, x: np.ndarray, skip: int = 0) -> tuple:
-        """State after each position from ``skip`` on, for input rows x (batch, length)."""
+        """State after each position from ``skip`` on, for input rows x (batch, length); sums of attention divide its results, not the larger array of its weights."""
         w, (n, length) = self.weights, x.shape
-        h = np.take(w["E"], x, axis=0) + w["P"][:length]
-        q, k, v = np.split((h.reshape(n * length, -1) @ w["QKV"]).reshape(n, length, -1), 3, axis=2)
-        q = q[:, skip:] * np.float32(w["O"].shape[0] ** -0.5)
+        width = w["O"].shape[0]
+        h = np.take(w["E"], x, axis=0)
+        h += w["P"][:length]
+        q, k, v = np.split((h.reshape(-1, width) @ w["QKV"]).reshape(n, length, -1), 3, axis=2)
+        q = q[:, skip:] * np.float32(width**-0.5)
         s = q @ k.transpose(0, 2, 1)
-        np.minimum(s, 60, out=s)  # so that no sum leaves the range of 32-bit floats; trained scores are far below
+        if s.size and s.max() > 60:  # so that no sum leaves the range of 32-bit floats; trained scores are far below
+            np.minimum(s, 60, out=s)
         np.exp(s, out=s)
         s *= np.tri(length, dtype=np.float32)[skip:]
-        s /= (s.reshape(-1, length) @ np.ones(length, s.dtype)).reshape(n, length - skip, 1)
+        part = (1 / (s.reshape(-1, length) @ np.ones(length, s.dtype))).reshape(n, length - skip, 1)
         a = s @ v
-        return h[:, skip:] + (a.reshape(-1, a.shape[2]) @ w["O"]).reshape(a.shape), (h, q, k, v, s, a)
+        a *= part
+        z = (a.reshape(-1, width) @ w["O"]).reshape(a.shape)
+        z += h[:, skip:]
+        return z, (h, q, k, v, s, part, a)
 
     def heads(self) -> tuple[np.ndarray, np.ndarray]:
         """The weights of groups, and those of classes within each, with their biases as last rows."""
@@ -155,71 +235,98 @@ class Attention:
     def log_probability(self, z: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logs of the classes y (n) after states z (n, width)."""
         upper, lower = self.heads()
-        order, bound = _by_group(y // self.members, len(lower))
-        z, (g, m), rows = _with_one(z[order]), np.divmod(y[order], self.members), np.arange(len(y))
-        logits = z @ upper
-        found = logits[rows, g]
-        total = _exp_sums(logits)
-        for k, (low, high) in enumerate(itertools.pairwise(bound)):
-            if low < high:
-                logits = z[low:high] @ lower[k]
-                found[low:high] += logits[rows[: high - low], m[low:high]]
-                total[low:high] *= _exp_sums(logits)
+        order, bound = _by_group(self.ranked[1][y // self.members], len(lower))
+        z, (g, m) = _with_one(z, order), np.divmod(y[order], self.members)
+        found = np.empty(len(y), z.dtype)
+        for low in range(0, len(y), ROWS):
+            part = slice(low, low + ROWS)
+            logits = z[part] @ upper
+            found[part] = _of(logits, g[part])
+            found[part] -= np.log(_exp_sums(logits))
+        for part, width, groups in self.runs(bound):
+            own = z[part]
+            logits = np.empty((len(own), width), z.dtype)
+            for i, rows in groups:
+                np.matmul(own[rows], lower[i, :, :width], out=logits[rows])
+            found[part] += _of(logits, m[part])
+            found[part] -= np.log(_exp_sums(logits))
         out = np.empty_like(found)
-        out[order] = found - np.log(total)
+        out[order] = found
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, used: np.ndarray | None = None) -> tuple[float, dict]:
-        """Mean loss and its gradients over all positions, or over those that are used."""
-        w = self.weights
-        z, (h, q, k, v, s, a) = self.hidden(x)
+        """Mean loss and its gradients over all positions, or over those that are used; places before a block's first used one are read, not predicted from."""
+        w, (n, length) = self.weights, x.shape
+        width = w["O"].shape[0]
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        at = np.arange(y.size) if used is None else np.flatnonzero(used)
+        used = np.ones(x.shape, bool) if used is None else used
+        blocks = [(slice(i, i + WINDOWS), int(used[i : i + WINDOWS].any(0).argmax())) for i in range(0, n, WINDOWS)]
+        z, states = np.ones((n, length, width + 1), w["E"].dtype), []  # the last column of ones meets the biases
+        for b, skip in blocks:
+            z[b, skip:, :width], state = self.hidden(x[b], skip)
+            states.append(state)
+        at = np.flatnonzero(used)
         g, m = np.divmod(y.ravel()[at], self.members)
-        order, bound = _by_group(g, len(w["b"]))
-        at, g, m, rows, share = at[order], g[order], m[order], np.arange(len(at)), 1 / max(1, len(at))
+        order, bound = _by_group(self.ranked[1][g], len(w["b"]))
+        at, g, m, share = at[order], g[order], m[order], 1 / max(1, len(at))
         upper, lower = self.heads()
-        fz = _with_one(flat(z)[at])
+        fz = flat(z)[at]
 
-        def wrong(logits: np.ndarray, right: np.ndarray) -> float:
-            """Logits become their gradients; the summed loss."""
-            found = (rows[: len(right)], right)
-            loss = -float(logits[found].sum())
+        def wrong(logits: np.ndarray, right: np.ndarray) -> tuple[float, np.ndarray]:
+            """Logits become their gradients but for a factor of each row; the summed loss and the factors."""
+            loss = -float(_of(logits, right).sum())
             total = _exp_sums(logits)
-            logits *= (share / total)[:, None]
-            logits[found] -= share
-            return (loss + float(np.log(total).sum())) * share
-
-        p = fz @ upper
-        loss = wrong(p, g)
-        d_upper, d_lower, dz = fz.T @ p, np.zeros_like(lower), p @ w["V"].T
-        for i, (low, high) in enumerate(itertools.pairwise(bound)):
-            if low < high:
-                own = fz[low:high]
-                p = own @ lower[i]
-                loss += wrong(p, m[low:high])
-                d_lower[i] = own.T @ p
-                dz[low:high] += p @ w["W"][i].T
+            logits.reshape(-1)[np.arange(len(right)) * logits.shape[1] + right] -= total
+            return (loss + float(np.log(total).sum())) * share, (share / total)[:, None]
+
+        loss, d_upper, d_lower, dz = 0.0, np.zeros_like(upper), np.zeros_like(lower), np.empty((len(at), width), fz.dtype)
+        for low in range(0, len(at), ROWS):
+            part = slice(low, low + ROWS)
+            p = fz[part] @ upper
+            more, factor = wrong(p, g[part])
+            loss += more
+            d_upper += (fz[part] * factor).T @ p
+            np.multiply(p @ w["V"].T, factor, out=dz[part])
+        for part, wide, groups in self.runs(bound):
+            own = fz[part]
+            p, back = np.empty((len(own), wide), fz.dtype), np.empty((len(own), width), fz.dtype)
+            for i, rows in groups:
+                np.matmul(own[rows], lower[i, :, :wide], out=p[rows])
+            more, factor = wrong(p, m[part])
+            loss += more
+            own = own * factor
+            for i, rows in groups:
+                np.matmul(own[rows].T, p[rows], out=d_lower[i, :, :wide])
+                np.matmul(p[rows], w["W"][i, :, :wide].T, out=back[rows])
+            back *= factor
+            dz[part] += back
         out = {"V": d_upper[:-1], "b": d_upper[-1], "W": d_lower[:, :-1], "c": d_lower[:, -1]}
-        by_place = np.zeros((y.size, dz.shape[1]), dz.dtype)
+        by_place = np.zeros((n * length, width), dz.dtype)
         by_place[at] = dz
-        out["O"] = flat(a).T @ by_place
-        dz = by_place.reshape(z.shape)
-        da = (by_place @ w["O"].T).reshape(z.shape)
-        ds, dv = da @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ da
-        ds -= np.einsum("nld,nld->nl", da, a)[:, :, None]
-        ds *= s
-        dqkv = np.concatenate([ds @ k * np.float32(w["O"].shape[0] ** -0.5), ds.transpose(0, 2, 1) @ q, dv], axis=2)
-        out["QKV"] = flat(h).T @ flat(dqkv)
-        dh = dz + (flat(dqkv) @ w["QKV"].T).reshape(z.shape)
-        out["P"] = np.zeros_like(w["P"])
-        out["P"][: x.shape[1]] = dh.sum(0)
-        out["E"] = np.zeros_like(w["E"])
+        by_place = by_place.reshape(n, length, width)
+        out |= {k: np.zeros_like(w[k]) for k in ("O", "QKV", "P", "E")}
+        for (b, skip), (h, q, k, v, s, part, a) in zip(blocks, states, strict=True):
+            dh = by_place[b]
+            dz = np.ascontiguousarray(dh[:, skip:])
+            out["O"] += flat(a).T @ flat(dz)
+            da = (flat(dz) @ w["O"].T).reshape(dz.shape)
+            da *= part
+            ds = da @ v.transpose(0, 2, 1)
+            ds -= np.einsum("nld,nld->nl", da, a)[:, :, None]
+            ds *= s
+            dqkv = np.empty((*h.shape[:2], 3 * width), dz.dtype)
+            dqkv[:, :skip, :width] = 0
+            np.multiply(ds @ k, np.float32(width**-0.5), out=dqkv[:, skip:, :width])
+            dqkv[:, :, width : 2 * width] = ds.transpose(0, 2, 1) @ q
+            dqkv[:, :, 2 * width :] = s.transpose(0, 2, 1) @ da
+            out["QKV"] += flat(h).T @ flat(dqkv)
+            dh += (flat(dqkv) @ w["QKV"].T).reshape(h.shape)
+        out["P"][:length] = by_place.sum(0)
         rows_of = x.ravel().astype(np.min_scalar_type(len(w["E"])))
         order = np.argsort(rows_of, kind="stable")
         row = rows_of[order]
         head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out["E"][row[head]] = np.add.reduceat(flat(dh)[order], head)
+        out["E"][row[head]] = np.add.reduceat(flat(by_place)[order], head)
         return loss, out
 
     def train(self, sequences: list[np.ndarray], steps: int = STEPS, batch: int = 64, rate: float = FIRST_RATE, seed: int = 4) -> None:
@@ -236,21 +343,39 @@ class Attention:
         draws = (r.integers(0, len(wide) - LENGTH + 1, batch)[:, None] + np.arange(LENGTH) for _ in range(steps))
         self.descend(((wide[at], target[at], None) for at in draws), (rate * min(1, 3 * (1 - t / (steps + 1))) for t in range(1, steps + 1)))
 
-    def refine(self, windows: np.ndarray, rate: float, batch: int = 64) -> None:
-        """Adam over rows of ``drawn_windows``, each once, in their order."""
+    def refine(self, windows: np.ndarray, rate: float, batch: int = 64, whole: bool = False) -> None:
+        """Adam over rows of ``drawn_windows``, each once, in their order. If they are all windows of whole texts, a later one predicts the ids that the one before doesn't, as in ``score``, so that each id counts once."""
         end = len(self.class_of) - 1
         class_of, row_of = np.append(self.class_of, [0, 0]), np.append(self.row_of, [self.weights["E"].shape[0] - 1, 0])  # with start and padding
+
+        def first_ones_last(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            first = (w[:, 0] == end + 1) | (not whole)
+            w = w[np.argsort(first, kind="stable")]
+            used = w[:, 1:] <= end
+            used[: len(w) - first.sum(), : LENGTH - STEP] = False
+            return w, used
+
         parts = (windows[i : i + batch].astype(np.int64) for i in range(0, len(windows), batch))
-        self.descend(((row_of[w[:, :-1]], class_of[w[:, 1:]], w[:, 1:] <= end) for w in parts), itertools.repeat(rate))
+        self.descend(((row_of[w[:, :-1]], class_of[w[:, 1:]], used) for w, used in map(first_ones_last, parts)), itertools.repeat(rate))
 
     def descend(self, batches: Iterable[tuple], rates: Iterable[float]) -> None:
-        m, v = ({k: np.zeros_like(x) for k, x in self.weights.items()} for _ in range(2))
+        flat = np.concatenate([w.ravel() for w in self.weights.values()])
+        cuts = np.cumsum([w.size for w in self.weights.values()])[:-1]
+        self.weights = {k: x.reshape(w.shape) for (k, w), x in zip(self.weights.items(), np.split(flat, cuts), strict=True)}
+        m, v, step = (np.zeros_like(flat) for _ in range(3))
         for t, ((x, y, used), rate) in enumerate(zip(batches, rates), 1):  # noqa: B905
             _, g = self.gradients(x, y, used)
-            for k, w in self.weights.items():
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                w -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            g = np.concatenate([g[k].ravel() for k in self.weights])
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=step)
+            v *= 0.99
+            g *= g
+            v += np.multiply(g, 0.01, out=step)
+            np.sqrt(np.divide(v, 1 - 0.99**t, out=step), out=step)
+            step += 1e-8
+            np.divide(m, step, out=step)
+            step *= rate / (1 - 0.9**t)
+            flat -= step
 
     def score(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each text, its end included; windows of all texts in batches, padded ones masked by causality."""
@@ -279,11 +404,12 @@ class Attention:
                 r = rows[lo : lo + BATCH]
                 at = begin[r][:, None] + np.arange(LENGTH)
                 inside = at < bound[text[r] + 1][:, None]
-                at = np.where(inside, at, 0)
-                z, _ = self.hidden(source[at], skip)
-                at, inside = at[:, skip:], inside[:, skip:]
-                lp = self.log_probability(z[inside], target[at[inside]]).astype(np.float64) / np.log(10)
-                out += np.bincount(owner[at[inside]], lp, minlength=n_texts)
+                x = source[np.where(inside, at, 0)]
+                z = np.concatenate([self.hidden(x[i : i + WINDOWS], skip)[0] for i in range(0, len(x), WINDOWS)])
+                inside = inside[:, skip:]
+                at = at[:, skip:][inside]
+                lp = self.log_probability(z[inside], target[at]).astype(np.float64) / np.log(10)
+                out += np.bincount(owner[at], lp, minlength=n_texts)
         return out
 
 
@@ -457,10 +583,11 @@ def _refine(batches: Iterator[pa.RecordBatch], model: Attention, rate: float) ->
         for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             shards.setdefault(shard, []).append(raw)
     for shard, raw in shards.items():
-        windows = _all_windows(raw, size, shard) if batch.schema.names[1] == "ids" else np.frombuffer(b"".join(raw), _kind(size)).reshape(-1, LENGTH + 1)
+        whole = batch.schema.names[1] == "ids"
+        windows = _all_windows(raw, size, shard) if whole else np.frombuffer(b"".join(raw), _kind(size)).reshape(-1, LENGTH + 1)
         each = min(max(64, len(windows) // 64), 256)  # larger batches where they leave steps enough
         own = Attention({k: w.copy() for k, w in model.weights.items()}, model.class_of, model.log_within, model.row_of)
-        own.refine(windows, rate * (each / 64) ** 0.5, each)
+        own.refine(windows, rate * (each / 64) ** 0.5, each, whole)
         flat = np.concatenate([w.ravel() for w in own.weights.values()]).astype(np.float64) * len(windows)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [len(windows)], "w": [flat.tobytes()]})
 

@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables, and on rows that are odd."""
 
 import hashlib
+import itertools
 import math
 import re
 import time
@@ -454,6 +455,64 @@ def test_lm_trains_on_every_window(spark, monkeypatch):
     assert all(np.array_equal(models[0].weights[k], models[1].weights[k]) for k in model.weights)
 
 
+def test_lm_learns_each_id_once(monkeypatch):
+    """Windows overlap; of whole texts each id and end is learnt once, from the place at which it is scored."""
+    import claimweave.llm.lm_scoring as L
+
+    texts, size = [np.arange(n) % 50 for n in (0, 5, 31, 32, 33, 100, 3000)], 50
+    model, seen = fit(np.arange(1.0, size + 2), np.ones(size + 1, bool), [], groups=3, members=64), Counter()
+    monkeypatch.setattr(L.Attention, "descend", lambda self, batches, rates: [seen.update(y[used].tolist()) for _, y, used in batches])
+    batch = pa.RecordBatch.from_pydict({"_s": pa.array([0] * len(texts), pa.int32()), "ids": [t.astype("<u2").tobytes() for t in texts]})
+    list(L._refine(iter([batch]), model, 0.1))
+    assert seen == Counter(model.class_of[np.concatenate([np.append(t, size) for t in texts])].tolist())
+
+
+def test_lm_leaves_out_classes_that_no_id_has():
+    """A group's logits are computed for classes that some id has; others take no share, whatever their weights, and get no gradient."""
+    freq = np.array([100.0] * 4 + [8, 7, 6, 5, 4, 3, 2, 1])
+    model, rng = fit(freq, np.ones(12, bool), [], groups=5, members=16), np.random.default_rng(5)
+    have = np.bincount(np.unique(model.class_of) // 16, minlength=len(model.weights["b"]))
+    assert (have == 1).sum() >= 3 and (model.widths < 2 * have).all()
+    for g, n in enumerate(model.widths):
+        model.weights["c"][g, n:] = 30
+    z = rng.normal(size=(4, len(model.weights["O"]))).astype(np.float32)
+    whole = sum(np.exp(model.log_probability(z, model.class_of[[y] * 4])) * 10 ** model.log_within[y] for y in range(12))
+    assert whole == pytest.approx(np.ones(4), abs=1e-3)
+    _, found = model.gradients(model.row_of[rng.integers(0, 12, (3, 9))], model.class_of[rng.integers(0, 12, (3, 9))])
+    assert all(not found["W"][g, :, n:].any() and not found["c"][g, n:].any() for g, n in enumerate(model.widths))
+
+
+def test_lm_gradients_in_blocks(monkeypatch):
+    """Blocks of windows and rows of any size give the gradients of one block, also where a block's first places aren't learnt."""
+    import claimweave.llm.lm_scoring as L
+
+    rng = np.random.default_rng(9)
+    model = fit(rng.integers(1, 50, 41).astype(float), np.arange(41) % 2 == 0, [], groups=4, members=16, inputs=8)
+    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    x, y = model.row_of[rng.integers(0, 41, (7, 12))], model.class_of[rng.integers(0, 41, (7, 12))]
+    used = rng.random(x.shape) < 0.8
+    used[:5, :4] = False
+    loss, want = model.gradients(x, y, used)
+    monkeypatch.setattr(L, "WINDOWS", 2)
+    monkeypatch.setattr(L, "ROWS", 3)
+    again, got = model.gradients(x, y, used)
+    assert again == pytest.approx(loss) and all(np.allclose(got[k], want[k], rtol=1e-5, atol=1e-7) for k in want)
+
+
+def test_subwords_split_a_word_once(monkeypatch):
+    """Words known from earlier chunks aren't split again, and a cache that began anew gives the same ids."""
+    import claimweave.llm.lm_scoring as L
+
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    texts = pa.array(["river stone A\u00a0b na\u00efve", "stone of a river", "", "12a% river x"])
+    L._known(path).clear()
+    once = [c.ids.tolist() for c in subwords(path, texts)]
+    n = len(L._known(path).ids)
+    assert [c.ids.tolist() for c in subwords(path, texts)] == once and len(L._known(path).ids) == n
+    monkeypatch.setattr(L, "MOST_KNOWN", 1)
+    assert [c.ids.tolist() for k in range(4) for c in subwords(path, texts.slice(k, 1))] == [c.ids[a:b].tolist() for c in subwords(path, texts) for a, b in itertools.pairwise(c.first)]
+
+
 def test_lm_frees_the_shuffles_of_its_rounds(spark, both):
     """What counts and rounds have shuffled is off the disk once the scores can be asked for, and the session's setting is as before."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

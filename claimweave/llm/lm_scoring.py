@@ -9,7 +9,7 @@ ids; most classes are one id, and within a class ids follow their smoothed frequ
 
 Texts are split into ids once and kept packed. Each id is counted over all training texts.
 Weights start from a sample of training texts bounded by a parameter and are then trained in
-rounds on all windows of all training texts, each window once. A shard has some ``SHARD``
+rounds on all windows of all training texts, each window and id once. A shard has some ``SHARD``
 windows, a task trains on those of one shard and round, and the shards' weights are averaged.
 
 The base score needs each word's count over all training texts. The distinct words of a chunk
